@@ -3,8 +3,8 @@
 Fitting reads labelled rows only, at most ``max_toxic`` and ``max_clean`` of
 them in hash order (documented bounds; the class totals over all labels
 reweight the sample). Terms are words and word beginnings, kept where a
-log-likelihood-ratio test against the label passes at one false term in
-expectation. Examples become unit TF-IDF vectors in an inverted index whose
+log-likelihood-ratio test against the label passes and the odds differ at
+least fiftyfold. Examples become unit TF-IDF vectors in an inverted index whose
 postings stand in blocks of ``BLOCK`` examples with the largest weight of each
 term per block.
 
@@ -17,8 +17,10 @@ fit on leave-one-out votes. A score depends on the text alone.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -27,8 +29,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.functions.shared import materialise
+
 NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.3
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4096, 12288, 8192
+MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MIN_ODDS = 4096, 12288, 8192, 50.0
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 EVIDENCE = "struct<score:double,evidence:array<struct<doc_id:long,label:int,cosine:double,term:string>>>"
@@ -55,6 +59,16 @@ def _count_terms(batches):
         yield pd.DataFrame({"term": names, "toxic": [seen[1][t] for t in names], "clean": [seen[0][t] for t in names]})
 
 
+def _keyed(batches):
+    """A key that near copies mostly share: the smallest checksum of a pair of adjacent words."""
+    for batch in batches:
+        keys = []
+        for text in batch["text"]:
+            words = WORD.findall((text or "").lower())
+            keys.append(min((zlib.crc32(f"{a} {b}".encode()) for a, b in itertools.pairwise(words)), default=-1))
+        yield batch[["_id", "toxic"]].assign(key=keys)
+
+
 def _likelihood_ratio(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
     """G-squared of the two-by-two table of term and label."""
     n, row = float(n1 + n0), toxic + clean
@@ -187,15 +201,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.withColumn("_r", rank).where((F.col("_r") <= max_clean) & ((F.col("toxic") == 0) | (F.col("_r") <= max_toxic))).select("_id", "toxic")
     # At most max_toxic + max_clean rows, so the broadcast is bounded.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    from quadrille.functions.shared import materialise
-
     texts = materialise(texts)
+    # Near copies of one example are one observation, not many.
+    alone = texts.mapInPandas(_keyed, "_id long, toxic int, key long").groupBy("key", "toxic").agg(F.min("_id").alias("_id")).select("_id")
+    texts = materialise(texts.join(F.broadcast(alone.distinct()), "_id"))
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     counted = texts.select("text", "toxic").mapInPandas(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counted.where("toxic + clean >= 3").withColumn("g", _likelihood_ratio(F.col("toxic"), F.col("clean"), max(1, n1), max(1, n0)))
     limit = 2 * math.log(max(2, n1 + n0)) + 8
-    vocabulary = [r["term"] for r in counted.where(F.col("g") > limit).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()]
+    odds = F.log((F.col("toxic") + 0.5) * (n0 - F.col("clean") + 0.5) / ((F.col("clean") + 0.5) * (n1 - F.col("toxic") + 0.5)))
+    vocabulary = [r["term"] for r in counted.where((F.col("g") > limit) & (F.abs(odds) >= math.log(MIN_ODDS))).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()]
     words = set(vocabulary)
     rows = texts.mapInPandas(_thinned(words), "_id long, text string, toxic int").orderBy(F.xxhash64("_id"), "_id").collect()
     return build_index([(r["_id"], r["text"], r["toxic"]) for r in rows], vocabulary, (totals.get(0, 0), totals.get(1, 0)))
