@@ -69,8 +69,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """
     full = "ref" in turns.schema["content"].dataType.elementType.fieldNames()
     role = F.coalesce(F.col("role"), F.lit(""))
-    seen = F.transform(F.coalesce(F.col("content"), F.array().cast(turns.schema["content"].dataType)), lambda p: _visit(p, full))
-    one = turns.select("conv_id", "turn", role.alias("role"), seen.alias("seen"), F.transform("content", lambda p: p["type"]).alias("types"))
+    parts = F.coalesce(F.col("content"), F.array().cast(turns.schema["content"].dataType))
+    seen = F.transform(parts, lambda p: _visit(p, full))
+    one = turns.select("conv_id", "turn", role.alias("role"), seen.alias("seen"), F.transform(parts, lambda p: p["type"]).alias("types"))
     one = one.select("conv_id", "turn", "role", F.array_join(F.col("seen.piece"), "").alias("body"), "seen", "types")
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
     media = F.filter(F.zip_with("seen", F.transform("types", lambda t, i: F.struct(t.alias("type"), i.alias("part"))), lambda s, t: F.struct(t["part"].alias("part"), t["type"].alias("type"), s["ref"].alias("ref"), s["tokens"].alias("tokens"))), lambda m: m["ref"].isNotNull())

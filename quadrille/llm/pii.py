@@ -241,12 +241,15 @@ def shaped(mention: str, entity: str, new: str) -> str:
 def _entities(batches):
     for batch in batches:
         seen = sorted({x for t in batch["text"] if t for _, _, x in detect(t)})
-        yield pd.DataFrame({"entity": seen})
+        if seen:
+            yield pd.DataFrame({"entity": seen})
 
 
 def _candidates(key: bytes):
     def run(batches):
         for batch in batches:
+            if not len(batch):
+                continue
             new = [surrogate(x, int(n), key) for x, n in zip(batch["entity"], batch["attempt"], strict=True)]
             yield batch.assign(slot=[f"{x.split('|', 1)[0]}|{n.lower()}" for x, n in zip(batch["entity"], new, strict=True)])
 

@@ -56,7 +56,8 @@ def _count_terms(batches):
             words = set(WORD.findall((text or "").lower()))
             seen[int(y)].update({t for w in words for t in terms_of(w)})
         names = list(seen[0] | seen[1])
-        yield pd.DataFrame({"term": names, "toxic": [seen[1][t] for t in names], "clean": [seen[0][t] for t in names]})
+        if names:
+            yield pd.DataFrame({"term": names, "toxic": [seen[1][t] for t in names], "clean": [seen[0][t] for t in names]})
 
 
 def _keyed(batches):
@@ -223,7 +224,8 @@ def _thinned(vocabulary: set[str]):
     def run(batches):
         for batch in batches:
             batch["text"] = [" ".join(w for w in WORD.findall((t or "").lower()) if any(x in vocabulary for x in terms_of(w))) for t in batch["text"]]
-            yield batch[["_id", "text", "toxic"]]
+            if len(batch):
+                yield batch[["_id", "text", "toxic"]]
 
     return run
 
