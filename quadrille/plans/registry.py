@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quadrille.plans import queries_mesh
+from quadrille.plans import queries_mesh, queries_more
 
-_MODULES = (queries_mesh,)
+_MODULES = (queries_mesh, queries_more)
 
 
 def queries() -> dict:
