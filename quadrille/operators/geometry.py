@@ -124,7 +124,9 @@ def dihedral_angles(m: Mesh) -> DataFrame:
     scale = F.sqrt(f.squared() * g.squared())
     cosine = F.when(scale > 0, f.dot(g) / scale).otherwise(F.lit(0.0))
     bend = F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))))
-    return h.select("mesh_id", "v0", "v1", F.when(F.col("pair_face").isNull(), F.lit(0.0)).otherwise(bend).alias("dihedral"))
+    out = F.when(F.col("pair_face").isNull(), F.lit(0.0)).otherwise(bend)
+    # Exploding one value keeps filters on it from being pushed down and expanded.
+    return h.select("mesh_id", "v0", "v1", F.explode(F.array(out)).alias("dihedral"))
 
 
 def _keep(df: DataFrame, columns: list[str], **vectors: V3) -> DataFrame:
