@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.shared import materialise
@@ -196,10 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Labels that are null are left out, conflicting ones count as toxic. Without
     any labelled text the index is empty and every score the same low value.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = known.withColumn("_r", rank).where((F.col("_r") <= max_clean) & ((F.col("toxic") == 0) | (F.col("_r") <= max_toxic))).select("_id", "toxic")
+    first = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
+    chosen = first(1, max_toxic).unionByName(first(0, max_clean)).select("_id", "toxic")
     # At most max_toxic + max_clean rows, so the broadcast is bounded.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
     texts = materialise(texts)
