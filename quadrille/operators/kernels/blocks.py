@@ -27,8 +27,21 @@ def _touching(cells: set, size: int, c: tuple) -> bool:
     return bool({(c[0] + d[0], c[1] + d[1], c[2] + d[2]) for d in DIAGONALS} & window - reached)
 
 
+def _reached(cells: set, start: tuple) -> set:
+    """Cells that face steps reach from a start."""
+    reached, work = {start}, [start]
+    while work:
+        x = work.pop()
+        for d in FACES:
+            y = (x[0] + d[0], x[1] + d[1], x[2] + d[2])
+            if y in cells and y not in reached:
+                reached.add(y)
+                work.append(y)
+    return reached
+
+
 def grow_cells(size: int, blocks: int, seed: int) -> list[tuple[int, int, int]]:
-    """Cells of a solid grown from the centre, with non-manifold contacts filled up."""
+    """Cells of a solid grown from the centre, without non-manifold contacts."""
     rng, cells = np.random.default_rng(seed), {(size // 2,) * 3}
     for _ in range(blocks):
         for _ in range(100):
@@ -37,12 +50,10 @@ def grow_cells(size: int, blocks: int, seed: int) -> list[tuple[int, int, int]]:
             if all(0 <= x < size for x in n) and n not in cells:
                 cells.add(n)
                 break
-    while bad := [c for c in sorted(cells) if _touching(cells, size, c)]:
-        c = bad[0]
-        # Filling the face neighbours towards the contact joins both by steps.
-        add = {(c[0] + d[0], c[1] + d[1], c[2] + d[2]) for d in FACES} - cells
-        near = {a for a in add if sum((a[0] + d[0], a[1] + d[1], a[2] + d[2]) in cells for d in FACES) >= 2}
-        cells |= near or add
+    # Every round takes cells away, so this ends; what loses the centre goes too.
+    centre = (size // 2,) * 3
+    while bad := [c for c in sorted(cells) if c != centre and _touching(cells, size, c)]:
+        cells = _reached(cells - {bad[-1]}, centre)
     return sorted(cells)
 
 
