@@ -10,21 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-DIAGONALS = [d for d in itertools.product((-1, 0, 1), repeat=3) if sum(map(abs, d)) >= 2]
+BOX = list(itertools.product((0, 1), repeat=3))
 
 
-def _touching(cells: set, size: int, c: tuple) -> bool:
-    """Whether an occupied cell meets a diagonal one that no face steps within the window reach."""
-    window = {tuple(np.add(c, d)) for d in itertools.product((-1, 0, 1), repeat=3)} & cells
-    reached, work = {c}, [c]
-    while work:
-        x = work.pop()
-        for d in FACES:
-            y = (x[0] + d[0], x[1] + d[1], x[2] + d[2])
-            if y in window and y not in reached:
-                reached.add(y)
-                work.append(y)
-    return bool({(c[0] + d[0], c[1] + d[1], c[2] + d[2]) for d in DIAGONALS} & window - reached)
+def _whole(part: set) -> bool:
+    """Whether cells hang together by face steps."""
+    return not part or len(_reached(part, min(part))) == len(part)
+
+
+def _contacts(cells: set) -> list[set]:
+    """Occupied cells around every lattice vertex that is not manifold, in order.
+
+    A vertex is manifold if the occupied cells among its eight hang together by
+    face steps, and so do the empty ones.
+    """
+    out = []
+    for o in sorted({(c[0] - d[0], c[1] - d[1], c[2] - d[2]) for c in cells for d in BOX}):
+        box = {(o[0] + d[0], o[1] + d[1], o[2] + d[2]) for d in BOX}
+        if not _whole(box & cells) or not _whole(box - cells):
+            out.append(box & cells)
+    return out
 
 
 def _reached(cells: set, start: tuple) -> set:
@@ -52,8 +57,8 @@ def grow_cells(size: int, blocks: int, seed: int) -> list[tuple[int, int, int]]:
                 break
     # Every round takes cells away, so this ends; what loses the centre goes too.
     centre = (size // 2,) * 3
-    while bad := [c for c in sorted(cells) if c != centre and _touching(cells, size, c)]:
-        cells = _reached(cells - {bad[-1]}, centre)
+    while bad := _contacts(cells):
+        cells = _reached(cells - {max(bad[0] - {centre})}, centre)
     return sorted(cells)
 
 
