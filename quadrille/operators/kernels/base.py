@@ -20,7 +20,7 @@ def per_mesh(m: Mesh, kernel: Kernel, schema: str) -> DataFrame:
     def run(vertices: pd.DataFrame, faces: pd.DataFrame) -> pd.DataFrame:
         vertices, faces = vertices.sort_values("v_id"), faces.sort_values("face_id")
         if not len(faces):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return pd.DataFrame([], columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
         place = {int(v): i for i, v in enumerate(vertices["v_id"])}
         return kernel(int(faces["mesh_id"].iloc[0]), vertices[["x", "y", "z"]].to_numpy(np.float64), [[place[int(v)] for v in f] for f in faces["verts"]], faces["face_id"].to_numpy())
 
@@ -28,8 +28,8 @@ def per_mesh(m: Mesh, kernel: Kernel, schema: str) -> DataFrame:
 
 
 def beside(left: DataFrame, right: DataFrame):
-    """Cogroup by mesh; the keys are aliased, as both sides may stem from one table."""
-    own = lambda df: df.select(F.col("mesh_id").alias("mesh_id"), *(c for c in df.columns if c != "mesh_id")).groupBy("mesh_id")
+    """Cogroup by mesh; all columns are aliased, as both sides may stem from one table."""
+    own = lambda df: df.select(F.col("mesh_id").alias("mesh_id"), *(F.col(c).alias(c) for c in df.columns if c != "mesh_id")).groupBy("mesh_id")
     return own(left).cogroup(own(right))
 
 
@@ -49,3 +49,22 @@ def face_graph(faces: list[list[int]]) -> list[list[int]]:
         for a in fs:
             near[a].update(x for x in fs if x != a)
     return [sorted(n) for n in near]
+
+
+def vertex_rings(faces: list[list[int]]) -> dict[int, list[int]]:
+    """Faces around every interior vertex in turning order, from the spoke with the smallest vertex."""
+    step: dict[int, dict[int, int]] = {}
+    for i, f in enumerate(faces):
+        for k, x in enumerate(f):
+            step.setdefault(x, {})[f[(k + 1) % len(f)]] = i
+    after = {(i, x): f[k - 1] for i, f in enumerate(faces) for k, x in enumerate(f)}
+    out = {}
+    for x, spokes in sorted(step.items()):
+        first = at = min(spokes)
+        ring = []
+        while at in spokes and len(ring) < len(spokes):
+            ring.append(spokes[at])
+            at = after[spokes[at], x]
+        if at == first and len(ring) == len(spokes):
+            out[x] = ring
+    return out

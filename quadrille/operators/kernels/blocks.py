@@ -45,7 +45,7 @@ def _reached(cells: set, start: tuple) -> set:
     return reached
 
 
-def grow_cells(size: int, blocks: int, seed: int) -> list[tuple[int, int, int]]:
+def grow_cells(size: int, blocks: int, seed: int, tunnels: int = 0) -> list[tuple[int, int, int]]:
     """Cells of a solid grown from the centre, without non-manifold contacts."""
     rng, cells = np.random.default_rng(seed), {(size // 2,) * 3}
     for _ in range(blocks):
@@ -59,15 +59,36 @@ def grow_cells(size: int, blocks: int, seed: int) -> list[tuple[int, int, int]]:
     centre = (size // 2,) * 3
     while bad := _contacts(cells):
         cells = _reached(cells - {max(bad[0] - {centre})}, centre)
-    return sorted(cells)
+    return sorted(dig(cells, tunnels, rng))
 
 
-def cells(spark: SparkSession, meshes: int, size: int = 8, blocks: int = 8, seed: int = 0) -> DataFrame:
+def _removable(cells: set, c: tuple) -> bool:
+    """Whether a solid without the cell hangs together and stays manifold at the cell's eight corners."""
+    left = cells - {c}
+    for d in BOX:
+        box = {(c[0] - d[0] + e[0], c[1] - d[1] + e[1], c[2] - d[2] + e[2]) for e in BOX}
+        if not _whole(box & left) or not _whole(box - left):
+            return False
+    return bool(left) and _whole(left)
+
+
+def dig(cells: set, tunnels: int, rng: np.random.Generator) -> set:
+    """The solid after straight runs of cells left it, each from an exposed cell inwards while cells can go."""
+    for _ in range(tunnels):
+        open_ = [(c, d) for c in sorted(cells) for d in FACES if (c[0] - d[0], c[1] - d[1], c[2] - d[2]) not in cells]
+        c, d = open_[rng.integers(len(open_))]
+        while c in cells and _removable(cells, c):
+            cells = cells - {c}
+            c = (c[0] + d[0], c[1] + d[1], c[2] + d[2])
+    return cells
+
+
+def cells(spark: SparkSession, meshes: int, size: int = 8, blocks: int = 8, seed: int = 0, tunnels: int = 0) -> DataFrame:
     """(mesh_id, i, j, k): occupied cells of seeded solids."""
 
     def run(batches):
         for batch in batches:
-            rows = [(int(m), *c) for m in batch["id"] for c in grow_cells(size, blocks, seed * 1_000_003 + int(m))]
+            rows = [(int(m), *c) for m in batch["id"] for c in grow_cells(size, blocks, seed * 1_000_003 + int(m), tunnels)]
             if rows:
                 yield pd.DataFrame(rows, columns=["mesh_id", "i", "j", "k"])
 

@@ -7,7 +7,7 @@ go straight on through regular vertices. Neither needs a walk.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.local_components import components_by_mesh
@@ -117,3 +117,18 @@ def chart_distribution(m: Mesh, labels: DataFrame | None = None) -> DataFrame:
     other = F.when(F.col("n_faces") == 1, F.lit(-1)).otherwise(F.col("c1"))
     border = e.withColumn("c1", other).where("c0 <> c1").groupBy("mesh_id", F.least("c0", "c1").alias("x"), F.greatest("c0", "c1").alias("y")).agg(F.sum("length").alias("length"))
     return stats.join(border.groupBy("mesh_id").agg(F.min("length").alias("min_border")), "mesh_id", "left")
+
+
+def arc_positions(path: DataFrame) -> DataFrame:
+    """Ordered chains (mesh_id, loop_id, pos, v_id, x, y, z) with the length run up to every vertex and in all."""
+    w = Window.partitionBy("mesh_id", "loop_id").orderBy("pos")
+    d = lambda c: F.col(c) - F.lag(c).over(w)
+    step = path.withColumn("step", F.coalesce(F.sqrt(d("x") * d("x") + d("y") * d("y") + d("z") * d("z")), F.lit(0.0)))
+    total = F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return step.withColumn("run", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", total)
+
+
+def points_at(path: DataFrame, **shares: float) -> DataFrame:
+    """(mesh_id, loop_id, length, <name>...): the first vertex of every chain at or beyond a share of its length."""
+    at = [F.min_by("v_id", F.when(F.col("run") >= F.col("total") * share, F.col("pos"))).alias(name) for name, share in shares.items()]
+    return arc_positions(path).groupBy("mesh_id", "loop_id").agg(F.max("total").alias("length"), *at)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quadrille.plans import queries_kernels, queries_mesh, queries_more
+from quadrille.plans import queries_extraction, queries_kernels, queries_mesh, queries_more
 
-_MODULES = (queries_mesh, queries_more, queries_kernels)
+_MODULES = (queries_mesh, queries_more, queries_kernels, queries_extraction)
 
 
 def queries() -> dict:
