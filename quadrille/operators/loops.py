@@ -97,6 +97,20 @@ def complex_edges(m: Mesh, loops: DataFrame | None = None) -> DataFrame:
     return loops.join(hit, ["mesh_id", "loop_id"], "left_semi")
 
 
+def framed_edges(m: Mesh, sharp: float = 130.0, share: float = 0.5) -> DataFrame:
+    """Edges of the base complex, of loops on the border, and of loops that are sharp over a share of their length."""
+    from quadrille.operators.geometry import dihedral_angles, edge_geometry
+
+    e = edges(m)
+    loops = edge_loops(m, e)
+    bent = dihedral_angles(m).where(F.col("dihedral") < sharp).select("mesh_id", F.least("v0", "v1").alias("lo"), F.greatest("v0", "v1").alias("hi")).distinct().withColumn("sharp", F.lit(True))
+    length = edge_geometry(m, e).join(loops.select("mesh_id", "lo", "hi", "loop_id"), ["mesh_id", "lo", "hi"]).join(bent, ["mesh_id", "lo", "hi"], "left")
+    per = length.groupBy("mesh_id", "loop_id").agg(F.bool_or(F.col("n_faces") == 1).alias("rim"), F.sum(F.when(F.col("sharp"), F.col("length")).otherwise(0.0)).alias("bent"), F.sum("length").alias("length"))
+    wanted = per.where(F.col("rim") | (F.col("bent") >= share * F.col("length"))).select("mesh_id", "loop_id")
+    found = complex_edges(m, loops).select("mesh_id", "loop_id").unionByName(wanted).distinct()
+    return loops.join(found, ["mesh_id", "loop_id"], "left_semi")
+
+
 def charts(m: Mesh, complex_: DataFrame | None = None) -> DataFrame:
     """(mesh_id, face_id, chart_id): faces hanging together without crossing the base complex."""
     walls = (complex_edges(m) if complex_ is None else complex_).select("mesh_id", edge_key(F.col("lo"), F.col("hi")).alias("e"))

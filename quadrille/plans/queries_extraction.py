@@ -57,6 +57,16 @@ def g8(spark, d):
     return L.points_at(path, third=1 / 3, middle=0.5, two_thirds=2 / 3).withColumn("length", r6(F.col("length")))
 
 
+@query("g7_framed_complex")
+def g7(spark, d):
+    """Edges and charts of the base complex with border and sharp loops."""
+    m = mesh(spark, d)
+    framed = materialise(L.framed_edges(m))
+    n = framed.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("loop_id").alias("n_loops"))
+    c = L.charts(m, framed).groupBy("mesh_id").agg(F.countDistinct("chart_id").alias("n_charts"))
+    return c.join(n, "mesh_id", "left").na.fill(0, ["n_edges", "n_loops"])
+
+
 @query("g7_n7_halved_charts")
 def n7(spark, d):
     """Base-complex charts cut at the middles of their arcs."""

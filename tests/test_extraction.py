@@ -180,3 +180,15 @@ def test_tunnels():
     for seed in range(8):
         plain, dug = (set(blocks.grow_cells(8, 40, seed, n)) for n in (0, 6))
         assert dug <= plain and dug and not blocks._contacts(dug) and blocks._whole(dug)
+
+
+def test_framed_edges_of_a_square_tube(spark):
+    """No vertex is singular, so the base complex is empty; borders and the four corner lines frame four charts."""
+    pos = [(*xy, z) for z in range(4) for xy in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    faces = [[4 * z + k, 4 * z + (k + 1) % 4, 4 * z + 4 + (k + 1) % 4, 4 * z + 4 + k] for z in range(3) for k in range(4)]
+    m = build(spark, {0: (pos, faces)})
+    assert L.complex_edges(m).count() == 0
+    framed = L.framed_edges(m)
+    assert framed.count() == 12 + 8
+    assert L.charts(m, framed).select("chart_id").distinct().count() == 4
+    assert L.framed_edges(m, sharp=10.0).where("n_faces = 2").count() == 0
