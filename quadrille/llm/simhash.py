@@ -111,7 +111,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     steps = F.explode(F.array(*[F.lit(x) for x in neighbour_offsets(radius)]))
     left = tiles.select("sig", "part", "packed", steps.alias("step")).withColumn("at", F.col("sig") + F.col("step"))
     right = tiles.select(F.col("sig").alias("at"), F.col("part").alias("other_part"), F.col("packed").alias("other"))
-    pairs = left.join(right, "at").where("step > 0 OR part <= other_part")
+    pairs = left.join(right, "at").where("step <> 0 OR part <= other_part")
     spread = pairs.select("packed", "other").repartition(max(8, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return spread.mapInPandas(_compare(radius), "a long, b long")
 

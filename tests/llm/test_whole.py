@@ -1,0 +1,33 @@
+"""Cases in which an operator once did less than the whole job."""
+
+import numpy as np
+
+from quadrille.llm import simhash
+
+
+# ---- simhash ----
+def test_simhash_links_over_several_tiles(spark):
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(0, 2**63, 12, dtype=np.int64)]
+    fps = sorted({x ^ (1 << int(a)) ^ (1 << int(b)) for x in base for a, b in rng.integers(0, 63, (40, 2))} | set(base))
+
+    def components(links):
+        parent = {x: x for x in fps}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        groups = {}
+        for x in fps:
+            groups.setdefault(root(x), set()).add(x)
+        return sorted(map(sorted, groups.values()))
+
+    for some in (fps, fps[::3], fps[1::5]):
+        df = spark.createDataFrame([(x,) for x in some], "fp long")
+        got = [(r["a"], r["b"]) for r in simhash.near_links(df, tile=2).collect()]
+        want = [(a, b) for i, a in enumerate(some) for b in some[i + 1 :] if (a ^ b).bit_count() <= 2]
+        assert components(got) == components(want)
