@@ -51,11 +51,17 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Mx": "n", "Dr": "n", "
 
 AT_LOCAL = re.compile(r"[^\W_](?:[\w.+%-]*[\w+%-])?\Z")
 AT_DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}(?!\w)")
-DIGITS = re.compile(r"(?<![\w.])\+?\(?\d[\d ().\-/]{5,30}\d(?![\w])")
+DIGITS = re.compile(r"(?<![\w.])\+?\(?\d[\d ().\-/]{5,}\d(?![\w])")
 IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}\Z")
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}\Z")
 CARD = re.compile(r"\d{13,19}\Z|\d{4}(?:[ -]\d{4}){3}\Z|\d{4}[ -]\d{6}[ -]\d{5}\Z")
 PHONE = re.compile(r"\+\d{1,3}[ .\-/(]{0,2}\(?\d{1,4}\)?(?:[ .\-/]{0,2}\d{2,5}){1,4}\Z|\(?\d{3}\)?[ .\-/]\d{3}[ .\-]\d{4}\Z")
+# The same forms inside a longer run, where they do not go on over a separator.
+INNER_IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
+INNER_SSN = re.compile(r"(?<![\d.\-])\d{3}-\d{2}-\d{4}(?![.\-]?\d)")
+INNER_CARD = re.compile(r"(?<![\d.\-+])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![.\-]?\d)")
+FOUR_BEFORE, FOUR_AFTER = re.compile(r"(?<!\d)\d{4}[ -]\Z"), re.compile(r"[ -]\d{4}(?!\d)")
+INNER_PHONE = re.compile(r"(?<![\d.\-])(?:\(\d{3}\)[ .\-/]?|\d{3}[ .\-/])\d{3}[ .\-]\d{4}(?![.\-]?\d)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 NAME = re.compile(r"(?<!\w)(%s)\.?[ ]+((?:[^\W\d_]+(?:[-'][^\W\d_]+)*)(?:[ ]+[^\W\d_]+(?:[-'][^\W\d_]+)*){0,2})" % "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)))
 
@@ -178,6 +184,75 @@ def _name(value: str, gender: str, attempt: int, key: bytes) -> str:
     return " ".join([*given, family])
 
 
+def _number(raw: str) -> str | None:
+    """The canonical entity that a run of digits and separators is as a whole."""
+    digits = re.sub(r"\D", "", raw)
+    if IP.match(raw) and all(int(p) < 256 and str(int(p)) == p for p in raw.split(".")):
+        return f"ip||{raw}"
+    if SSN.match(raw):
+        return f"ssn||{digits}"
+    if CARD.match(raw):
+        return f"card||{digits}"
+    if 8 <= len(digits) <= 15 and PHONE.match(raw):
+        code = re.match(r"\+(1(?=\D)|\d{1,3}(?=\D)|\d{1,2})", raw)
+        head = "+" + code[1] if code else "-"
+        return f"phone||{head} {digits[len(code[1]) if code else 0:]}"
+    return None
+
+
+def numbers(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """The entities in a run: the run itself, else what stands side by side in it.
+
+    Addresses, social security numbers and cards have the stricter forms and go
+    first. Among more groups of four digits only the Luhn check tells which
+    of them are a card. Phones are sought in what lies between.
+    """
+    whole = _number(text[start:end])
+    if whole:
+        return [(start, end, whole)]
+    out: list[tuple[int, int, str]] = []
+    run = text[start:end]
+    for pattern in (INNER_IP, INNER_SSN, INNER_CARD):
+        at = 0
+        while m := pattern.search(run, at):
+            (a, b), x = m.span(), _number(m[0])
+            among = x and x.startswith("card") and (FOUR_BEFORE.search(run, max(0, a - 6), a) or FOUR_AFTER.match(run, b))
+            good = x and not (among and luhn_digit(x[6:-1]) != int(x[-1]))
+            at = b if good else a + 1
+            if good:
+                out.append((start + a, start + b, x))
+    at, phones = start, []
+    for a, b, _ in [*sorted(out), (end, end, "")]:
+        gap = re.search(r"[+(]?\(?\d(?:.*\d)?", text[at:a])
+        if gap:
+            s, e = at + gap.start(), at + gap.end()
+            x = _number(text[s:e]) if out else None
+            phones += [(s, e, x)] if x else _phones(text, s, e)
+        at = b
+    return out + phones
+
+
+def _phones(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Phones in a stretch that is none as a whole: an international one at its start, national ones anywhere."""
+    if text[start] == "+":
+        fits = [(m.end(), x) for m in re.finditer(r"\d(?!\d)", text[start : min(end, start + 48)]) if (x := _number(text[start : start + m.end()])) and x.startswith("phone")]
+        if fits:
+            # North American numbers have a fixed length; else the longest, unless a shorter one leaves another entity.
+            n, x = next((f for f in fits if f[1].startswith("phone||+1 ") and len(f[1]) == 20), fits[-1])
+            rest = numbers(text, start + n, end) if n < end - start else []
+            for m, y in reversed(fits[:-1]) if n == fits[-1][0] else ():
+                tail = re.search(r"\(?\d.*", text[start + m : end])
+                if len(tail[0]) >= 7 and (more := numbers(text, start + m + tail.start(), end)) and len(more) > len(rest):
+                    n, x, rest = m, y, more
+            if n < end - start and (tail := re.search(r"\(?\d.*", text[start + n : end])):
+                rest = numbers(text, start + n + tail.start(), end)
+            return [(start, start + n, x), *rest]
+    run = text[start:end]
+    spaced = re.fullmatch(r"\d{3} \d{3} \d{4}(?: \d{3} \d{3} \d{4})+", run)
+    # Numbers between spaces alone are a phone only where the whole stretch is.
+    return [(start + m.start(), start + m.end(), x) for m in INNER_PHONE.finditer(run) if (spaced or re.search(r"[().\-/]", m[0])) and (x := _number(m[0]))]
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, canonical entity) of every mention, leftmost first, without overlaps."""
     found: list[tuple[int, int, str]] = []
@@ -188,19 +263,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             found.append((local.start(), domain.end(), f"email||{text[local.start():at]}@{domain[0].lower()}"))
         at = text.find("@", at + 1)
     for m in DIGITS.finditer(text):
-        s, e = m.span()
-        raw = m[0]
-        digits = re.sub(r"\D", "", raw)
-        if IP.match(raw) and all(int(p) < 256 and str(int(p)) == p for p in raw.split(".")):
-            found.append((s, e, f"ip||{raw}"))
-        elif SSN.match(raw):
-            found.append((s, e, f"ssn||{digits}"))
-        elif CARD.match(raw):
-            found.append((s, e, f"card||{digits}"))
-        elif PHONE.match(raw) and 8 <= len(digits) <= 15:
-            code = re.match(r"\+(1(?=\D)|\d{1,3}(?=\D)|\d{1,2})", raw)
-            head = "+" + code[1] if code else "-"
-            found.append((s, e, f"phone||{head} {digits[len(code[1]) if code else 0:]}"))
+        found += numbers(text, *m.span())
     if any(t in text for t in TITLES):
         for m in NAME.finditer(text):
             words = []

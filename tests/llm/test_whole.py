@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
 import numpy as np
+import pytest
 
-from quadrille.llm import simhash
+from quadrille.llm import pii, simhash
 
 
 # ---- simhash ----
@@ -31,3 +32,27 @@ def test_simhash_links_over_several_tiles(spark):
         got = [(r["a"], r["b"]) for r in simhash.near_links(df, tile=2).collect()]
         want = [(a, b) for i, a in enumerate(some) for b in some[i + 1 :] if (a ^ b).bit_count() <= 2]
         assert components(got) == components(want)
+
+
+# ---- pii ----
+@pytest.mark.parametrize("parts", [
+    ["+1 (826) 555-4081", "190.137.223.204"],
+    ["+1 826-555-4081", "4111 1111 1111 1111", "8.8.8.8"],
+    ["826-555-4081", "843-555-7672"],
+    ["826 555 4081", "843 555 7672"],
+    ["+49 30 1234567", "826-555-4081"],
+    ["+1 (826) 555-4081", "843-555-7672"],
+    ["123-45-6789", "987-65-4321"],
+    ["4111 1111 1111 1111", "5500 0000 0000 0004"],
+    ["4111 1111 1111 1112", "8.8.8.8"],
+])
+def test_pii_side_by_side(parts):
+    text = "so " + " ".join(parts) + " it is"
+    assert [text[s:e] for s, e, _ in pii.detect(text)] == parts
+
+
+def test_pii_inside_runs():
+    for text, want in [("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"), ("10:20:31 192.168.1.10", "192.168.1.10"), ("17 123-45-6789", "123-45-6789"), ("2024 4111 1111 1111 1111", "4111 1111 1111 1111"), ("2024-01-02 826-555-4081", "826-555-4081"), ("10.20.30.0/24", "10.20.30.0")]:
+        assert [text[s:e] for s, e, _ in pii.detect(text)] == [want]
+    for text in ("2019 2020 2021 2022 2023", "12 345 678 9012 55", "1.2.3.4.5", "555-12-3456-7 1", "100 " * 3000):
+        assert pii.detect(text) == []
