@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quadrille.llm import pii, simhash
+from quadrille.llm import ann, pii, simhash
 
 
 # ---- simhash ----
@@ -56,3 +56,15 @@ def test_pii_inside_runs():
         assert [text[s:e] for s, e, _ in pii.detect(text)] == [want]
     for text in ("2019 2020 2021 2022 2023", "12 345 678 9012 55", "1.2.3.4.5", "555-12-3456-7 1", "100 " * 3000):
         assert pii.detect(text) == []
+
+
+# ---- ann ----
+def test_ann_recall_of_a_partial_walk(spark):
+    x = np.random.default_rng(5).normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = ann.brute_force(np.arange(len(x)), x)
+    assert np.mean([len(got[q] & set(want[q])) / 5 for q in want]) >= 0.9
+    assert ann.SHARE < 1
