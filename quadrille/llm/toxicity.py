@@ -2,22 +2,26 @@
 
 Fitting reads labelled rows only, at most ``max_toxic`` and ``max_clean`` of
 them in hash order (documented bounds; the class totals over all labels
-reweight the sample). Terms are words and word beginnings, kept where a
-log-likelihood-ratio test against the label passes and the odds differ at
-least fiftyfold. Examples become unit TF-IDF vectors in an inverted index whose
-postings stand in blocks of ``BLOCK`` examples with the largest weight of each
-term per block.
+reweight the sample). Terms are words and word beginnings. Every term of the
+examples counts whose relation to the label passes a likelihood-ratio test at
+the ten-per-cent level, toxic and clean ones alike; there is no cap on them. A
+term weighs (1 + log tf) times its inverse document frequency times the log of
+its ratio, so the long tail of the vocabulary takes part without drowning the
+terms that tell. Examples, clean ones included, are unit vectors in an inverted
+index whose postings stand in blocks of ``BLOCK`` examples with the largest
+weight of each term per block.
 
 Scoring takes a text's terms, bounds every block by the sum of its block
-maxima, and visits blocks in falling order of that bound until no block can
-beat the k-th neighbour: the neighbours are exactly those of a full search.
-Votes are weighted by distance and mapped to probabilities by an isotonic
-fit on leave-one-out votes. A score depends on the text alone.
+maxima, reads the blocks of the largest bounds, and then all others whose bound
+reaches the k-th neighbour so far: the neighbours are exactly those of a full
+search. Votes are weighted by distance and mapped to probabilities by an
+isotonic fit on leave-one-out votes, which the executors cast. A score depends
+on the text alone, and no text reaches the driver.
 """
 
 from __future__ import annotations
 
-import itertools
+import hashlib
 import math
 import re
 import zlib
@@ -26,16 +30,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions.shared import materialise
 
-NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.3
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MIN_ODDS = 4096, 12288, 8192, 50.0
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, THRESHOLD = 15, 128, 4, 0.3
+MAX_TOXIC, MAX_CLEAN, MIN_EXAMPLES = 4096, 12288, 3
+SIGNIFICANT = 2.706  # of the likelihood ratio: the ten-per-cent point of chi-squared
 WORD = re.compile(r"[^\W\d_]+")
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
+SKETCH, CACHED_WORDS = 4, 300_000
 EVIDENCE = "struct<score:double,evidence:array<struct<doc_id:long,label:int,cosine:double,term:string>>>"
+VECTOR = "_id long, toxic int, terms array<int>, counts array<int>"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,6 +50,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
 def terms_of(word: str) -> list[str]:
     """The word and its beginnings (marked by a star)."""
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
@@ -53,21 +64,22 @@ def _count_terms(batches):
     for batch in batches:
         seen = {0: Counter(), 1: Counter()}
         for text, y in zip(batch["text"], batch["toxic"], strict=True):
-            words = set(WORD.findall((text or "").lower()))
-            seen[int(y)].update({t for w in words for t in terms_of(w)})
+            seen[int(y)].update({t for w in set(words_of(text)) for t in terms_of(w)})
         names = list(seen[0] | seen[1])
         if names:
             yield pd.DataFrame({"term": names, "toxic": [seen[1][t] for t in names], "clean": [seen[0][t] for t in names]})
 
 
-def _keyed(batches):
-    """A key that near copies mostly share: the smallest checksum of a pair of adjacent words."""
-    for batch in batches:
-        keys = []
-        for text in batch["text"]:
-            words = WORD.findall((text or "").lower())
-            keys.append(min((zlib.crc32(f"{a} {b}".encode()) for a, b in itertools.pairwise(words)), default=-1))
-        yield batch[["_id", "toxic"]].assign(key=keys)
+def sketch(text: str | None) -> str:
+    """What near copies mostly share and other texts do not: the smallest checksums of adjacent words.
+
+    Texts of fewer than ``SKETCH`` pairs are told apart by their whole sequence of words.
+    """
+    words = words_of(text)
+    pairs = {zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)}
+    if len(pairs) < SKETCH:
+        return "=" + hashlib.md5(" ".join(words).encode()).hexdigest()
+    return ",".join(map(str, sorted(pairs)[:SKETCH]))
 
 
 def _likelihood_ratio(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
@@ -78,63 +90,104 @@ def _likelihood_ratio(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
     return 2 * (out + cell(n1 - toxic, (n - row) * (n1 / n)) + cell(n0 - clean, (n - row) * (n0 / n)))
 
 
+@dataclass
+class Lexicon:
+    """The vocabulary with the weight of every term."""
+
+    place: dict[str, int]
+    weight: np.ndarray
+    digest: str
+
+    def counts(self, text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of the known terms in a text, by place."""
+        counts: Counter = Counter()
+        for w, n in Counter(words_of(text)).items():
+            known = cache.get(w)
+            if known is None:
+                known = tuple(self.place[t] for t in terms_of(w) if t in self.place)
+                if len(cache) < CACHED_WORDS:
+                    cache[w] = known
+            for t in known:
+                counts[t] += n
+        terms = np.fromiter(counts.keys(), np.int64, len(counts))
+        order = np.argsort(terms)
+        return terms[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Unit TF-IDF weights of the terms; empty if there are none."""
+        v = (1 + np.log(counts)) * self.weight[terms]
+        norm = math.sqrt(float(v @ v))
+        return v / norm if norm else v
+
+
+def lexicon(terms: list[str], df: list[int], ratio: list[float], n: int) -> Lexicon:
+    weight = np.log((1 + n) / (1 + np.array(df, np.float64))) * np.log1p(np.array(ratio, np.float64))
+    keep = np.nonzero(weight > 0)[0]
+    names = [terms[i] for i in keep.tolist()]
+    digest = hashlib.md5(("\n".join(names) + str(weight.sum())).encode()).hexdigest()
+    return Lexicon({t: i for i, t in enumerate(names)}, weight[keep], digest)
+
+
 @dataclass
 class Index:
     """Block-max inverted index of the labelled examples."""
 
-    vocabulary: dict[str, int]
-    idf: np.ndarray
+    lexicon: Lexicon
     ids: np.ndarray  # of the examples, in index order
     labels: np.ndarray
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]]  # by term: block -> places, weights
+    places: np.ndarray  # postings, term by term and in rising place
+    weights: np.ndarray
+    starts: np.ndarray  # term x (blocks + 1): where a term's postings of a block begin
     maxima: np.ndarray  # term x block
     priors: np.ndarray  # weight of a vote by label
     steps: tuple[np.ndarray, np.ndarray]  # isotonic: raw vote from -> probability
     blank: float  # probability without any neighbour
 
-    def vector(self, text: str | None, cache: dict) -> dict[int, float]:
-        """Unit TF-IDF vector over the vocabulary; empty if no term is known."""
-        counts: Counter = Counter()
-        for w, n in Counter(WORD.findall((text or "").lower())).items():
-            known = cache.get(w)
-            if known is None:
-                known = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
-                if len(cache) < 300_000:
-                    cache[w] = known
-            for t in known:
-                counts[t] += n
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in sorted(v.items())} if norm else {}
-
-    def nearest(self, v: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above zero, ties to the earlier one; ``without`` leaves one out."""
-        if not v:
+    def _read(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, contribution, index of the term) of the postings in some blocks."""
+        a, b = self.starts[terms[:, None], blocks].ravel(), self.starts[terms[:, None], blocks + 1].ravel()
+        n = b - a
+        which = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        which //= len(blocks)
+        return self.places[at], self.weights[at] * weights[which], which
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1, explain: bool = False) -> list[tuple[float, int, int]]:
+        """(cosine, place, strongest shared term or -1) of the k nearest above zero, ties to the earlier one."""
+        if not len(terms) or not len(self.ids):
             return []
-        terms, weights = list(v), np.array(list(v.values()))
         bound = weights @ self.maxima[terms]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in v.items():
-                if found := self.postings[t].get(block):
-                    scores[found[0]] += w * found[1]
-            own = [(round(float(scores[i]), 12), block * BLOCK + i) for i in np.nonzero(scores)[0].tolist() if block * BLOCK + i != without]
-            best = sorted(best + own, key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        total, read, best = np.zeros(len(self.ids)), [], np.zeros(0, np.int64)
+        while len(order):
+            now, order = order[:FIRST_BLOCKS] if not read else order, order[FIRST_BLOCKS:] if not read else order[:0]
+            found = self._read(terms, weights, now)
+            read.append(found)
+            total += np.bincount(found[0], found[1], len(total))
+            if 0 <= without < len(total):
+                total[without] = 0
+            if len(order):
+                kth = np.partition(total, len(total) - k)[len(total) - k] if len(total) > k else 0.0
+                order = order[bound[order] >= kth - 1e-9]
+        total = np.round(total, 12)
+        some = np.nonzero(total > 0)[0]
+        best = some[np.lexsort((some, -total[some]))[:k]]
+        why = dict.fromkeys(best.tolist(), -1)
+        for i in best[:3].tolist() if explain else ():
+            why[i] = max((float(w), int(terms[t])) for p, c, q in read for w, t in zip(c[p == i], q[p == i], strict=True))[1]
+        return [(float(total[i]), i, why[i]) for i in best.tolist()]
+
+    def vote(self, near: list[tuple[float, int, int]]) -> float:
         """Share of the toxic label among the neighbours, weighted by one over distance."""
         total = toxic = 0.0
-        for cosine, i in near:
+        for cosine, i, _ in near:
             w = self.priors[self.labels[i]] * cosine / (1.05 - min(1.0, cosine))
             total += w
             toxic += w * self.labels[i]
         return toxic / total
 
-    def probability(self, near: list[tuple[float, int]]) -> float:
+    def probability(self, near: list[tuple[float, int, int]]) -> float:
         if not near:
             return self.blank
         at = np.searchsorted(self.steps[0], self.vote(near), side="right") - 1
@@ -158,101 +211,134 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1.0) for p in pools])
 
 
-def build_index(examples: list[tuple[int, str | None, int]], vocabulary: list[str], totals: tuple[int, int]) -> Index:
-    """The index of (id, text, label) examples; ``totals`` are the rows of either label they stand for."""
-    place = {t: i for i, t in enumerate(vocabulary)}
-    index = Index(place, np.ones(len(place)), np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros((len(place), 0)), np.ones(2), (np.zeros(1), np.zeros(1)), 0.0)
-    cache: dict = {}
-    df: Counter = Counter()
-    for _, text, _ in examples:
-        df.update(index.vector(text, cache).keys())
-    index.idf = np.array([math.log((1 + len(examples)) / (1 + df[t])) + 1 for t in range(len(place))])
-    vectors = [(i, y, index.vector(text, cache)) for i, text, y in examples]
-    sampled = [sum(y == c for _, y, _ in vectors) for c in (0, 1)]
-    index.priors = np.array([totals[c] / max(1, sampled[c]) for c in (0, 1)])
-    empty = [sum(y == c and not v for _, y, v in vectors) * index.priors[c] for c in (0, 1)]
-    index.blank = (empty[1] + 0.5) / (empty[0] + empty[1] + 5.0) if vectors else 0.05
-    held = [x for x in vectors if x[2]]
-    index.ids, index.labels = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-    gathered: list[dict[int, list]] = [{} for _ in place]
-    for i, (_, _, v) in enumerate(held):
-        for t, w in v.items():
-            gathered[t].setdefault(i // BLOCK, []).append((i % BLOCK, w))
-    index.postings = [{b: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for b, x in g.items()} for g in gathered]
-    index.maxima = np.zeros((len(place), -(-len(held) // BLOCK)))
-    for t, blocks in enumerate(index.postings):
-        for b, (_, w) in blocks.items():
-            index.maxima[t, b] = w.max()
-    votes = [(index.vote(near), y) for i, (_, y, v) in enumerate(held) if (near := index.nearest(v, without=i))]
-    if votes:
-        x, y = np.array([a for a, _ in votes]), np.array([b for _, b in votes])
-        index.steps = isotonic(x, y, index.priors[y])
-    return index
+def build_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]], words: Lexicon, totals: tuple[int, int]) -> Index:
+    """The uncalibrated index of (id, label, terms, counts); ``totals`` are the rows of either label they stand for.
+
+    Examples stand in the order of label and heaviest term, which keeps like ones in one block and its maxima tight.
+    """
+    vectors = [(i, y, t, words.vector(t, c)) for i, y, t, c in examples]
+    sampled = [sum(y == c for _, y, _, _ in vectors) for c in (0, 1)]
+    priors = np.array([totals[c] / max(1, sampled[c]) for c in (0, 1)])
+    empty = [sum(y == c and not len(t) for _, y, t, _ in vectors) * priors[c] for c in (0, 1)]
+    blank = (empty[1] + 0.5) / (empty[0] + empty[1] + 5.0) if vectors else 0.05
+    held = sorted((x for x in vectors if len(x[2])), key=lambda x: (x[1], int(x[2][x[3].argmax()]), x[0]))
+    terms = np.concatenate([x[2] for x in held] or [np.zeros(0, np.int64)])
+    weights = np.concatenate([x[3] for x in held] or [np.zeros(0)])
+    places = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+    order = np.lexsort((places, terms))
+    terms, weights, places = terms[order], weights[order], places[order].astype(np.int32)
+    blocks = -(-len(held) // BLOCK)
+    cell = terms * max(1, blocks) + places // BLOCK
+    n = np.bincount(cell, minlength=len(words.place) * blocks).reshape(len(words.place), blocks) if blocks else np.zeros((len(words.place), 0), np.int64)
+    ends = np.cumsum(n).reshape(n.shape)
+    starts = np.concatenate([(ends - n)[:, :1], ends], axis=1) if blocks else np.zeros((len(words.place), 1), np.int64)
+    maxima = np.zeros(n.size)
+    np.maximum.at(maxima, cell, weights)
+    ids, labels = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+    return Index(words, ids, labels, places, weights, starts.astype(np.int32), maxima.reshape(n.shape), priors, (np.zeros(1), np.full(1, blank)), blank)
+
+
+_KNOWN_WORDS: dict[str, dict] = {}
+
+
+def _word_cache(digest: str) -> dict:
+    """Of one lexicon at a time; outlives the task in a reused worker."""
+    if digest not in _KNOWN_WORDS:
+        _KNOWN_WORDS.clear()
+        _KNOWN_WORDS[digest] = {}
+    return _KNOWN_WORDS[digest]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Index:
     """Learn from ``labels(doc_id, toxic)`` rows outside the held-out fold.
 
-    Labels that are null are left out, conflicting ones count as toxic. Without
-    any labelled text the index is empty and every score the same low value.
+    Labels that are null are left out, conflicting ones count as toxic. Near
+    copies of one example (equal sketches) are one observation. Without any
+    labelled text the index is empty and every score the same low value.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     first = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = first(1, max_toxic).unionByName(first(0, max_clean)).select("_id", "toxic")
     # At most max_toxic + max_clean rows, so the broadcast is bounded.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    texts = materialise(texts)
-    # Near copies of one example are one observation, not many.
-    alone = texts.mapInPandas(_keyed, "_id long, toxic int, key long").groupBy("key", "toxic").agg(F.min("_id").alias("_id")).select("_id")
-    texts = materialise(texts.join(F.broadcast(alone.distinct()), "_id"))
+    texts = materialise(texts.withColumn("key", F.pandas_udf(lambda ts: ts.map(sketch, na_action=None), "string")("text")))
+    alone = texts.groupBy("key", "toxic").agg(F.min("_id").alias("_id")).select("_id")
+    texts = materialise(texts.join(F.broadcast(alone.distinct()), "_id").dropDuplicates(["_id"]).select("_id", "text", "toxic"))
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     counted = texts.select("text", "toxic").mapInPandas(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counted = counted.where("toxic + clean >= 3").withColumn("g", _likelihood_ratio(F.col("toxic"), F.col("clean"), max(1, n1), max(1, n0)))
-    limit = 2 * math.log(max(2, n1 + n0)) + 8
-    odds = F.log((F.col("toxic") + 0.5) * (n0 - F.col("clean") + 0.5) / ((F.col("clean") + 0.5) * (n1 - F.col("toxic") + 0.5)))
-    vocabulary = [r["term"] for r in counted.where((F.col("g") > limit) & (F.abs(odds) >= math.log(MIN_ODDS))).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()]
-    words = set(vocabulary)
-    rows = texts.mapInPandas(_thinned(words), "_id long, text string, toxic int").orderBy(F.xxhash64("_id"), "_id").collect()
-    return build_index([(r["_id"], r["text"], r["toxic"]) for r in rows], vocabulary, (totals.get(0, 0), totals.get(1, 0)))
+    counted = counted.where(F.col("toxic") + F.col("clean") >= MIN_EXAMPLES).withColumn("g", _likelihood_ratio(F.col("toxic"), F.col("clean"), max(1, n1), max(1, n0)))
+    told = counted.where(F.col("g") > SIGNIFICANT).select("term", (F.col("toxic") + F.col("clean")).alias("df"), "g").toPandas().sort_values("term")
+    words = lexicon(told["term"].tolist(), told["df"].tolist(), told["g"].tolist(), n1 + n0)
+    rows = texts.mapInPandas(_vectors(spark.sparkContext.broadcast(words)), VECTOR)
+    rows = sorted(((r["_id"], r["toxic"], np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in rows.toLocalIterator()), key=lambda r: r[0])
+    index = build_index(rows, words, (totals.get(0, 0), totals.get(1, 0)))
+    return calibrate(spark, index)
+
 
+def _vectors(words):
+    """Examples as places and numbers of their terms: what reaches the driver has no text."""
+
+    def run(batches):
+        held = words.value
+        for batch in batches:
+            got = [held.counts(t, _word_cache(held.digest)) for t in batch["text"]]
+            if got:
+                yield pd.DataFrame({"_id": batch["_id"], "toxic": batch["toxic"], "terms": [t.tolist() for t, _ in got], "counts": [c.tolist() for _, c in got]})
+
+    return run
 
-def _thinned(vocabulary: set[str]):
-    """Examples cut to the words that have a term in the vocabulary, which is all that vectors use."""
+
+def _votes(index):
+    """(vote, label) of every example among the others; nothing for one without neighbours."""
 
     def run(batches):
+        held = index.value
+        order = np.argsort(held.ids)
         for batch in batches:
-            batch["text"] = [" ".join(w for w in WORD.findall((t or "").lower()) if any(x in vocabulary for x in terms_of(w))) for t in batch["text"]]
-            if len(batch):
-                yield batch[["_id", "text", "toxic"]]
+            at = order[np.searchsorted(held.ids[order], batch["_id"].to_numpy())] if len(batch) else []
+            rows = []
+            for i, t, w in zip(at, batch["terms"], batch["weights"], strict=True):
+                near = held.nearest(np.asarray(t, np.int64), np.asarray(w, np.float64), without=int(i))
+                if near:
+                    rows.append((held.vote(near), int(held.labels[i])))
+            yield pd.DataFrame(rows, columns=["vote", "label"]).astype({"vote": "float64", "label": "int32"})
 
     return run
 
 
-def scorer(index: Index):
+def calibrate(spark: SparkSession, index: Index) -> Index:
+    """The index with its isotonic steps; the leave-one-out votes are cast on the executors."""
+    if not len(index.ids):
+        return index
+    by_example = np.argsort(index.places, kind="stable")
+    term_of = np.repeat(np.arange(len(index.starts)), index.starts[:, -1] - index.starts[:, 0])[by_example]
+    cuts = np.cumsum(np.bincount(index.places, minlength=len(index.ids)))[:-1]
+    rows = pd.DataFrame({"_id": index.ids, "terms": [x.tolist() for x in np.split(term_of, cuts)], "weights": [x.tolist() for x in np.split(index.weights[by_example], cuts)]})
+    df = spark.createDataFrame(rows, "_id long, terms array<int>, weights array<double>").repartition(spark.sparkContext.defaultParallelism)
+    votes = df.mapInPandas(_votes(spark.sparkContext.broadcast(index)), "vote double, label int").toPandas().sort_values(["vote", "label"])
+    if len(votes):
+        y = votes["label"].to_numpy()
+        index.steps = isotonic(votes["vote"].to_numpy(), y, index.priors[y])
+    return index
+
+
+def scorer(spark: SparkSession, index: Index, explain: bool = True):
     """Pandas UDF: text -> struct of score and evidence (the neighbours, each with its strongest shared term)."""
-    names = {i: t for t, i in index.vocabulary.items()}
+    shared = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf(EVIDENCE)
     def score(batches: pd.Series) -> pd.DataFrame:
-        import sys
-
-        held = sys.__dict__.setdefault("_quadrille_terms", {})
-        mark = (len(names), names.get(0), float(index.idf.sum()))
-        if held.get("mark") != mark:
-            held.clear()
-            held.update(mark=mark, cache={})
+        held = shared.value
+        cache, names = _word_cache(held.lexicon.digest), list(held.lexicon.place)
         out = []
         for text in batches:
-            v = index.vector(text, held["cache"])
-            near = index.nearest(v)
-            told = []
-            for cosine, i in near[:3]:
-                block, at = divmod(i, BLOCK)
-                shared = [(w * float(f[1][f[0] == at][0]), t) for t, w in v.items() if (f := index.postings[t].get(block)) and (f[0] == at).any()]
-                told.append({"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": cosine, "term": names[max(shared)[1]]})
-            out.append((index.probability(near), told))
+            terms, counts = held.lexicon.counts(text, cache)
+            near = held.nearest(terms, held.lexicon.vector(terms, counts), explain=explain)
+            told = [{"doc_id": int(held.ids[i]), "label": int(held.labels[i]), "cosine": cosine, "term": names[t]} for cosine, i, t in near[:3]] if explain else []
+            out.append((held.probability(near), told))
         return pd.DataFrame(out, columns=["score", "evidence"])
 
     return score
@@ -264,13 +350,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Null and empty texts have no term and take the blank probability; repeated
     rows stay; other columns are not read; an empty table gives no rows.
     """
-    score = scorer(fit(docs, labels, id_col, text_col, **limits))
+    score = scorer(docs.sparkSession, fit(docs, labels, id_col, text_col, **limits))
     out = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col)).alias("s"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("s.score").alias("score"), (F.col("s.score") >= THRESHOLD).cast("int").alias("predicted"), F.col("s.evidence").alias("evidence"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows predicted toxic; the same columns."""
-    score = scorer(fit(docs, labels, text_col=text_col, **options))
+    score = scorer(docs.sparkSession, fit(docs, labels, text_col=text_col, **options), explain=False)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(F.col(text_col))["score"].alias("score"))
     return held.where(F.col("score") < THRESHOLD).select("row.*")

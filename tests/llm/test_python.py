@@ -122,30 +122,61 @@ def test_pack(spark, sf):
 
 
 # ---- toxicity ----
-def test_toxicity(spark, sf):
-    path = sf.replace("0.001", "0.01")
+def test_toxicity_held_out(spark, sf):
+    path = sf.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
     odd = spark.createDataFrame(ODD, DOCS).select("doc_id", "text")
-    got = toxicity.score_documents(docs.select("doc_id", "text").unionByName(odd), labels).collect()
+    got = toxicity.score_documents(docs.select("doc_id", "text").unionByName(odd), labels).drop("evidence").collect()
     assert len(got) == docs.count() + len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
-    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    english = {r["doc_id"] for r in docs.where("lang = 'en'").collect()}
-    held = [(known[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in known and r["doc_id"] in english]
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
-    assert sum(a == b for a, b in held) / len(held) > 0.97
-    assert toxicity.drop_toxic(spark.createDataFrame(ODD, DOCS), labels.limit(0)).columns == [c.split()[0] for c in DOCS.split(", ")]
+    known, lang = {r["doc_id"]: r["toxic"] for r in labels.collect()}, {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    held = [(lang[r["doc_id"]], known[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in known]
+    for code in ("en", "de", "fr", "es"):
+        toxic = [p for x, y, p in held if x == code and y == 1]
+        assert sum(toxic) / len(toxic) >= 0.9
+    assert sum(y for _, y, p in held if p) / sum(p for _, _, p in held) > 0.9
 
 
-def test_toxicity_neighbours_are_exact():
+def test_toxicity_odd(spark, sf):
+    docs, labels = spark.createDataFrame(ODD, DOCS), spark.read.parquet(f"{sf}/labels.parquet")
+    assert toxicity.drop_toxic(docs, labels.limit(0)).columns == [c.split()[0] for c in DOCS.split(", ")]
+    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(ODD)
+    assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+    said = lambda i: " ".join(f"{chr(97 + (i * k) % 23)}{chr(97 + (i + k) % 19)}{chr(97 + i % 17)}o" for k in range(3, 9))
+    shouting = [(i, f"you {said(i)} worthless fool {said(i + 50)}") for i in range(40)] + [(100 + i, f"a calm {said(i + 100)} sentence {said(i + 150)}") for i in range(40)]
+    marked = spark.createDataFrame([(i, int(i < 100)) for i, _ in shouting] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    left = toxicity.drop_toxic(spark.createDataFrame([(i, t, "x") for i, t in shouting], "doc_id long, text string, score string"), marked)
+    assert left.columns == ["doc_id", "text", "score"] and sorted(r["doc_id"] for r in left.collect()) == list(range(100, 140))
+
+
+def test_toxicity_sketch():
+    long = " ".join(f"w{i % 97}x{chr(97 + i % 13)}" for i in range(400))
+    assert toxicity.sketch(long) == toxicity.sketch(long.upper()) and toxicity.sketch(None) == toxicity.sketch("")
+    assert len({toxicity.sketch(t) for t in ("one", "two", "three four", "four three", "", long)}) == 6
+
+
+def test_toxicity_neighbours_are_exact(sf):
+    texts = [r["text"] for r in pq.read_table(f"{sf.replace('0.001', '0.01')}/documents.parquet").to_pylist()]
+    df = Counter(t for text in texts[:900] for t in {x for w in set(toxicity.words_of(text)) for x in toxicity.terms_of(w)})
+    terms = sorted(t for t, n in df.items() if n >= 3)
     rng = np.random.default_rng(3)
-    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
-    examples = [(i, " ".join(rng.choice(words, rng.integers(1, 12))), int(rng.random() < 0.4)) for i in range(700)]
-    index = toxicity.build_index(examples, words, (400, 300))
-    vectors = [v for _, text, _ in examples if (v := index.vector(text, {}))]
-    for _ in range(40):
-        v = index.vector(" ".join(rng.choice(words, rng.integers(1, 9))), {})
-        want = sorted(((-round(sum(w * u.get(t, 0.0) for t, w in v.items()), 12), i) for i, u in enumerate(vectors)))[: toxicity.NEIGHBOURS]
-        assert [(i, pytest.approx(-s, abs=1e-9)) for s, i in want if s < 0] == [(i, s) for s, i in index.nearest(v)]
+    words = toxicity.lexicon(terms, [df[t] for t in terms], rng.exponential(3, len(terms)).tolist(), 900)
+    examples = [(i, int(rng.random() < 0.4), *words.counts(text, {})) for i, text in enumerate(texts[:900])]
+    index = toxicity.build_index(examples, words, (500, 400))
+    dense = np.zeros((len(index.ids), len(words.place)))
+    for i, (_, _, t, c) in enumerate(examples):
+        if len(t):
+            dense[int(np.nonzero(index.ids == i)[0][0]), t] = words.vector(t, c)
+    for text in texts[880:940]:
+        t, c = words.counts(text, {})
+        q = np.zeros(len(words.place))
+        q[t] = words.vector(t, c)
+        s = np.round(dense @ q, 12)
+        want = [i for i in np.lexsort((np.arange(len(s)), -s)) if s[i] > 0][: toxicity.NEIGHBOURS]
+        near = index.nearest(t, words.vector(t, c), explain=True)
+        assert [i for _, i, _ in near] == want or np.allclose([x for x, _, _ in near], s[want], atol=1e-9)
+        for cosine, i, term in near[:3]:
+            assert cosine == pytest.approx(s[i], abs=1e-9) and dense[i, term] * q[term] == pytest.approx((dense[i] * q).max())
 
 
 # ---- secrets ----
