@@ -3,22 +3,30 @@
 Detected entities are replaced by a keyed permutation of their own format:
 every character class of a template (digits, letters of either case, by
 script) is one digit of a mixed-radix number, and a Feistel network with
-cycle walking permutes the numbers of that template. The map is one to one,
-so different entities stay different, equal ones stay equal everywhere, and
-shape, script, issuer, country, top-level domain and check digits survive.
-Person names come from lists of the same script and gender instead, with the
-surname and given names mapped apart.
-
-Collision checks run in Spark over the distinct entities of the whole
-corpus: where two entities would share a surrogate, or a surrogate is an entity
-that occurs itself, all but the smallest entity move to their next candidate
-until none collide. Only those exceptions are joined back to documents.
+cycle walking permutes the numbers of that template. Letters outside the three
+alphabets form classes with the letters of their kind in the same stretch of
+code points. The map is one to one, so different entities stay different, equal
+ones stay equal everywhere, and shape, script, issuer, country, top-level domain
+and check digits survive. Digits of any script count by their value and are
+written back in their own script.
+
+A person's name is a list of parts. The surname maps by itself, whatever title
+or given name stands with it, so "Dr. Weber" and "Frau Weber" stay one family;
+given names map to given names of the same script and gender.
+
+Collision checks run in Spark over the distinct entities (parts of names
+each for itself) of the whole corpus: where two would share a surrogate, or a
+surrogate is an entity that occurs itself, all but the smallest move to their
+next candidate until none collide; it is an error if that does not end. Only
+those exceptions are joined back to documents.
 """
 
 from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,10 +35,10 @@ from pyspark.sql import functions as F
 from quadrille.functions.shared import materialise
 
 KEY = b"quadrille-surrogates"
-MAX_ROUNDS = 40
+MAX_ROUNDS, SALTS = 60, 8
 TYPES = ("email", "phone", "card", "ip", "iban", "ssn", "name")
 
-# Name lists by script and gender, and titles that tell a gender.
+# Choices of this library: name lists by script and gender, and titles that tell a gender.
 GIVEN = {
     ("latin", "f"): "Alma Bettina Carla Dora Elena Flora Greta Helga Irma Julia Karla Linda Marta Nora Olga Paula Rosa Silvia Tilda Vera".split(),
     ("latin", "m"): "Albert Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oscar Paul Robert Simon Tobias Victor".split(),
@@ -49,7 +57,7 @@ SURNAMES = {
 }
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Mx": "n", "Dr": "n", "Prof": "n", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Srta": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 
-AT_LOCAL = re.compile(r"[^\W_](?:[\w.+%-]*[\w+%-])?\Z")
+LOCAL_MARKS = "._+%-"
 AT_DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}(?!\w)")
 DIGITS = re.compile(r"(?<![\w.])\+?\(?\d[\d ().\-/]{5,}\d(?![\w])")
 IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}\Z")
@@ -63,11 +71,36 @@ INNER_CARD = re.compile(r"(?<![\d.\-+])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[
 FOUR_BEFORE, FOUR_AFTER = re.compile(r"(?<!\d)\d{4}[ -]\Z"), re.compile(r"[ -]\d{4}(?!\d)")
 INNER_PHONE = re.compile(r"(?<![\d.\-])(?:\(\d{3}\)[ .\-/]?|\d{3}[ .\-/])\d{3}[ .\-]\d{4}(?![.\-]?\d)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-NAME = re.compile(r"(?<!\w)(%s)\.?[ ]+((?:[^\W\d_]+(?:[-'][^\W\d_]+)*)(?:[ ]+[^\W\d_]+(?:[-'][^\W\d_]+)*){0,2})" % "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)))
+TITLE = re.compile(r"(?<!\w)(%s)(?!\w)\.?[ ]+" % "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)))
+NAME_WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")
+MAX_NAME_WORDS = 3
 
 LOWER = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 ALPHABETS = [("0123456789"), *LOWER.values(), *(x.upper() for x in LOWER.values())]
-CLASS_OF = {c: i for i, a in enumerate(ALPHABETS) for c in a}
+CLASS_OF = {c: a for a in ALPHABETS for c in a}
+BEYOND = 256  # code points that share classes outside of the alphabets
+
+
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> str:
+    """The characters that may stand for ``c``, itself included; none for marks and separators."""
+    if c in CLASS_OF:
+        return CLASS_OF[c]
+    if c.isdecimal():
+        return "".join(chr(ord(c) - unicodedata.decimal(c) + i) for i in range(10))
+    if not c.isalnum():
+        return ""
+    start, kind = ord(c) // BEYOND * BEYOND, (unicodedata.category(c), c.lower() == c)
+    return "".join(x for x in map(chr, range(start, start + BEYOND)) if x not in CLASS_OF and (unicodedata.category(x), x.lower() == x) == kind and x.isalnum() and len(x.lower()) == 1 and len(x.upper()) == 1) if len(c.lower()) == len(c.upper()) == 1 else c
+
+
+def ascii_digits(text: str) -> str:
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def digit_like(digit: str, c: str) -> str:
+    """An ASCII digit in the script of the digit ``c``."""
+    return digit if c.isascii() or not c.isdecimal() or not digit.isdecimal() else chr(ord(c) - unicodedata.decimal(c) + int(digit))
 
 
 def luhn_digit(digits: str) -> int:
@@ -107,17 +140,19 @@ def _feistel(value: int, size: int, key: bytes, tweak: str) -> int:
 def permute(text: str, key: bytes, tweak: str, valid=None) -> str:
     """``text`` with its class characters permuted within their template; others stay.
 
-    With ``valid`` the permutation is walked until the result is valid, which
-    stays one to one on the valid texts.
+    With ``valid`` the permutation of valid texts is walked until the result is
+    valid, which stays one to one on them.
     """
-    places = [(i, ALPHABETS[CLASS_OF[c]]) for i, c in enumerate(text) if c in CLASS_OF]
+    places = [(i, a) for i, c in enumerate(text) if (a := alphabet(c))]
     size = 1
     for _, a in places:
         size *= len(a)
     if size == 1:
         return text
-    template = tweak + "|" + "".join(str(CLASS_OF[c]) if c in CLASS_OF else c for c in text)
-    for _ in range(1000):
+    if valid and not valid(text):
+        valid = None  # the walk comes back to a valid start, and need not end from another
+    template = tweak + "|" + "".join(min(a) if (a := alphabet(c)) else c for c in text)
+    while True:
         value = 0
         for i, a in places:
             value = value * len(a) + a.index(text[i])
@@ -127,8 +162,7 @@ def permute(text: str, key: bytes, tweak: str, valid=None) -> str:
             out[i] = a[at]
         text = "".join(out)
         if valid is None or valid(text):
-            break
-    return text
+            return text
 
 
 def _public_ip(text: str) -> bool:
@@ -138,7 +172,7 @@ def _public_ip(text: str) -> bool:
 
 
 def surrogate(entity: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The replacement of a canonical entity ``type|gender|value``."""
+    """The replacement of a canonical entity ``type|gender|value`` (of a name: of one part)."""
     kind, gender, value = entity.split("|", 2)
     tweak = f"{kind}.{attempt}"
     if kind == "email":
@@ -163,7 +197,20 @@ def surrogate(entity: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "iban":
         rest = permute(value[4:], key, tweak + value[:2])
         return value[:2] + _iban_check(value[:2], rest) + rest
-    return _name(value, gender, attempt, key)
+    return _name(kind, value, gender, attempt, key)
+
+
+def parts_of(entity: str) -> list[str]:
+    """What maps by itself: the given names and the surname of a name, else the entity."""
+    if not entity.startswith("name|"):
+        return [entity]
+    _, gender, value = entity.split("|", 2)
+    words = value.split(" ")
+    return [*(f"given|{gender}|{w}" for w in words[:-1]), f"family||{words[-1]}"]
+
+
+def replacement(entity: str, attempts: dict[str, int], key: bytes = KEY) -> str:
+    return " ".join(surrogate(x, attempts.get(x, 0), key) for x in parts_of(entity))
 
 
 def _octets(value: str, key: bytes, tweak: str) -> str:
@@ -174,18 +221,25 @@ def _octets(value: str, key: bytes, tweak: str) -> str:
     return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
 
 
-def _name(value: str, gender: str, attempt: int, key: bytes) -> str:
-    words, script = value.split(" "), script_of(value)
-    pick = lambda what, pool: pool[int.from_bytes(hmac.digest(key, f"{script}|{gender}|{what}|{attempt}".encode(), "sha256")[:8], "big") % len(pool)]
-    given = [pick(f"{i}.{w}", GIVEN[script, gender]) for i, w in enumerate(words[:-1])]
-    family = pick(words[-1], SURNAMES[script])
-    for extra in range(attempt // 4):  # a used-up list goes on with double surnames
-        family += "-" + pick(f"{words[-1]}.{extra}", SURNAMES[script])
-    return " ".join([*given, family])
+def _name(kind: str, value: str, gender: str, attempt: int, key: bytes) -> str:
+    script = script_of(value)
+    pool = SURNAMES[script] if kind == "family" else GIVEN[script, gender]
+    pick = lambda what: pool[int.from_bytes(hmac.digest(key, f"{kind}|{script}|{gender}|{value}|{what}".encode(), "sha256")[:8], "big") % len(pool)]
+    # A used-up list goes on with double names, so candidates outgrow any corpus.
+    return "-".join([pick(attempt), *(pick(f"{attempt}.{extra}") for extra in range(attempt // 2))])
+
+
+def gender_of(titled: str, given: str) -> str:
+    """The title's gender, or for a neutral title what the given name tells."""
+    if titled != "n" or not given:
+        return titled
+    known = {g for (_, g), names in GIVEN.items() if given in (x.lower() for x in names)} - {"n"}
+    return known.pop() if len(known) == 1 else "f" if given[-1] in "aаяα" else "n"
 
 
 def _number(raw: str) -> str | None:
     """The canonical entity that a run of digits and separators is as a whole."""
+    raw = ascii_digits(raw)
     digits = re.sub(r"\D", "", raw)
     if IP.match(raw) and all(int(p) < 256 and str(int(p)) == p for p in raw.split(".")):
         return f"ip||{raw}"
@@ -253,31 +307,45 @@ def _phones(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     return [(start + m.start(), start + m.end(), x) for m in INNER_PHONE.finditer(run) if (spaced or re.search(r"[().\-/]", m[0])) and (x := _number(m[0]))]
 
 
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """Names after titles: up to ``MAX_NAME_WORDS`` capitalised words that are no titles themselves."""
+    out = []
+    for m in TITLE.finditer(text):
+        at, end, words = m.end(), m.end(), []
+        while len(words) < MAX_NAME_WORDS and (w := NAME_WORD.match(text, at)) and w[0][0].isupper() and w[0] not in TITLES:
+            words.append(w[0].lower())
+            at = end = w.end()
+            while at < len(text) and text[at] == " ":
+                at += 1
+            if at == end:
+                break
+        if words:
+            before = TITLE.search(text, max(0, m.start() - 16), m.start())  # "Frau Dr. Weber"
+            title = TITLES[before[1]] if TITLES[m[1]] == "n" and before and before.end() == m.start() else TITLES[m[1]]
+            out.append((m.end(), end, f"name|{gender_of(title, words[0] if len(words) > 1 else '')}|{' '.join(words)}"))
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, canonical entity) of every mention, leftmost first, without overlaps."""
     found: list[tuple[int, int, str]] = []
     at = text.find("@")
     while at >= 0:
-        local, domain = AT_LOCAL.search(text, max(0, at - 64), at), AT_DOMAIN.match(text, at + 1)
-        if local and domain:
-            found.append((local.start(), domain.end(), f"email||{text[local.start():at]}@{domain[0].lower()}"))
+        domain, start = AT_DOMAIN.match(text, at + 1), at
+        while domain and start and (text[start - 1].isalnum() or text[start - 1] in LOCAL_MARKS):
+            start -= 1
+        while start < at and not text[start].isalnum():
+            start += 1
+        if domain and start < at and text[at - 1] != ".":
+            local = text[start:at]
+            found.append((start, domain.end(), f"email||{local.lower() if len(local.lower()) == len(local) else local}@{domain[0].lower()}"))
         at = text.find("@", at + 1)
     for m in DIGITS.finditer(text):
         found += numbers(text, *m.span())
     if any(t in text for t in TITLES):
-        for m in NAME.finditer(text):
-            words = []
-            for w in m[2].split():
-                if not w[0].isupper():
-                    break
-                words.append(w)
-            if words:
-                end = m.start(2)
-                for w in words:
-                    end = text.index(w, end) + len(w)
-                found.append((m.start(2), end, f"name|{TITLES[m[1]]}|{' '.join(words)}"))
+        found += _names(text)
     for m in IBAN.finditer(text) if re.search(r"[A-Z]{2}\d{2}", text) else ():
-        flat = m[0].replace(" ", "")
+        flat = ascii_digits(m[0].replace(" ", ""))
         if 15 <= len(flat) <= 34 and _iban_check(flat[:2], flat[4:]) == flat[2:4]:
             found.append((m.start(), m.end(), f"iban||{flat}"))
     out, end = [], 0
@@ -289,21 +357,23 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 
 def shaped(mention: str, entity: str, new: str) -> str:
-    """The surrogate written the way the mention is: its separators, spaces and case stay."""
+    """The surrogate written the way the mention is: its separators, spaces, digits and case stay."""
     kind = entity.split("|", 1)[0]
-    if kind in ("email", "ip"):
-        return new
+    if kind == "email":
+        at = new.rindex("@")
+        return "".join(n.upper() if m.isupper() and len(n.upper()) == 1 else n for n, m in zip(new[:at], mention, strict=False)) + new[at:]
+    if kind == "ip":
+        return "".join(digit_like(c, mention[0]) for c in new)
     if kind == "name":
-        old, words = mention.split(" "), new.split(" ")
-        cased = [w.upper() if m.isupper() and len(m) > 1 else w for w, m in zip(words, (x for x in old if x), strict=False)]
-        return " ".join(cased)
-    digits = iter(new.removeprefix("-").replace(" ", "").removeprefix("+"))
-    return "".join(next(digits) if c.isalnum() else c for c in mention)
+        words = iter(new.split(" "))
+        return "".join(p if p.isspace() else w.upper() if (w := next(words)) and p.isupper() and len(p) > 1 else w for p in re.findall(r" +|[^ ]+", mention))
+    left = iter(new.removeprefix("-").replace(" ", "").removeprefix("+"))
+    return "".join(digit_like(next(left), c) if c.isalnum() else c for c in mention)
 
 
 def _entities(batches):
     for batch in batches:
-        seen = sorted({x for t in batch["text"] if t for _, _, x in detect(t)})
+        seen = sorted({p for t in batch["text"] if t for _, _, x in detect(t) for p in parts_of(x)})
         if seen:
             yield pd.DataFrame({"entity": seen})
 
@@ -321,7 +391,7 @@ def _candidates(key: bytes):
 
 def resolve(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """(entity, attempt) of the entities that cannot have their first candidate."""
-    slot_of = F.concat(F.substring_index("entity", "|", 1), F.lit("|"), F.lower(F.expr("substring_index(entity, '|', -1)")))
+    slot_of = F.concat(F.substring_index("entity", "|", 1), F.lit("|"), F.lower(F.expr("substring(entity, char_length(substring_index(entity, '|', 2)) + 2)")))
     own = materialise(entities.select("entity", slot_of.alias("own")))
     schema = "entity string, attempt int, slot string"
     placed = materialise(own.select("entity", F.lit(0).alias("attempt")).mapInPandas(_candidates(key), schema))
@@ -331,14 +401,14 @@ def resolve(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         real = placed.join(own.select(F.col("own").alias("slot")).distinct(), "slot", "left_semi").select("entity")
         bad = materialise(shared.unionByName(real).distinct())
         if bad.isEmpty():
-            break
+            return placed.where("attempt > 0").select("entity", "attempt")
         moved = placed.join(bad, "entity").select("entity", (F.col("attempt") + 1).alias("attempt")).mapInPandas(_candidates(key), schema)
         placed = materialise(placed.join(bad, "entity", "left_anti").unionByName(moved))
-    return placed.where("attempt > 0").select("entity", "attempt")
+    raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 
 
 def mentions(texts: pd.Series) -> pd.Series:
-    return pd.Series([sorted({x for _, _, x in detect(t)}) if t else [] for t in texts], dtype=object)
+    return pd.Series([sorted({p for _, _, x in detect(t) for p in parts_of(x)}) if t else [] for t in texts], dtype=object)
 
 
 def _rewriter(key: bytes):
@@ -350,10 +420,10 @@ def _rewriter(key: bytes):
             attempts = {x["entity"]: int(x["attempt"]) for x in m} if m is not None and len(m) else {}
             found, parts, at = detect(text), [], 0
             for s, e, x in found:
-                n = attempts.get(x, 0)
-                if (x, n) not in held:
-                    held[x, n] = surrogate(x, n, key)
-                parts += [text[at:s], shaped(text[s:e], x, held[x, n])]
+                mark = (x, *(attempts.get(p, 0) for p in parts_of(x))) if attempts else x
+                if mark not in held:
+                    held[mark] = replacement(x, attempts, key)
+                parts += [text[at:s], shaped(text[s:e], x, held[mark])]
                 at = e
             rows.append(("".join(parts) + text[at:], len(found), ",".join(f"{x.split('|', 1)[0]}:{s}:{e}" for s, e, x in found)))
         return pd.DataFrame(rows, columns=["text", "n_entities", "spans"])
@@ -378,5 +448,7 @@ def replace_pii(docs: DataFrame, carry: list[str] | None = None, text_col: str =
         # Only texts that mention an exception meet the table of exceptions.
         hits = row.select(F.xxhash64("_text").alias("_h"), F.explode(F.pandas_udf(mentions, "array<string>")("_text")).alias("entity")).distinct().join(moved, "entity")
         per = hits.groupBy("_h").agg(F.collect_list(F.struct("entity", "attempt")).alias("_moved"))
-        out = row.withColumn("_h", F.xxhash64("_text")).join(materialise(per), "_h", "left")
+        # A text that many rows share meets its exceptions in several tasks.
+        salted = materialise(per).withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+        out = row.withColumn("_h", F.xxhash64("_text")).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).join(salted, ["_h", "_salt"], "left")
     return out.select("row", _rewriter(key)("_text", "_moved").alias("s")).select("row", "s.text", "s.n_entities", "s.spans")

@@ -327,21 +327,61 @@ def test_pii_surrogates():
     found = {x.split("|")[0]: (s, e, x) for s, e, x in pii.detect(text)}
     assert set(found) == {"name", "email", "phone", "card", "ip", "iban", "ssn"}
     for s, e, x in pii.detect(text):
-        new = pii.shaped(text[s:e], x, pii.surrogate(x))
+        new = pii.shaped(text[s:e], x, pii.replacement(x, {}))
         assert new != text[s:e]
         if not x.startswith(("ip", "name")):
             assert [(c.isdigit(), c.isalpha(), c.isupper()) for c in new] == [(c.isdigit(), c.isalpha(), c.isupper()) for c in text[s:e]]
     assert pii.luhn_digit("411111111111111") == 1
     card = pii.surrogate("card||4111111111111111")
     assert card[0] == "4" and pii.luhn_digit(card[:-1]) == int(card[-1])
-    assert pii.script_of(pii.surrogate("name|f|Анна Иванова")) == "cyrillic"
-    assert pii.surrogate("name|f|Ada Miller").split()[0] in pii.GIVEN["latin", "f"]
+    assert pii.script_of(pii.replacement("name|f|анна иванова", {})) == "cyrillic"
+    assert pii.replacement("name|f|ada miller", {}).split()[0] in pii.GIVEN["latin", "f"]
     assert pii.surrogate("email||a.b@x.example.com").endswith(".example.com")
 
 
 def test_pii_permutes():
     values = [f"{i:03d}" for i in range(1000)]
     assert sorted(pii.permute(v, b"k", "t") for v in values) == values
+    for values in ([chr(0x4E00 + i) for i in range(256)], [chr(0x660 + i) for i in range(10)], [c for c in map(chr, range(0xC0, 0x100)) if c.isupper()]):
+        assert len({pii.permute(v, b"k", "t") for v in values}) == len(values)
+    even = lambda x: int(x) % 2 == 0
+    assert all(even(pii.permute(f"{i:02d}", b"k", "t", even)) for i in range(0, 100, 2)) and pii.permute("13", b"k", "t", lambda x: False)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Mr Smith and Mrs Jones met", ["Smith", "Jones"]),
+    ("Frau Dr. Anna Weber-Lang kam", ["Anna Weber-Lang"]),
+    ("Mr Prof Smith Mr", ["Smith"]),
+    ("ask Dr. Li Wei Chen Park now", ["Li Wei Chen"]),
+    ("Mrs  Ada   Miller  ", ["Ada   Miller"]),
+    ("Mr smith, Mrs. 7, Dr", []),
+    ("a@b.example " + "x" * 100 + ".y@corp.example.com", ["a@b.example", "x" * 100 + ".y@corp.example.com"]),
+    ("ÉÈ@àç.fr and 王小明@例子.com", ["ÉÈ@àç.fr", "王小明@例子.com"]),
+    ("call +٤٩ ٣٠ ١٢٣٤٥٦٧ now", ["+٤٩ ٣٠ ١٢٣٤٥٦٧"]),
+    ("..@x.example @y.example a.@z.example", []),
+])
+def test_pii_detects(text, want):
+    assert [text[s:e] for s, e, _ in pii.detect(text)] == want
+
+
+def test_pii_changes_every_script(spark):
+    texts = ["ÉÈ@àç.fr", "王小明@例子.com", "+٤٩ ٣٠ ١٢٣٤٥٦٧", "+49 30 1234567", "Peter@x.example.com", "peter@x.example.com", "Dr. Weber", "Frau Weber", "Herr WEBER Mr WEBER", "Frau Anna Weber", "Mr Jones"]
+    got = [r["text"] for r in pii.replace_pii(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")).orderBy("row.i").collect()]
+    spans = [[(s, e) for s, e, _ in pii.detect(t)] for t in texts]
+    for old, new, where in zip(texts, got, spans, strict=True):
+        assert new != old and all(old[s:e] not in new for s, e in where)
+    assert got[0].endswith(".fr") and [c.isupper() for c in got[0]] == [c.isupper() for c in texts[0]]
+    assert all("٠" <= c <= "٩" for c in got[2] if c.isalnum()) and pii.ascii_digits(got[2]) == got[3]
+    assert got[4].lower() == got[5] and got[4][0].isupper()
+    family = got[6].split()[1]
+    assert got[7] == f"Frau {family}" and got[8] == f"Herr {family.upper()} Mr {family.upper()}" and got[9].endswith(f" {family}") and family not in got[10]
+
+
+def test_pii_error_when_unsettled(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ROUNDS", 1)
+    many = spark.createDataFrame([(f"family||name{i}",) for i in range(60)], "entity string")
+    with pytest.raises(RuntimeError):
+        pii.resolve(many)
 
 
 def test_pii_corpus(spark, sf):
@@ -349,33 +389,19 @@ def test_pii_corpus(spark, sf):
     names = spark.createDataFrame([(10**6 + i, f"Mr {a} {b} met Mr {a} {b}. Ms {a} {b}", "en") for i, (a, b) in enumerate((x, y) for x in ("Ann", "Bob", "Cy", "Di") for y in ("Ash", "Birch", "Cedar", "Dune", "Elm", "Fir") for _ in range(3))], "doc_id long, text string, lang string")
     odd = spark.createDataFrame([(r[0], r[1], r[2]) for r in ODD], "doc_id long, text string, lang string")
     both = docs.unionByName(names).unionByName(odd)
-    texts = defaultdict(list)
-    for r in both.collect():
-        texts[r["doc_id"]].append(r["text"] or "")
     got = pii.replace_pii(both).collect()
     assert len(got) == both.count()
-    forward, backward = {}, {}
+    entities = {p for r in got for _, _, x in pii.detect(r["row"]["text"] or "") for p in pii.parts_of(x)}
+    moved = {r["entity"]: r["attempt"] for r in pii.resolve(spark.createDataFrame([(x,) for x in entities], "entity string")).collect()}
+    # The whole rewriting by hand, from the distinct parts of the whole corpus.
     for r in got:
-        old = r["row"]["text"] or ""
+        old, out, at = r["row"]["text"] or "", [], 0
         spans = pii.detect(old)
-        assert r["n_entities"] == len(spans)
-        if not spans:
-            assert r["text"] == old
-            continue
-        at, pos = 0, 0
         for s, e, x in spans:
-            lead = old[at:s]
-            assert r["text"][pos : pos + len(lead)] == lead
-            pos += len(lead)
-            if not x.startswith(("name", "ip")):
-                new = r["text"][pos : pos + (e - s)]
-                assert forward.setdefault(x, new) == new and backward.setdefault((x.split("|")[0], new.lower()), x) == x
-                pos += e - s
-                at = e
-            else:
-                break
-    entities = {x for r in got for _, _, x in pii.detect(r["row"]["text"] or "")}
-    moved = {r["entity"]: r["attempt"] for r in pii.resolve(spark.createDataFrame([(x,) for x in entities], "entity string")).collect()}
+            out += [old[at:s], pii.shaped(old[s:e], x, pii.replacement(x, moved))]
+            assert out[-1] != old[s:e]
+            at = e
+        assert r["text"] == "".join(out) + old[at:] and r["n_entities"] == len(spans)
     new = [(x.split("|")[0], pii.surrogate(x, moved.get(x, 0)).lower()) for x in entities]
     assert len(set(new)) == len(entities)
     assert not set(new) & {(x.split("|")[0], x.split("|", 2)[2].lower()) for x in entities}
