@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from quadrille.llm import ann, html_extract, pii, secrets, simhash, toxicity
-from quadrille.llm.packing import pack
+from quadrille.llm.packing import ChunkIds, pack, round_robin
 from quadrille.llm.queries_python import tokenizer_path
 
 DOCS = "doc_id long, text string, source string, row string, score string"
@@ -83,8 +84,6 @@ def test_drop_near_copies(spark):
 
 # ---- packing ----
 def test_pack(spark, sf):
-    from tokenizers import Tokenizer
-
     tok = Tokenizer.from_file(tokenizer_path())
     docs = [(r["doc_id"], r["text"], r["source"]) for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()] + [(90_000 + k, r[1], r[2]) for k, r in enumerate(ODD)] + [(None, "no id", None)]
     docs += [(95_000, "don't STOP it's\x1cok, x1y2. ́e", "s"), (95_001, " \n ,, .. a, b. \n", "s")]
@@ -110,19 +109,49 @@ def test_pack(spark, sf):
             at += r["length"]
         sizes.append(at)
     assert all(s == 2048 or s & (s - 1) == 0 for s in sizes) and sorted(by_seq) == list(range(len(by_seq)))
-    # Proportions hold in every longer stretch of windows.
-    source, total = {i: s for i, _, s in docs}, Counter()
+    # Every full window holds the proportions of the whole: one partition here.
+    source, total, seen = {i: s for i, _, s in docs}, Counter(), defaultdict(Counter)
     for r in got:
         total[source[r["doc_id"]]] += r["length"]
-    half = Counter()
-    for r in got:
-        if r["sequence_id"] < len(by_seq) // 2:
-            half[source[r["doc_id"]]] += r["length"]
-    big = total.most_common(1)[0][0]
-    assert abs(half[big] / sum(half.values()) - total[big] / sum(total.values())) < 0.1
+        seen[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
+    for counts in list(seen.values())[: sum(total.values()) // 2048]:
+        if sum(counts.values()) == 2048:
+            for s, n in total.items():
+                assert abs(counts[s] / 2048 - n / sum(total.values())) <= 2.5 * 64 / 2048
     assert pack(spark.createDataFrame([], "doc_id long, text string, source string"), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("shares", [[0.6, 0.3, 0.1], [0.05] * 20, [0.9, 0.09, 0.008, 0.002]])
+def test_round_robin_windows(shares):
+    rng, total, window = np.random.default_rng(1), 2_000_000, 2048
+    queues = []
+    for s in shares:
+        q = np.minimum(rng.lognormal(5.5, 1.3, int(total * s / 300) + 1).astype(int) + 1, 40_000).tolist()
+        queues.append(q)
+    sizes = [sum(q) for q in queues]
+    order = round_robin(queues, window)
+    done = {}
+    for q, k, start, n in order:
+        assert n > 0 and done.get((q, k), 0) == start
+        done[q, k] = start + n
+    assert done == {(i, k): n for i, q in enumerate(queues) for k, n in enumerate(q)}
+    owner = np.repeat([q for q, _, _, _ in order], [n for _, _, _, n in order])
+    windows = owner[: len(owner) // window * window].reshape(-1, window)
+    want = np.array(sizes) / sum(sizes)
+    counts = np.stack([(windows == i).sum(1) for i in range(len(shares))], 1) / window
+    assert np.abs(counts - want).max() <= 3 * 64 / window and np.abs(counts - want).mean() <= 0.015
+    frequent = want * window >= 2 * 64
+    assert (counts[:, frequent] > 0).all()
+
+
+def test_ids_are_the_tokenizers():
+    tok, table, rng = Tokenizer.from_file(tokenizer_path()), ChunkIds(tokenizer_path()), np.random.default_rng(2)
+    letters = [*"aeztBQé ß.,;'’-_19 \n\tİıŉǰÅßÿĀſ", "\u0307", "\u0301", "\u0958", "\u212b", "\u1e9e", "가", "字", "٣", "ﬁ", "\U0001f600", "\u00a0", "\x1c", "ʼ", "Σ", "ς"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(letters, rng.integers(1, 12)))
+        assert np.frombuffer(table.ids(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 # ---- toxicity ----
 def test_toxicity_held_out(spark, sf):
     path = sf.replace("0.001", "0.1")
