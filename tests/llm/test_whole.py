@@ -65,15 +65,48 @@ def test_pii_inside_runs():
 
 
 # ---- ann ----
-def test_ann_recall_of_a_partial_walk(spark):
-    x = np.random.default_rng(5).normal(size=(6000, 32))
+def recall(spark, x):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
     for r in ann.search(df).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     want = ann.brute_force(np.arange(len(x)), x)
-    assert np.mean([len(got[q] & set(want[q])) / 5 for q in want]) >= 0.9
-    assert ann.SHARE < 1
+    return np.mean([len(got[q] & set(want[q])) / 5 for q in want])
+
+
+def visited(x):
+    """The share of entries that a search of these rows visits, as it measures it."""
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    h, size = x.shape[1] // 2, max(4, round(len(x) ** 0.5 / 2))
+    sample = u[np.random.default_rng(0).permutation(len(u))[: ann.FIT_ROWS]]
+    return ann.needed_share(sample, (ann.kmeans(sample[:, :h], size), ann.kmeans(sample[:, h:], size)))
+
+
+def test_ann_recall_where_the_index_prunes(spark):
+    rng = np.random.default_rng(5)
+    plain = rng.normal(size=(6000, 32))
+    assert recall(spark, plain) >= 0.9 and visited(plain) < 0.75
+    centres = rng.normal(size=(500, 32))
+    clustered = centres[rng.integers(0, 500, 50_000)] + 0.35 * rng.normal(size=(50_000, 32))
+    assert recall(spark, clustered) >= 0.9 and visited(clustered) < 0.1
+
+
+def test_ann_walk_is_in_order():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        near, far = rng.integers(0, 9, 7) / 4, rng.integers(0, 9, 5) / 4
+        counts = rng.integers(0, 3, (7, 5))
+        met = ann.walk(near, far, counts, int(counts.sum()))
+        sums = [near[i] + far[j] for i, j in met]
+        assert sums == sorted(sums) and sorted(met) == sorted(zip(*(x.tolist() for x in np.nonzero(counts)), strict=True))
+        some = ann.walk(near, far, counts, 5)
+        assert sum(counts[c] for c in some[:-1]) < 5 <= sum(counts[c] for c in some) and some == met[: len(some)]
+
+
+def test_ann_lengths_and_large_values(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [-1e-300, 1e-300]), (3, [5e-324, 0.0]), (50, [1.0, 2.0, 3.0]), (4, [3.0, 2.0, 1.0]), (5, [2.0, 4.0, 6.0]), (100, [7.0])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in ann.search(spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, v string, ids string")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 3, round(0.5**0.5, 12)), (0, 3, 2, 0.0), (50, 1, 5, 1.0), (50, 2, 4, round(10 / 14, 12))]
 
 
 # ---- secrets ----
