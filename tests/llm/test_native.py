@@ -1,14 +1,16 @@
 """Chat formatting, exact dedup and mixing against brute force, with odd rows."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from quadrille.llm.chat_format import PARTS, format_turns, read_back, text_part
 from quadrille.llm.exact_dedup import drop_copies, exact_dedup
-from quadrille.llm.mixing import mix, take_copies
+from quadrille.llm.mixing import RIDGE, balance, mix, take_copies
 
 WS = "[\x20\x09-\x0d]"
 DOCS = "doc_id long, text string, source string, row string, kept string"
@@ -88,6 +90,30 @@ def test_mix(spark, sf):
     assert take_copies(docs).count() == sum(r["copies"] for r in got)
 
 
+def test_balance_meets_all_constraints(spark):
+    rng = np.random.default_rng(4)
+    cells = [(f"s{i}" if i else None, c, int(rng.integers(1, 9000)) * (2 if c < i else 1)) for i in range(6) for c in range(-1 if i == 3 else 0, 12)]
+    cells = [(s, c, 0 if c < 0 else w) for s, c, w in cells]
+    size = defaultdict(int)
+    for s, _, w in cells:
+        size[s] += w
+    target = dict(zip(size, [0.4, 1.9, 2.6, 0.7, 3.0, 0.0], strict=True))
+    target = {s: f * size[s] for s, f in target.items()}
+    df = spark.createDataFrame([(s, c, w, target[s], size[s]) for s, c, w in cells], "source string, class int, words long, target double, source_size long")
+    rated, facts = balance(df)
+    got = {(r["source"], r["class"]): r["rate"] for r in rated.collect()}
+    total, mean = sum(size.values()), sum(c * w for _, c, w in cells) / sum(size.values())
+    for s in size:
+        assert sum(w * got[t, c] for t, c, w in cells if t == s) == pytest.approx(target[s], rel=1e-5, abs=1e-5)
+    assert 1 < facts["rounds"] < 30 and abs(facts["tilt"]) > 1e-3 and max(got.values()) <= 3
+    # The slope of the length constraint vanishes, and the rates are exponential tilts below the cap.
+    assert sum(w * got[s, c] * (c - mean) for s, c, w in cells) + RIDGE * total * facts["tilt"] == pytest.approx(0, abs=1e-4 * total)
+    for s in size:
+        logs = [(c, math.log(got[s, c])) for t, c, _ in cells if t == s and 0 < got[s, c] < 3 - 1e-9]
+        for (c, a), (d, b) in zip(logs, logs[1:], strict=False):
+            assert (b - a) / (d - c) == pytest.approx(facts["tilt"], abs=1e-4)
+
+
 def test_mix_odd_rows(spark):
     got = mix(spark.createDataFrame(ROWS, DOCS)).collect()
     assert len(got) == len(ROWS)
