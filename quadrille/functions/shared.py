@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder driver and executors share (``spark.checkpoint.dir``).
 
-    A temporary folder is set only where the session names none, as in tests.
+    Where the session names none, a temporary folder serves in local mode, as in
+    tests; on a cluster that folder would be the driver's own, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -22,11 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, partition_rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, partition_rows: int | None = None, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage with replicated-by-storage files, so lost executors cost a
-    task retry and never a recomputation of what stands before.
+    task retry and never a recomputation of what stands before. With
+    ``partition_by`` there is a folder per value of that column, which readers
+    filter by without a shuffle; the column then stands last.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quadrille-{uuid.uuid4().hex}"
@@ -35,6 +40,8 @@ def materialise(df: DataFrame, partition_rows: int | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if partition_rows:
         writer = writer.option("maxRecordsPerFile", partition_rows)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
