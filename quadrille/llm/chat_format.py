@@ -45,17 +45,16 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).cast("array<struct<type:string,text:string>>")
 
 
-def _visit(part: Column, full: bool) -> Column:
-    """(piece, attachment, tokens) of one content part; unknown types give nothing."""
-    kind = part["type"]
-    text = escape(F.coalesce(part["text"], F.lit("")))
-    if not full:
-        return F.struct(text.alias("piece"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("tokens"))
+def _visit(part: Column, fields: set[str]) -> Column:
+    """(piece, attachment, tokens) of one content part; unknown types give nothing, absent fields count as null."""
+    of = lambda name, kind: part[name] if name in fields else F.lit(None).cast(kind)
+    kind = of("type", "string")
     ceil_div = lambda n, d: F.ceil(F.coalesce(n, F.lit(0)) / F.lit(d))
-    tokens = F.when(kind == "image", ceil_div(part["width"], IMAGE_PATCH) * ceil_div(part["height"], IMAGE_PATCH)).when(kind == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * AUDIO_TOKENS_PER_SECOND)).when(kind == "document", F.coalesce(part["pages"], F.lit(0)) * F.lit(TOKENS_PER_PAGE))
+    image = ceil_div(of("width", "int"), IMAGE_PATCH) * ceil_div(of("height", "int"), IMAGE_PATCH)
+    tokens = F.when(kind == "image", image).when(kind == "audio", F.ceil(F.coalesce(of("seconds", "double"), F.lit(0.0)) * AUDIO_TOKENS_PER_SECOND)).when(kind == "document", F.coalesce(of("pages", "int"), F.lit(0)) * F.lit(TOKENS_PER_PAGE))
     media = kind.isin("image", "audio", "document")
-    piece = F.when(media, F.concat(F.lit("<|"), kind, F.lit("|>"))).when(kind == "text", text).otherwise(F.lit(""))
-    return F.struct(F.coalesce(piece, F.lit("")).alias("piece"), F.when(media, F.coalesce(part["ref"], F.lit(""))).alias("ref"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"))
+    piece = F.when(media, F.concat(F.lit("<|"), kind, F.lit("|>"))).when(kind == "text", escape(F.coalesce(of("text", "string"), F.lit("")))).otherwise(F.lit(""))
+    return F.struct(F.coalesce(piece, F.lit("")).alias("piece"), F.when(media, F.coalesce(of("ref", "string"), F.lit(""))).alias("ref"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -67,11 +66,11 @@ def format_turns(turns: DataFrame) -> DataFrame:
     content, so repeated rows stay and reruns agree; null roles and texts count as empty, a null conv_id is
     a conversation of its own; no rows give no conversations.
     """
-    full = "ref" in turns.schema["content"].dataType.elementType.fieldNames()
+    fields = set(turns.schema["content"].dataType.elementType.fieldNames())
     role = F.coalesce(F.col("role"), F.lit(""))
     parts = F.coalesce(F.col("content"), F.array().cast(turns.schema["content"].dataType))
-    seen = F.transform(parts, lambda p: _visit(p, full))
-    one = turns.select("conv_id", "turn", role.alias("role"), seen.alias("seen"), F.transform(parts, lambda p: p["type"]).alias("types"))
+    seen = F.transform(parts, lambda p: _visit(p, fields))
+    one = turns.select("conv_id", "turn", role.alias("role"), seen.alias("seen"), F.transform(parts, lambda p: p["type"] if "type" in fields else F.lit(None).cast("string")).alias("types"))
     one = one.select("conv_id", "turn", "role", F.array_join(F.col("seen.piece"), "").alias("body"), "seen", "types")
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
     media = F.filter(F.zip_with("seen", F.transform("types", lambda t, i: F.struct(t.alias("type"), i.alias("part"))), lambda s, t: F.struct(t["part"].alias("part"), t["type"].alias("type"), s["ref"].alias("ref"), s["tokens"].alias("tokens"))), lambda m: m["ref"].isNotNull())

@@ -2,13 +2,16 @@
 
 Pass 1 hashes every text to two bits of one 32768-bit block and keeps the bits
 that at least two rows set: a blocked Bloom filter of *repeated* hashes, two
-bytes a row. Pass 2 tests every row against it. Rows that miss are certainly
+bytes a row. What it shuffles are the numbers of those bits, no rows and no texts.
+Pass 2 tests every row against the filter. Rows that miss are certainly
 unique and pass straight through with no shuffle; only the possibly repeated
 ones are written to the shared folder, grouped by the SHA-256 of their
 normalised text, and given their group's keeper.
 
-The filter is broadcast only up to ``max_filter_bytes``; beyond it every row
-counts as possibly repeated and takes the shuffle, with equal results.
+A filter of over ``max_filter_bytes`` is cut into shards of blocks. Rows are then
+written once into a folder per shard, which moves nothing between tasks, and
+each folder meets its own broadcast shard, so the method is the same at every
+size and no broadcast exceeds the bound.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from quadrille.llm.text import filled, without_whitespace
 BLOCK_BITS = 32768
 ROWS_PER_BLOCK = 2048
 MAX_FILTER_BYTES = 64 << 20
+HOT_ROWS, HOT_GROUPS = 10_000, 100_000
 
 
 def _positions(h: Column) -> tuple[Column, Column]:
@@ -33,6 +37,10 @@ def _block(h: Column, blocks: int) -> Column:
     return F.pmod(F.shiftrightunsigned(h, 30), F.lit(blocks))
 
 
+def _shard(block: Column, shards: int) -> Column:
+    return F.pmod(block, F.lit(shards)).cast("int")
+
+
 def repeated_filter(hashes: DataFrame, blocks: int) -> DataFrame:
     """Pass 1: (block, bits) of the bits that two or more rows of ``hashes(_h)`` set."""
     one, two = _positions(F.col("_h"))
@@ -58,22 +66,32 @@ def exact_dedup(docs: DataFrame, carry: list[str] | None = None, id_col: str = "
     norm = without_whitespace(F.col(text_col))
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), filled(F.col(text_col)).alias("_text"), norm.alias("_norm"))
     keyed = source.select("row", "doc_id", F.char_length("_text").alias("_len"), F.xxhash64("_norm").alias("_h"), F.sha2("_norm", 256).alias("text_sha256"))
-    blocks = max(1, -(-docs.count() // ROWS_PER_BLOCK))
-    alone = ("row", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    if blocks * BLOCK_BITS // 8 <= max_filter_bytes:
-        found = materialise(repeated_filter(docs.select(F.xxhash64(norm).alias("_h")), blocks))
-        one, two = _positions(F.col("_h"))
-        flagged = keyed.withColumn("_block", _block(F.col("_h"), blocks)).join(F.broadcast(found), "_block", "left")
-        flagged = flagged.withColumn("_maybe", F.coalesce(_is_set(F.col("_bits"), one) & _is_set(F.col("_bits"), two), F.lit(False)))
-        straight = flagged.where(~F.col("_maybe")).select(*alone)
-        maybe = flagged.where("_maybe")
-    else:
-        straight, maybe = None, keyed
+    rows = docs.count()
+    blocks = max(1, -(-rows // ROWS_PER_BLOCK))
+    shards = max(1, -(-(blocks * BLOCK_BITS // 8) // max_filter_bytes))
+    found = materialise(repeated_filter(docs.select(F.xxhash64(norm).alias("_h")), blocks).withColumn("_shard", _shard(F.col("_block"), shards)))
+    keyed = keyed.withColumn("_block", _block(F.col("_h"), blocks))
+    if shards > 1:
+        keyed = materialise(keyed.withColumn("_shard", _shard(F.col("_block"), shards)), partition_by="_shard")
+    one, two = _positions(F.col("_h"))
+    flagged = None
+    for i in range(shards):
+        mine = keyed.where(F.col("_shard") == i).drop("_shard") if shards > 1 else keyed
+        bits = found.where(F.col("_shard") == i).drop("_shard") if shards > 1 else found.drop("_shard")
+        tested = mine.join(F.broadcast(bits), "_block", "left").withColumn("_maybe", F.coalesce(_is_set(F.col("_bits"), one) & _is_set(F.col("_bits"), two), F.lit(False))).drop("_bits")
+        flagged = tested if flagged is None else flagged.unionByName(tested)
+    straight = flagged.where(~F.col("_maybe")).select("row", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    maybe = flagged.where("_maybe")
     maybe = materialise(maybe.select("row", "doc_id", "_len", "text_sha256", F.monotonically_increasing_id().alias("_rid")))
     best = F.min(F.struct((-F.col("_len")).alias("l"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_rid").alias("r")))
     groups = maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best"))
-    settled = maybe.join(groups, "text_sha256").select("row", "doc_id", F.col("_best.d").alias("keep_id"), "group_size", (F.col("_best.r") == F.col("_rid")).alias("kept"), "text_sha256")
-    return straight.unionByName(settled) if straight is not None else settled
+    groups = materialise(groups)
+    # Groups of very many rows meet them by a broadcast, which has rows / HOT_ROWS groups at most and at most HOT_GROUPS.
+    hot = groups.where(F.col("group_size") > max(HOT_ROWS, rows // HOT_GROUPS))
+    spread = maybe.join(F.broadcast(hot), "text_sha256")
+    rest = maybe.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti").join(groups, "text_sha256")
+    settled = spread.unionByName(rest).select("row", "doc_id", F.col("_best.d").alias("keep_id"), "group_size", (F.col("_best.r") == F.col("_rid")).alias("kept"), "text_sha256")
+    return straight.unionByName(settled)
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from quadrille.llm import exact_dedup as exact
 from quadrille.llm.chat_format import PARTS, format_turns, read_back, text_part
 from quadrille.llm.exact_dedup import drop_copies, exact_dedup
 from quadrille.llm.mixing import RIDGE, balance, mix, take_copies
@@ -34,8 +35,10 @@ def dedup_by_hand(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_exact_dedup(spark, limit):
+@pytest.mark.parametrize("limit, per_block, hot", [(64 << 20, 2048, 10_000), (4096, 1, 10_000), (8192, 2, 1)])
+def test_exact_dedup(spark, monkeypatch, limit, per_block, hot):
+    monkeypatch.setattr(exact, "ROWS_PER_BLOCK", per_block)
+    monkeypatch.setattr(exact, "HOT_ROWS", hot)
     got = exact_dedup(spark.createDataFrame(ROWS, DOCS), max_filter_bytes=limit).collect()
     assert sorted([(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got], key=str) == dedup_by_hand(ROWS)
     kept = [r["text_sha256"] for r in got if r["kept"]]
@@ -147,3 +150,11 @@ def test_chat_parts(spark):
     got = format_turns(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content {PARTS}")).first()
     assert got["formatted"] == "<|turn|>user<|text|>see <|image|><|audio|><\\|image|><|document|><|end|><|turn|>assistant<|text|><|end|>"
     assert [(a["turn"], a["part"], a["type"], a["ref"], a["tokens"]) for a in got["attachments"]] == [(0, 1, "image", "i.png", 4), (0, 2, "audio", "a.wav", 63), (0, 4, "document", "d.pdf", 1536)]
+
+
+def test_chat_parts_of_few_fields(spark):
+    rows = [(1, 0, "user", [("text", "a"), ("image", "b"), ("video", "c"), (None, "d"), ("text", None)])]
+    got = format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, content array<struct<type:string,text:string>>")).first()
+    assert got["formatted"] == "<|turn|>user<|text|>a<|image|><|end|>"
+    assert [(a["type"], a["ref"], a["tokens"]) for a in got["attachments"]] == [("image", "", 0)]
+    assert format_turns(spark.createDataFrame([(1, 0, "user", [("x",)])], "conv_id long, turn long, role string, content array<struct<text:string>>")).first()["formatted"] == "<|turn|>user<|text|><|end|>"
