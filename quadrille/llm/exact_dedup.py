@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.shared import materialise
+from quadrille.functions.skew import join_facts
 from quadrille.llm.text import filled, without_whitespace
 
 BLOCK_BITS = 32768
 ROWS_PER_BLOCK = 2048
 MAX_FILTER_BYTES = 64 << 20
-HOT_ROWS, HOT_GROUPS = 10_000, 100_000
 
 
 def _positions(h: Column) -> tuple[Column, Column]:
@@ -85,12 +85,8 @@ def exact_dedup(docs: DataFrame, carry: list[str] | None = None, id_col: str = "
     maybe = materialise(maybe.select("row", "doc_id", "_len", "text_sha256", F.monotonically_increasing_id().alias("_rid")))
     best = F.min(F.struct((-F.col("_len")).alias("l"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_rid").alias("r")))
     groups = maybe.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_best"))
-    groups = materialise(groups)
-    # Groups of very many rows meet them by a broadcast, which has rows / HOT_ROWS groups at most and at most HOT_GROUPS.
-    hot = groups.where(F.col("group_size") > max(HOT_ROWS, rows // HOT_GROUPS))
-    spread = maybe.join(F.broadcast(hot), "text_sha256")
-    rest = maybe.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti").join(groups, "text_sha256")
-    settled = spread.unionByName(rest).select("row", "doc_id", F.col("_best.d").alias("keep_id"), "group_size", (F.col("_best.r") == F.col("_rid")).alias("kept"), "text_sha256")
+    settled = join_facts(maybe, materialise(groups), "text_sha256", "group_size", rows)
+    settled = settled.select("row", "doc_id", F.col("_best.d").alias("keep_id"), "group_size", (F.col("_best.r") == F.col("_rid")).alias("kept"), "text_sha256")
     return straight.unionByName(settled)
 
 

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from quadrille.functions import skew
 from quadrille.llm import exact_dedup as exact
 from quadrille.llm.chat_format import PARTS, format_turns, read_back, text_part
 from quadrille.llm.exact_dedup import drop_copies, exact_dedup
@@ -38,7 +39,7 @@ def dedup_by_hand(rows):
 @pytest.mark.parametrize("limit, per_block, hot", [(64 << 20, 2048, 10_000), (4096, 1, 10_000), (8192, 2, 1)])
 def test_exact_dedup(spark, monkeypatch, limit, per_block, hot):
     monkeypatch.setattr(exact, "ROWS_PER_BLOCK", per_block)
-    monkeypatch.setattr(exact, "HOT_ROWS", hot)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
     got = exact_dedup(spark.createDataFrame(ROWS, DOCS), max_filter_bytes=limit).collect()
     assert sorted([(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got], key=str) == dedup_by_hand(ROWS)
     kept = [r["text_sha256"] for r in got if r["kept"]]

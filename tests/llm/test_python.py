@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -82,6 +83,45 @@ def test_drop_near_copies(spark):
     assert simhash.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_drop_near_copies_by_similarity(spark):
+    """Against brute force over the Jaccard similarity of five-word shingles, around and away from 0.8."""
+    rng = np.random.default_rng(6)
+    docs = []
+    for g in range(60):
+        n = int(rng.integers(12, 900))
+        words = [f"w{int(x)}" for x in rng.integers(0, 5000, n)]
+        for _ in range(int(rng.integers(1, 5))):
+            copy = list(words)
+            for at in rng.integers(0, n, int(rng.integers(0, 1 + n // 60))):
+                copy[at] = f"edit{int(rng.integers(10**6))}"
+            docs.append((len(docs) * 7 % 1009, " ".join(copy)))
+    docs += [(2000 + i, f"short text {i}") for i in range(40)] + [(3000 + i, f"a b c d e f{i}") for i in range(40)]
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    sets = {i: grams(t) for i, t in docs}
+    sim = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for k, (i, _) in enumerate(docs) for j, _ in docs[k + 1 :]}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    near = [p for p, s in sim.items() if s >= 0.85]
+    assert len(near) > 20 and sum(got[i] == got[j] for i, j in near) >= 0.97 * len(near)
+    # What is far from everything stays alone, and groups hold together by links of at least 0.6.
+    for i in sets:
+        if max(s for p, s in sim.items() if i in p) < 0.6:
+            assert got[i] == i and i not in [v for k, v in got.items() if k != i]
+    left = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert left == set(got.values())
+
+
+def test_similar_links_of_dense_groups():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    fp = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 63, 700, dtype=np.uint64)) for b in base])
+    sketch = np.repeat(rng.integers(1, 255, (3, simhash.SLOTS), dtype=np.uint8), 700, axis=0)
+    sketch[:, :8] = rng.integers(1, 255, (2100, 8))
+    rows = pd.DataFrame({"bucket": 0, "part": 0, "node": np.arange(2100), "fp": fp.view(np.int64), "sketch": [s.tobytes() for s in sketch]})
+    tile = simhash._tile(rows)["packed"][0]
+    links = simhash.similar_links(tile, tile, 16, 0.75)
+    assert len(links) == 2097 and all(a // 700 == b // 700 for a, b in links.tolist())
+
+
 # ---- packing ----
 def test_pack(spark, sf):
     tok = Tokenizer.from_file(tokenizer_path())
