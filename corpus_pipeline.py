@@ -24,7 +24,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near copies stays."""
+    """One of each group of texts whose five-word shingles are similar to 0.8 or more stays."""
     return drop_near_copies(docs)
 
 
@@ -39,7 +39,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact dedup", exact_stage), ("simhash near-dedup", near_stage), ("mixing", mix_stage), ("packing", pack_stage)]
-#: Learned scores, fingerprints and token ids are beyond SQL; tests hold run() against a brute-force version.
+#: Learned scores, fingerprints and token ids are beyond SQL; tests/llm/test_pipeline.py holds every stage and run() against brute force.
 ORACLE_SQL = None
 
 
