@@ -4,8 +4,8 @@ Fitting reads labelled rows only, at most ``max_toxic`` and ``max_clean`` of
 them in hash order (documented bounds; the class totals over all labels
 reweight the sample). Terms are words and word beginnings. Every term of the
 examples counts whose relation to the label passes a likelihood-ratio test at
-the ten-per-cent level, toxic and clean ones alike; there is no cap on them. A
-term weighs (1 + log tf) times its inverse document frequency times the log of
+the ten-per-cent level, toxic and clean ones alike; there is no cap on them. Only stop
+words (``COMMON``, ``TELLING``) are left out, which fill most postings. A term weighs (1 + log tf) times its inverse document frequency times the log of
 its ratio, so the long tail of the vocabulary takes part without drowning the
 terms that tell. Examples, clean ones included, are unit vectors in an inverted
 index whose postings stand in blocks of ``BLOCK`` examples with the largest
@@ -22,6 +22,7 @@ on the text alone, and no text reaches the driver.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -35,14 +36,15 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.shared import materialise
 
-NEIGHBOURS, BLOCK, FIRST_BLOCKS, THRESHOLD = 15, 128, 4, 0.3
-MAX_TOXIC, MAX_CLEAN, MIN_EXAMPLES = 4096, 12288, 3
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, THRESHOLD = 15, 256, 3, 0.3
+MAX_TOXIC, MAX_CLEAN, MIN_EXAMPLES = 1024, 3072, 3
 SIGNIFICANT = 2.706  # of the likelihood ratio: the ten-per-cent point of chi-squared
+COMMON, TELLING = 0.2, 4.0  # stop words: terms in more than this share of examples whose odds differ by less than this factor
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
 SKETCH, CACHED_WORDS = 4, 300_000
 EVIDENCE = "struct<score:double,evidence:array<struct<doc_id:long,label:int,cosine:double,term:string>>>"
-VECTOR = "_id long, toxic int, terms array<int>, counts array<int>"
+VECTOR = "_id long, toxic int, terms binary, counts binary"  # little-endian 32-bit numbers
 
 
 def held_out(doc_id: Column) -> Column:
@@ -98,20 +100,10 @@ class Lexicon:
     weight: np.ndarray
     digest: str
 
-    def counts(self, text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, text: str | None, known: Known) -> tuple[np.ndarray, np.ndarray]:
         """Places and numbers of the known terms in a text, by place."""
-        counts: Counter = Counter()
-        for w, n in Counter(words_of(text)).items():
-            known = cache.get(w)
-            if known is None:
-                known = tuple(self.place[t] for t in terms_of(w) if t in self.place)
-                if len(cache) < CACHED_WORDS:
-                    cache[w] = known
-            for t in known:
-                counts[t] += n
-        terms = np.fromiter(counts.keys(), np.int64, len(counts))
-        order = np.argsort(terms)
-        return terms[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
+        places = list(itertools.chain.from_iterable(map(known.__getitem__, (text or "").split())))
+        return np.unique(np.array(places, np.int64), return_counts=True)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Unit TF-IDF weights of the terms; empty if there are none."""
@@ -120,6 +112,19 @@ class Lexicon:
         return v / norm if norm else v
 
 
+class Known(dict):
+    """The places of the terms in a stretch without white space; once full, results stay and the table too."""
+
+    def __init__(self, words: Lexicon):
+        self.place = words.place
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        out = tuple(self.place[t] for w in words_of(stretch) for t in terms_of(w) if t in self.place)
+        if len(self) < CACHED_WORDS and len(stretch) < 64:
+            self[stretch] = out
+        return out
+
+
 def lexicon(terms: list[str], df: list[int], ratio: list[float], n: int) -> Lexicon:
     weight = np.log((1 + n) / (1 + np.array(df, np.float64))) * np.log1p(np.array(ratio, np.float64))
     keep = np.nonzero(weight > 0)[0]
@@ -152,6 +157,12 @@ class Index:
         which //= len(blocks)
         return self.places[at], self.weights[at] * weights[which], which
 
+    def _read_all(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, contribution) of the postings in all blocks: a term's stand side by side."""
+        spans = list(zip(self.starts[terms, 0].tolist(), self.starts[terms, -1].tolist(), strict=True))
+        n = [b - a for a, b in spans]
+        return np.concatenate([self.places[a:b] for a, b in spans]), np.concatenate([self.weights[a:b] for a, b in spans]) * np.repeat(weights, n)
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1, explain: bool = False) -> list[tuple[float, int, int]]:
         """(cosine, place, strongest shared term or -1) of the k nearest above zero, ties to the earlier one."""
         if not len(terms) or not len(self.ids):
@@ -159,23 +170,29 @@ class Index:
         bound = weights @ self.maxima[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        total, read, best = np.zeros(len(self.ids)), [], np.zeros(0, np.int64)
-        while len(order):
-            now, order = order[:FIRST_BLOCKS] if not read else order, order[FIRST_BLOCKS:] if not read else order[:0]
-            found = self._read(terms, weights, now)
-            read.append(found)
-            total += np.bincount(found[0], found[1], len(total))
+        place, part, _ = self._read(terms, weights, order[:FIRST_BLOCKS])
+        total = np.bincount(place, part, len(self.ids))
+        rest = order[FIRST_BLOCKS:]
+        if len(rest):
             if 0 <= without < len(total):
                 total[without] = 0
-            if len(order):
-                kth = np.partition(total, len(total) - k)[len(total) - k] if len(total) > k else 0.0
-                order = order[bound[order] >= kth - 1e-9]
+            kth = np.partition(total, len(total) - k)[len(total) - k] if len(total) > k else 0.0
+            rest = rest[bound[rest] >= kth - 1e-9]
+            if 2 * len(rest) > len(self.maxima[0]):  # few blocks left out: reading everything in a row is quicker
+                total = np.bincount(*self._read_all(terms, weights), len(self.ids))
+            elif len(rest):
+                place, part, _ = self._read(terms, weights, rest)
+                total += np.bincount(place, part, len(total))
+        if 0 <= without < len(total):
+            total[without] = 0
         total = np.round(total, 12)
         some = np.nonzero(total > 0)[0]
         best = some[np.lexsort((some, -total[some]))[:k]]
         why = dict.fromkeys(best.tolist(), -1)
-        for i in best[:3].tolist() if explain else ():
-            why[i] = max((float(w), int(terms[t])) for p, c, q in read for w, t in zip(c[p == i], q[p == i], strict=True))[1]
+        if explain and len(best):
+            place, part, which = self._read(terms, weights, np.unique(best[:3] // BLOCK))
+            for i in best[:3].tolist():
+                why[i] = max((float(w), int(terms[t])) for w, t in zip(part[place == i], which[place == i], strict=True))[1]
         return [(float(total[i]), i, why[i]) for i in best.tolist()]
 
     def vote(self, near: list[tuple[float, int, int]]) -> float:
@@ -229,24 +246,24 @@ def build_index(examples: list[tuple[int, int, np.ndarray, np.ndarray]], words:
     terms, weights, places = terms[order], weights[order], places[order].astype(np.int32)
     blocks = -(-len(held) // BLOCK)
     cell = terms * max(1, blocks) + places // BLOCK
-    n = np.bincount(cell, minlength=len(words.place) * blocks).reshape(len(words.place), blocks) if blocks else np.zeros((len(words.place), 0), np.int64)
-    ends = np.cumsum(n).reshape(n.shape)
-    starts = np.concatenate([(ends - n)[:, :1], ends], axis=1) if blocks else np.zeros((len(words.place), 1), np.int64)
-    maxima = np.zeros(n.size)
-    np.maximum.at(maxima, cell, weights)
+    ends = np.cumsum(np.bincount(cell, minlength=len(words.place) * blocks), dtype=np.int32).reshape(len(words.place), blocks)
+    starts = np.zeros((len(words.place), blocks + 1), np.int32)
+    starts[:, 1:], starts[1:, 0] = ends, ends[:-1, -1] if blocks else 0
+    maxima = np.zeros(ends.size, np.float32)
+    np.maximum.at(maxima, cell, (weights * (1 + 1e-6)).astype(np.float32))  # no bound is below its weights
     ids, labels = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-    return Index(words, ids, labels, places, weights, starts.astype(np.int32), maxima.reshape(n.shape), priors, (np.zeros(1), np.full(1, blank)), blank)
+    return Index(words, ids, labels, places, weights, starts, maxima.reshape(ends.shape), priors, (np.zeros(1), np.full(1, blank)), blank)
 
 
-_KNOWN_WORDS: dict[str, dict] = {}
+_KNOWN: dict[str, Known] = {}
 
 
-def _word_cache(digest: str) -> dict:
+def known_words(words: Lexicon) -> Known:
     """Of one lexicon at a time; outlives the task in a reused worker."""
-    if digest not in _KNOWN_WORDS:
-        _KNOWN_WORDS.clear()
-        _KNOWN_WORDS[digest] = {}
-    return _KNOWN_WORDS[digest]
+    if words.digest not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[words.digest] = Known(words)
+    return _KNOWN[words.digest]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Index:
@@ -270,12 +287,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     counted = texts.select("text", "toxic").mapInPandas(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counted.where(F.col("toxic") + F.col("clean") >= MIN_EXAMPLES).withColumn("g", _likelihood_ratio(F.col("toxic"), F.col("clean"), max(1, n1), max(1, n0)))
-    told = counted.where(F.col("g") > SIGNIFICANT).select("term", (F.col("toxic") + F.col("clean")).alias("df"), "g").toPandas().sort_values("term")
+    odds = F.abs(F.log((F.col("toxic") + 0.5) * (n0 - F.col("clean") + 0.5) / ((F.col("clean") + 0.5) * (n1 - F.col("toxic") + 0.5))))
+    plain = (F.col("toxic") + F.col("clean") > COMMON * (n1 + n0)) & (odds < math.log(TELLING))
+    told = counted.where((F.col("g") > SIGNIFICANT) & ~plain).select("term", (F.col("toxic") + F.col("clean")).alias("df"), "g").toPandas().sort_values("term")
     words = lexicon(told["term"].tolist(), told["df"].tolist(), told["g"].tolist(), n1 + n0)
-    rows = texts.mapInPandas(_vectors(spark.sparkContext.broadcast(words)), VECTOR)
-    rows = sorted(((r["_id"], r["toxic"], np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in rows.toLocalIterator()), key=lambda r: r[0])
-    index = build_index(rows, words, (totals.get(0, 0), totals.get(1, 0)))
-    return calibrate(spark, index)
+    shared = spark.sparkContext.broadcast(words)
+    number = lambda raw: np.frombuffer(raw, "<i4").astype(np.int64)
+    rows = [(r["_id"], r["toxic"], number(r["terms"]), number(r["counts"])) for r in texts.mapInPandas(_vectors(shared), VECTOR).toLocalIterator()]
+    index = build_index(sorted(rows, key=lambda r: r[0]), words, (totals.get(0, 0), totals.get(1, 0)))
+    return calibrate(texts, index)
 
 
 def _vectors(words):
@@ -284,9 +304,8 @@ def _vectors(words):
     def run(batches):
         held = words.value
         for batch in batches:
-            got = [held.counts(t, _word_cache(held.digest)) for t in batch["text"]]
-            if got:
-                yield pd.DataFrame({"_id": batch["_id"], "toxic": batch["toxic"], "terms": [t.tolist() for t, _ in got], "counts": [c.tolist() for _, c in got]})
+            got = [held.counts(t, known_words(held)) for t in batch["text"]]
+            yield pd.DataFrame({"_id": batch["_id"], "toxic": batch["toxic"], "terms": [t.astype("<i4").tobytes() for t, _ in got], "counts": [c.astype("<i4").tobytes() for _, c in got]})
 
     return run
 
@@ -298,27 +317,21 @@ def _votes(index):
         held = index.value
         order = np.argsort(held.ids)
         for batch in batches:
-            at = order[np.searchsorted(held.ids[order], batch["_id"].to_numpy())] if len(batch) else []
             rows = []
-            for i, t, w in zip(at, batch["terms"], batch["weights"], strict=True):
-                near = held.nearest(np.asarray(t, np.int64), np.asarray(w, np.float64), without=int(i))
-                if near:
-                    rows.append((held.vote(near), int(held.labels[i])))
+            for i, text in zip(batch["_id"], batch["text"], strict=True):
+                terms, counts = held.lexicon.counts(text, known_words(held.lexicon))
+                if len(terms):
+                    at = int(order[np.searchsorted(held.ids, i, sorter=order)])
+                    near = held.nearest(terms, held.lexicon.vector(terms, counts), without=at)
+                    rows += [(held.vote(near), int(held.labels[at]))] if near else []
             yield pd.DataFrame(rows, columns=["vote", "label"]).astype({"vote": "float64", "label": "int32"})
 
     return run
 
 
-def calibrate(spark: SparkSession, index: Index) -> Index:
-    """The index with its isotonic steps; the leave-one-out votes are cast on the executors."""
-    if not len(index.ids):
-        return index
-    by_example = np.argsort(index.places, kind="stable")
-    term_of = np.repeat(np.arange(len(index.starts)), index.starts[:, -1] - index.starts[:, 0])[by_example]
-    cuts = np.cumsum(np.bincount(index.places, minlength=len(index.ids)))[:-1]
-    rows = pd.DataFrame({"_id": index.ids, "terms": [x.tolist() for x in np.split(term_of, cuts)], "weights": [x.tolist() for x in np.split(index.weights[by_example], cuts)]})
-    df = spark.createDataFrame(rows, "_id long, terms array<int>, weights array<double>").repartition(spark.sparkContext.defaultParallelism)
-    votes = df.mapInPandas(_votes(spark.sparkContext.broadcast(index)), "vote double, label int").toPandas().sort_values(["vote", "label"])
+def calibrate(texts: DataFrame, index: Index) -> Index:
+    """The index with its isotonic steps; the executors cast the leave-one-out votes of ``texts(_id, text)``."""
+    votes = texts.select("_id", "text").mapInPandas(_votes(texts.sparkSession.sparkContext.broadcast(index)), "vote double, label int").toPandas().sort_values(["vote", "label"])
     if len(votes):
         y = votes["label"].to_numpy()
         index.steps = isotonic(votes["vote"].to_numpy(), y, index.priors[y])
@@ -332,10 +345,10 @@ def scorer(spark: SparkSession, index: Index, explain: bool = True):
     @F.pandas_udf(EVIDENCE)
     def score(batches: pd.Series) -> pd.DataFrame:
         held = shared.value
-        cache, names = _word_cache(held.lexicon.digest), list(held.lexicon.place)
+        known, names = known_words(held.lexicon), list(held.lexicon.place)
         out = []
         for text in batches:
-            terms, counts = held.lexicon.counts(text, cache)
+            terms, counts = held.lexicon.counts(text, known)
             near = held.nearest(terms, held.lexicon.vector(terms, counts), explain=explain)
             told = [{"doc_id": int(held.ids[i]), "label": int(held.labels[i]), "cosine": cosine, "term": names[t]} for cosine, i, t in near[:3]] if explain else []
             out.append((held.probability(near), told))

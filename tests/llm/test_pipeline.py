@@ -59,7 +59,7 @@ def test_toxicity_stage(spark, sf_dir, stages):
         dense[index.places[a:b], t] = index.weights[a:b]
     kept = []
     for r in before:
-        terms, counts = index.lexicon.counts(r["text"], {})
+        terms, counts = index.lexicon.counts(r["text"], toxicity.Known(index.lexicon))
         q = np.zeros(dense.shape[1])
         q[terms] = index.lexicon.vector(terms, counts)
         s = np.round(dense @ q, 12)

@@ -232,14 +232,14 @@ def test_toxicity_neighbours_are_exact(sf):
     terms = sorted(t for t, n in df.items() if n >= 3)
     rng = np.random.default_rng(3)
     words = toxicity.lexicon(terms, [df[t] for t in terms], rng.exponential(3, len(terms)).tolist(), 900)
-    examples = [(i, int(rng.random() < 0.4), *words.counts(text, {})) for i, text in enumerate(texts[:900])]
+    examples = [(i, int(rng.random() < 0.4), *words.counts(text, toxicity.Known(words))) for i, text in enumerate(texts[:900])]
     index = toxicity.build_index(examples, words, (500, 400))
     dense = np.zeros((len(index.ids), len(words.place)))
     for i, (_, _, t, c) in enumerate(examples):
         if len(t):
             dense[int(np.nonzero(index.ids == i)[0][0]), t] = words.vector(t, c)
     for text in texts[880:940]:
-        t, c = words.counts(text, {})
+        t, c = words.counts(text, toxicity.Known(words))
         q = np.zeros(len(words.place))
         q[t] = words.vector(t, c)
         s = np.round(dense @ q, 12)
