@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.shared import materialise
 
-NEIGHBOURS, BLOCK, FIRST_BLOCKS, THRESHOLD = 15, 256, 3, 0.3
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, THRESHOLD = 15, 256, 1, 0.3
 MAX_TOXIC, MAX_CLEAN, MIN_EXAMPLES = 1024, 3072, 3
 SIGNIFICANT = 2.706  # of the likelihood ratio: the ten-per-cent point of chi-squared
 COMMON, TELLING = 0.2, 4.0  # stop words: terms in more than this share of examples whose odds differ by less than this factor
@@ -185,15 +185,17 @@ class Index:
                 total += np.bincount(place, part, len(total))
         if 0 <= without < len(total):
             total[without] = 0
-        total = np.round(total, 12)
-        some = np.nonzero(total > 0)[0]
-        best = some[np.lexsort((some, -total[some]))[:k]]
+        kth = np.partition(total, len(total) - k)[len(total) - k] if len(total) > k else 0.0
+        some = np.nonzero(total >= max(kth - 1e-11, 1e-300))[0]
+        cosines = np.round(total[some], 12)
+        order = np.lexsort((some, -cosines))[:k]
+        best, cosines = some[order][cosines[order] > 0], cosines[order][cosines[order] > 0]
         why = dict.fromkeys(best.tolist(), -1)
         if explain and len(best):
             place, part, which = self._read(terms, weights, np.unique(best[:3] // BLOCK))
             for i in best[:3].tolist():
                 why[i] = max((float(w), int(terms[t])) for w, t in zip(part[place == i], which[place == i], strict=True))[1]
-        return [(float(total[i]), i, why[i]) for i in best.tolist()]
+        return [(c, i, why[i]) for c, i in zip(cosines.tolist(), best.tolist(), strict=True)]
 
     def vote(self, near: list[tuple[float, int, int]]) -> float:
         """Share of the toxic label among the neighbours, weighted by one over distance."""
@@ -339,7 +341,7 @@ def calibrate(texts: DataFrame, index: Index) -> Index:
 
 
 def scorer(spark: SparkSession, index: Index, explain: bool = True):
-    """Pandas UDF: text -> struct of score and evidence (the neighbours, each with its strongest shared term)."""
+    """Pandas UDF: text -> struct of score and evidence: the nearest examples, with the strongest shared term where the text is rejected."""
     shared = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf(EVIDENCE)
@@ -349,9 +351,13 @@ def scorer(spark: SparkSession, index: Index, explain: bool = True):
         out = []
         for text in batches:
             terms, counts = held.lexicon.counts(text, known)
-            near = held.nearest(terms, held.lexicon.vector(terms, counts), explain=explain)
-            told = [{"doc_id": int(held.ids[i]), "label": int(held.labels[i]), "cosine": cosine, "term": names[t]} for cosine, i, t in near[:3]] if explain else []
-            out.append((held.probability(near), told))
+            weights = held.lexicon.vector(terms, counts)
+            near = held.nearest(terms, weights)
+            probability = held.probability(near)
+            if explain and probability >= THRESHOLD:
+                near = held.nearest(terms, weights, explain=True)
+            told = [{"doc_id": int(held.ids[i]), "label": int(held.labels[i]), "cosine": cosine, "term": names[t] if t >= 0 else None} for cosine, i, t in near[:3]] if explain else []
+            out.append((probability, told))
         return pd.DataFrame(out, columns=["score", "evidence"])
 
     return score
