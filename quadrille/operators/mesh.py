@@ -86,6 +86,13 @@ def face_components(m: Mesh, adjacency: DataFrame | None = None) -> DataFrame:
     return components_by_mesh(links.unionByName(alone)).select("mesh_id", F.col("node").alias("face_id"), F.col("component").alias("comp_id"))
 
 
+def component_labels(m: Mesh, components: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, face_id, label): the face's component, numbered from 0 within its mesh in the order of first faces."""
+    components = face_components(m) if components is None else components
+    ranked = components.select("mesh_id", "comp_id").distinct().withColumn("label", (F.row_number().over(Window.partitionBy("mesh_id").orderBy("comp_id")) - 1).cast("long"))
+    return components.join(ranked, ["mesh_id", "comp_id"]).select("mesh_id", "face_id", "label")
+
+
 def boundary_loops(m: Mesh) -> DataFrame:
     """(mesh_id, v_id, loop_id): boundary vertices by the boundary curve they lie on."""
     links = edges(m).where("n_faces = 1").select("mesh_id", F.col("lo").alias("a"), F.col("hi").alias("b"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrille.operators import geometry as G
 from quadrille.operators import loops as L
 from quadrille.operators import mesh as M
+from quadrille.operators.kernels import rotation
 from quadrille.operators.mesh import Mesh
 
 
@@ -48,9 +49,26 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select("mesh_id", F.to_json(F.struct(*rows.columns)).alias("json"))
 
 
+def valid(rows: DataFrame) -> DataFrame:
+    """Meshes of 16 faces and more whose shortest extent is at least a thousandth of the longest."""
+    return rows.where("n_faces >= 16 AND min_extent >= 0.001 * max_extent")
+
+
+def dataset_figures(m: Mesh) -> DataFrame:
+    """What ``dataset_filter`` reads, one row per mesh: shape, size ratio, simple face loops that hardly turn, charts."""
+    box = G.bounding_boxes(m)
+    sides = [F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"]
+    size = box.select("mesh_id", (F.least(*sides) / (F.greatest(*sides) + 1e-10)).alias("size_ratio"))
+    faces = m.faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_faces"))
+    turning = rotation.loop_ratios(L.face_loop_stats(m), rotation.face_loop_rotation(m), "f").select("mesh_id", F.col("fratio").alias("fratio_new"))
+    charts = L.chart_distribution(m).select("mesh_id", "min_area_ratio", "min_border")
+    return faces.join(shape_stats(m), "mesh_id").join(size, "mesh_id").join(turning, "mesh_id").join(charts, "mesh_id")
+
+
 def dataset_filter(rows: DataFrame) -> DataFrame:
-    """The keep rule for training meshes over report, shape and chart figures."""
-    return rows.where("n_faces > 16 AND NOT bridge AND max_singular_in_face <= 2 AND max_bend <= 60 AND max_interior_degree <= 8 AND max_boundary_degree <= 8 AND n_interior_singular > 0 AND fratio >= 0.6 AND min_area_ratio >= 0.001")
+    """The keep rule for training meshes over the columns of ``dataset_figures``; the limits are fixed values."""
+    shape = "n_faces > 16 AND NOT bridge AND max_singular_in_face <= 2 AND max_bend <= 60 AND max_interior_degree <= 8 AND max_boundary_degree <= 3 AND n_interior_singular > 0"
+    return rows.where(f"{shape} AND size_ratio > 0.2 AND fratio_new >= 0.6 AND min_area_ratio >= 0.001 AND min_border >= 0.02")
 
 
 def mergeable_edges(m: Mesh, free_only: bool = True) -> DataFrame:

@@ -61,15 +61,15 @@ def sql_prefix(source: str = "part") -> str:
 WITH RECURSIVE dims AS (SELECT CAST({key} AS BIGINT) AS mesh_id, CAST({a} AS BIGINT) AS a, CAST(CASE WHEN {kind} = 3 THEN {a} ELSE {b} END AS BIGINT) AS b, CAST({kind} AS BIGINT) AS kind FROM {source}),
 grid AS (SELECT mesh_id, a, b, kind, f AS face_id, f // b AS i, f % b AS j FROM dims, unnest(range(a * b)) AS t(f)),
 spots AS (SELECT mesh_id, a, b, kind, face_id, k, i + di AS ci, j + dj AS cj FROM grid, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) AS o(k, di, dj)),
-corners AS (SELECT mesh_id, face_id, k, b, ({_VID_I}) * (b + 1) + ({_VID_J}) AS v_id FROM spots),
-vertices AS (SELECT mesh_id, v_id, {_sql(_XYZ[0])} AS x, {_sql(_XYZ[1])} AS y, {_sql(_XYZ[2])} AS z
+corners AS MATERIALIZED (SELECT mesh_id, face_id, k, b, ({_VID_I}) * (b + 1) + ({_VID_J}) AS v_id FROM spots),
+vertices AS MATERIALIZED (SELECT mesh_id, v_id, {_sql(_XYZ[0])} AS x, {_sql(_XYZ[1])} AS y, {_sql(_XYZ[2])} AS z
   FROM (SELECT DISTINCT mesh_id, v_id, v_id // (b + 1) AS vi, v_id % (b + 1) AS vj FROM corners)),
 placed AS (SELECT c.mesh_id, c.face_id, c.k, c.v_id, x, y, z FROM corners c JOIN vertices v USING (mesh_id, v_id)),
-he AS (SELECT c.mesh_id, c.face_id, c.k, c.v_id AS v0, d.v_id AS v1 FROM corners c JOIN corners d ON c.mesh_id = d.mesh_id AND c.face_id = d.face_id AND d.k = (c.k + 1) % 4),
-edges AS (SELECT mesh_id, least(v0, v1) AS lo, greatest(v0, v1) AS hi, count(*) AS n, min(face_id) AS f0, max(face_id) AS f1 FROM he GROUP BY ALL),
+he AS MATERIALIZED (SELECT c.mesh_id, c.face_id, c.k, c.v_id AS v0, d.v_id AS v1 FROM corners c JOIN corners d ON c.mesh_id = d.mesh_id AND c.face_id = d.face_id AND d.k = (c.k + 1) % 4),
+edges AS MATERIALIZED (SELECT mesh_id, least(v0, v1) AS lo, greatest(v0, v1) AS hi, count(*) AS n, min(face_id) AS f0, max(face_id) AS f1 FROM he GROUP BY ALL),
 ends AS (SELECT mesh_id, lo AS v_id, n FROM edges UNION ALL SELECT mesh_id, hi, n FROM edges),
 deg AS (SELECT mesh_id, v_id, count(*) AS degree, bool_or(n = 1) AS boundary FROM ends GROUP BY ALL),
-quads AS (SELECT mesh_id, face_id, max(v_id) FILTER (k = 0) AS v0, max(v_id) FILTER (k = 1) AS v1, max(v_id) FILTER (k = 2) AS v2, max(v_id) FILTER (k = 3) AS v3,
+quads AS MATERIALIZED (SELECT mesh_id, face_id, max(v_id) FILTER (k = 0) AS v0, max(v_id) FILTER (k = 1) AS v1, max(v_id) FILTER (k = 2) AS v2, max(v_id) FILTER (k = 3) AS v3,
   max(x) FILTER (k = 0) AS x0, max(y) FILTER (k = 0) AS y0, max(z) FILTER (k = 0) AS z0, max(x) FILTER (k = 1) AS x1, max(y) FILTER (k = 1) AS y1, max(z) FILTER (k = 1) AS z1,
   max(x) FILTER (k = 2) AS x2, max(y) FILTER (k = 2) AS y2, max(z) FILTER (k = 2) AS z2, max(x) FILTER (k = 3) AS x3, max(y) FILTER (k = 3) AS y3, max(z) FILTER (k = 3) AS z3
   FROM placed GROUP BY ALL),
@@ -78,3 +78,39 @@ areas AS (SELECT mesh_id, face_id, 0.5 * sqrt(nx * nx + ny * ny + nz * nz) AS ar
   (z0 * x1 - x0 * z1) + (z1 * x2 - x1 * z2) + (z2 * x3 - x2 * z3) + (z3 * x0 - x3 * z0) AS ny,
   (x0 * y1 - y0 * x1) + (x1 * y2 - y1 * x2) + (x2 * y3 - y2 * x3) + (x3 * y0 - y3 * x0) AS nz FROM quads))
 """
+
+
+#: Follows the prefix: sides of quads with both ends, the quad's centroid and the face across; edges with both ends. Windows and groups in place of self-joins.
+SIDES = """, q4 AS (SELECT *, (x0 + x1 + x2 + x3) / 4 AS cx, (y0 + y1 + y2 + y3) / 4 AS cy, (z0 + z1 + z2 + z3) / 4 AS cz FROM quads),
+s4 AS (SELECT mesh_id, face_id, 0 AS k, v0, v1, x0 AS ax, y0 AS ay, z0 AS az, x1 AS bx, y1 AS by_, z1 AS bz, cx, cy, cz FROM q4
+  UNION ALL SELECT mesh_id, face_id, 1, v1, v2, x1, y1, z1, x2, y2, z2, cx, cy, cz FROM q4
+  UNION ALL SELECT mesh_id, face_id, 2, v2, v3, x2, y2, z2, x3, y3, z3, cx, cy, cz FROM q4
+  UNION ALL SELECT mesh_id, face_id, 3, v3, v0, x3, y3, z3, x0, y0, z0, cx, cy, cz FROM q4),
+sides AS MATERIALIZED (SELECT *, CASE WHEN two THEN CAST(sum(face_id) OVER e - face_id AS BIGINT) END AS pair_face, CASE WHEN two THEN CAST(sum(k) OVER e - k AS INT) END AS pair_k,
+  CASE WHEN two THEN sum(cx) OVER e - cx END AS ox, CASE WHEN two THEN sum(cy) OVER e - cy END AS oy, CASE WHEN two THEN sum(cz) OVER e - cz END AS oz
+  FROM (SELECT *, least(v0, v1) AS lo, greatest(v0, v1) AS hi, count(*) OVER w = 2 AND min(v0) OVER w <> max(v0) OVER w AS two FROM s4 WINDOW w AS (PARTITION BY mesh_id, least(v0, v1), greatest(v0, v1)))
+  WINDOW e AS (PARTITION BY mesh_id, lo, hi)),
+wide AS MATERIALIZED (SELECT mesh_id, lo, hi, count(*) AS n, min(CASE WHEN v0 = lo THEN ax ELSE bx END) AS lx, min(CASE WHEN v0 = lo THEN ay ELSE by_ END) AS ly, min(CASE WHEN v0 = lo THEN az ELSE bz END) AS lz,
+  min(CASE WHEN v0 = lo THEN bx ELSE ax END) AS hx, min(CASE WHEN v0 = lo THEN by_ ELSE ay END) AS hy, min(CASE WHEN v0 = lo THEN bz ELSE az END) AS hz FROM sides GROUP BY 1, 2, 3)
+"""
+
+#: Follows SIDES: per half-edge the angle between the directions to both centroids across it; 0 on the boundary.
+BENDS = """, u0 AS (SELECT mesh_id, v0, v1, pair_face, bx - ax AS sx, by_ - ay AS sy, bz - az AS sz, cx - (ax + bx) / 2 AS fx, cy - (ay + by_) / 2 AS fy, cz - (az + bz) / 2 AS fz, ox - (ax + bx) / 2 AS gx, oy - (ay + by_) / 2 AS gy, oz - (az + bz) / 2 AS gz FROM sides),
+u1 AS (SELECT *, (sx * fx + sy * fy + sz * fz) / (sx * sx + sy * sy + sz * sz) AS f, (sx * gx + sy * gy + sz * gz) / (sx * sx + sy * sy + sz * sz) AS g FROM u0),
+u2 AS (SELECT mesh_id, v0, v1, pair_face, fx - f * sx AS fx, fy - f * sy AS fy, fz - f * sz AS fz, gx - g * sx AS gx, gy - g * sy AS gy, gz - g * sz AS gz FROM u1),
+bends AS (SELECT mesh_id, v0, v1, CASE WHEN pair_face IS NULL THEN 0 ELSE degrees(acos(least(1.0, greatest(-1.0, (fx * gx + fy * gy + fz * gz) / sqrt((fx * fx + fy * fy + fz * fz) * (gx * gx + gy * gy + gz * gz)))))) END AS dihedral FROM u2)
+"""
+
+
+def turn(a: str, b: str, c: str) -> str:
+    """SQL for the degrees at corner ``b`` of corners ``a``, ``b``, ``c``, given as suffixes of x, y and z."""
+    one = " + ".join(f"({d}{a} - {d}{b}) * ({d}{c} - {d}{b})" for d in "xyz")
+    size = lambda o: " + ".join(f"({d}{o} - {d}{b}) ** 2" for d in "xyz")
+    return f"degrees(acos(least(1.0, greatest(-1.0, ({one}) / sqrt(({size(a)}) * ({size(c)}))))))"
+
+
+#: Follows the prefix: the two triangles of every quad, ids 2f and 2f + 1, cut at the corners that leave the larger angle sum off the diagonal.
+TRIANGLES = f""", cut AS (SELECT *, round({turn('0', '1', '2')} + {turn('2', '3', '0')}, 9) >= round({turn('3', '0', '1')} + {turn('1', '2', '3')}, 9) AS by02 FROM quads),
+tris AS MATERIALIZED (SELECT mesh_id, face_id * 2 + t AS face_id, {", ".join(f"CASE WHEN by02 THEN {c}0 ELSE CASE t WHEN 0 THEN {c}0 ELSE {c}1 END END AS {c}0, CASE WHEN by02 THEN CASE t WHEN 0 THEN {c}1 ELSE {c}2 END ELSE CASE t WHEN 0 THEN {c}1 ELSE {c}2 END END AS {c}1, CASE WHEN by02 THEN CASE t WHEN 0 THEN {c}2 ELSE {c}3 END ELSE {c}3 END AS {c}2" for c in "vxyz")}
+  FROM cut, range(2) AS h(t))
+"""

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quadrille.functions.local_components import components_by_mesh
+from quadrille.functions.shared import materialise
 from quadrille.operators import dedup as D
 from quadrille.operators import geometry as G
 from quadrille.operators import loops as L
@@ -188,12 +189,15 @@ def g9(spark, d):
     return components_by_mesh(links).groupBy("mesh_id").agg(F.countDistinct("node").alias("n_arcs"))
 
 
-@query("l6_label_components", PART + "SELECT mesh_id, count(*) AS n_faces, CAST(1 AS BIGINT) AS n_components FROM grid GROUP BY 1")
+@query("l6_label_components", PART + """, sz AS (SELECT mesh_id, mesh_id % 16 AS into_, a * b AS nf FROM dims),
+b AS (SELECT into_ AS mesh_id, nf, coalesce(sum(nf) OVER w, 0) AS df, row_number() OVER w0 - 1 AS label FROM sz WINDOW w AS (PARTITION BY into_ ORDER BY mesh_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w0 AS (PARTITION BY into_ ORDER BY mesh_id))
+SELECT mesh_id, CAST(df + f AS BIGINT) AS face_id, label FROM b, unnest(range(nf)) AS t(f)""")
 def l6(spark, d):
-    """Welding that keeps degenerate faces, then components."""
-    m, _ = X.weld(mesh(spark, d), keep_degenerate=True)
-    c = M.face_components(m)
-    return c.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_faces"), F.countDistinct("comp_id").alias("n_components"))
+    """Objects put together of many parts: welding that keeps degenerate faces, then a label from 0 for every component in the order of its first face."""
+    m = mesh(spark, d)
+    apart = m.vertices.withColumn("x", F.col("x") + F.expr("mesh_id div 16") * 20.0)
+    m, _ = X.weld(M.concatenated(M.Mesh(apart, m.faces), F.col("mesh_id") % 16), keep_degenerate=True)
+    return M.component_labels(M.Mesh(m.vertices, materialise(m.faces))).select("mesh_id", "face_id", "label")
 
 
 @query("s_k_format_round_trips", PART + "SELECT mesh_id, f AS format, count(*) AS n_faces FROM grid, unnest(['off', 'obj', 'ply', 'vtk', 'vtp', 'wrl']) AS t(f) GROUP BY 1, 2")

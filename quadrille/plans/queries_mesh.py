@@ -9,7 +9,7 @@ from quadrille.operators import geometry as G
 from quadrille.operators import loops as L
 from quadrille.operators import mesh as M
 from quadrille.operators import subdivision as S
-from quadrille.plans.derived import mesh, sql_prefix
+from quadrille.plans.derived import BENDS, SIDES, TRIANGLES, mesh, sql_prefix, turn
 
 PART, NATION = sql_prefix("part"), sql_prefix("nation")
 QUERIES: dict = {}
@@ -31,6 +31,44 @@ def r6(c):
     return F.round(c, 6) + F.lit(0.0)
 
 
+def _bend(name: str, a: str, b: str, c: str, e: str) -> str:
+    """A table (mesh_id, face_id, bend): how far the triangles a-b-c and a-c-e of a quad are from flat, in degrees off a fold."""
+    d = lambda o, x: f"({x}{o} - {x}{a})"
+    n = lambda o, p: [f"{d(o, x)} * {d(p, y)} - {d(o, y)} * {d(p, x)}" for x, y in ("yz", "zx", "xy")]
+    m, k = n(b, c), n(c, e)
+    return f"""{name}_n AS (SELECT mesh_id, face_id, {", ".join(f"{t} AS m{i}" for i, t in enumerate(m))}, {", ".join(f"{t} AS k{i}" for i, t in enumerate(k))} FROM quads),
+{name} AS (SELECT mesh_id, face_id, abs(180.0 - degrees(acos(least(1.0, greatest(-1.0, (m0 * k0 + m1 * k1 + m2 * k2) / sqrt((m0 * m0 + m1 * m1 + m2 * m2) * (k0 * k0 + k1 * k1 + k2 * k2))))))) AS bend FROM {name}_n)"""
+
+
+def _segment(a: str, b: str) -> str:
+    """SQL for the distance of corner 3 from the segment between two corners."""
+    dot = " + ".join(f"({x}3 - {x}{a}) * ({x}{b} - {x}{a})" for x in "xyz")
+    size = " + ".join(f"({x}{b} - {x}{a}) ** 2" for x in "xyz")
+    t = f"least(1.0, greatest(0.0, ({dot}) / ({size})))"
+    return "sqrt(" + " + ".join(f"({x}3 - {x}{a} - ({x}{b} - {x}{a}) * {t}) ** 2" for x in "xyz") + ")"
+
+
+def _side(a: str, b: str, o: str) -> str:
+    """SQL for the cross product of corner a to b and corner a to o, dotted with the normal n."""
+    d = lambda p, x: f"({x}{p} - {x}{a})"
+    return " + ".join(f"n{z} * ({d(b, x)} * {d(o, y)} - {d(b, y)} * {d(o, x)})" for z, x, y in ("xyz", "yzx", "zxy"))
+
+
+_GAP = "greatest(least({x}0, {x}1, {x}2) - {x}3, 0.0, {x}3 - greatest({x}0, {x}1, {x}2)) ** 2"
+_DISTANCES = f""", n AS (SELECT *, {", ".join(f"({x}1 - {x}0) * ({y}2 - {y}0) - ({y}1 - {y}0) * ({x}2 - {x}0) AS n{z}" for z, x, y in ("xyz", "yzx", "zxy"))} FROM quads)
+SELECT mesh_id, face_id, round({_segment("0", "1")}, 6) + 0.0 AS segment,
+round(CASE WHEN {_side("0", "1", "3")} >= 0 AND {_side("1", "2", "3")} >= 0 AND {_side("2", "0", "3")} >= 0 THEN abs((x3 - x0) * nx + (y3 - y0) * ny + (z3 - z0) * nz) / sqrt(nx * nx + ny * ny + nz * nz)
+  ELSE least({_segment("0", "1")}, {_segment("1", "2")}, {_segment("2", "0")}) END, 6) + 0.0 AS triangle,
+round(sqrt({" + ".join(_GAP.format(x=x) for x in "xyz")}), 6) + 0.0 AS box FROM n"""
+
+
+def _smoothed(name: str, of: str, factor: float) -> str:
+    """A table of vertices moved towards the mean of their neighbours, by inverse squared lengths; the boundary stays."""
+    return f"""{name}_e AS (SELECT e.mesh_id, lo, hi, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, 1 / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM edges e JOIN {of} a ON a.mesh_id = e.mesh_id AND a.v_id = lo JOIN {of} b ON b.mesh_id = e.mesh_id AND b.v_id = hi),
+{name}_m AS (SELECT mesh_id, v_id, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * z) / sum(w) AS mz FROM (SELECT mesh_id, lo AS v_id, w, bx AS x, by_ AS y, bz AS z FROM {name}_e UNION ALL SELECT mesh_id, hi, w, ax, ay, az FROM {name}_e) GROUP BY 1, 2),
+{name} AS MATERIALIZED (SELECT v.mesh_id, v.v_id, {", ".join(f"CASE WHEN boundary THEN {c} ELSE {c} + (m{c} - {c}) * {factor} END AS {c}" for c in "xyz")} FROM {of} v JOIN {name}_m USING (mesh_id, v_id) JOIN deg USING (mesh_id, v_id))"""
+
+
 _COUNTS = """, tv AS (SELECT mesh_id, count(*) AS n_vertices, count(*) FILTER (boundary) AS n_boundary_vertices, count(*) FILTER (CASE WHEN boundary THEN degree <> 3 ELSE degree <> 4 END) AS n_irregular FROM deg GROUP BY 1),
 te AS (SELECT mesh_id, count(*) AS n_edges, count(*) FILTER (n = 1) AS n_boundary_edges FROM edges GROUP BY 1),
 tf AS (SELECT mesh_id, count(*) AS n_faces FROM grid GROUP BY 1)
@@ -47,9 +85,9 @@ def mesh_topology_large(spark, d):
     return M.topology(mesh(spark, d))
 
 
-@query("j1_halfedge_pairs", PART + "SELECT h.mesh_id, h.v0, h.v1, h.face_id, CAST(h.k AS INT) AS k, p.face_id AS pair_face, CAST(p.k AS INT) AS pair_k FROM he h LEFT JOIN he p ON p.mesh_id = h.mesh_id AND p.v0 = h.v1 AND p.v1 = h.v0")
+@query("j1_halfedge_pairs", PART + SIDES + "SELECT mesh_id, v0, v1, face_id, CAST(k AS INT) AS k, coalesce(pair_face, -1) AS pair_face, coalesce(pair_k, -1) AS pair_k FROM sides")
 def j1(spark, d):
-    return M.paired(mesh(spark, d)).select("mesh_id", "v0", "v1", "face_id", "k", "pair_face", "pair_k")
+    return M.paired(mesh(spark, d)).select("mesh_id", "v0", "v1", "face_id", "k", F.coalesce("pair_face", F.lit(-1).cast("long")).alias("pair_face"), F.coalesce("pair_k", F.lit(-1)).alias("pair_k"))
 
 
 @query("j2_edge_faces", PART + "SELECT mesh_id, lo, hi, n AS n_faces, f0, f1 FROM edges")
@@ -57,7 +95,7 @@ def j2(spark, d):
     return M.edges(mesh(spark, d))
 
 
-@query("j3_face_adjacency", PART + "SELECT h.mesh_id, h.face_id, p.face_id AS across FROM he h JOIN he p ON p.mesh_id = h.mesh_id AND p.v0 = h.v1 AND p.v1 = h.v0")
+@query("j3_face_adjacency", PART + SIDES + "SELECT mesh_id, face_id, pair_face AS across FROM sides WHERE pair_face IS NOT NULL")
 def j3(spark, d):
     return M.face_adjacency(mesh(spark, d))
 
@@ -69,7 +107,7 @@ def j4(spark, d):
     return M.vertex_star(mesh(spark, d)).select("mesh_id", "v_id", F.concat_ws(",", F.col("faces").cast("array<string>")).alias("faces"), F.concat_ws(",", F.col("ring").cast("array<string>")).alias("ring"))
 
 
-@query("j5_boundary_edges", PART + "SELECT h.mesh_id, h.v0, h.v1, h.face_id FROM he h ANTI JOIN he p ON p.mesh_id = h.mesh_id AND p.v0 = h.v1 AND p.v1 = h.v0")
+@query("j5_boundary_edges", PART + SIDES + "SELECT mesh_id, v0, v1, face_id FROM sides WHERE pair_face IS NULL")
 def j5(spark, d):
     h = M.halfedges(mesh(spark, d))
     back = h.select("mesh_id", F.col("v1").alias("v0"), F.col("v0").alias("v1"))
@@ -162,14 +200,16 @@ def u1(spark, d):
 
 
 # ---- geometry ----
-@query("f9_edge_geometry", PART + "SELECT e.mesh_id, lo, hi, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) AS length, round((a.x + b.x) / 2, 6) AS mx, round((a.y + b.y) / 2, 6) AS my, round((a.z + b.z) / 2, 6) AS mz FROM edges e JOIN vertices a ON a.mesh_id = e.mesh_id AND a.v_id = lo JOIN vertices b ON b.mesh_id = e.mesh_id AND b.v_id = hi")
+@query("f9_edge_geometry", PART + SIDES + "SELECT mesh_id, lo, hi, round(sqrt((lx - hx) ** 2 + (ly - hy) ** 2 + (lz - hz) ** 2), 6) AS length, round((lx + hx) / 2, 6) AS mx, round((ly + hy) / 2, 6) AS my, round((lz + hz) / 2, 6) AS mz FROM wide")
 def f9(spark, d):
     m = mesh(spark, d)
     return G.edge_geometry(m, M.edges(m)).select("mesh_id", "lo", "hi", *(r6(F.col(c)).alias(c) for c in ("length", "mx", "my", "mz")))
 
 
-@query("f10_f12_face_facts", PART + """SELECT mesh_id, face_id, round(area, 6) AS area, round((x0 + x1 + x2 + x3) / 4, 6) AS cx, round((y0 + y1 + y2 + y3) / 4, 6) AS cy, round((z0 + z1 + z2 + z3) / 4, 6) AS cz,
-round(nx / (2 * area), 6) + 0.0 AS nx, round(ny / (2 * area), 6) + 0.0 AS ny, round(nz / (2 * area), 6) + 0.0 AS nz FROM quads JOIN areas USING (mesh_id, face_id)""")
+@query("f10_f12_face_facts", PART + """, n AS (SELECT mesh_id, face_id, (x0 + x1 + x2 + x3) / 4 AS cx, (y0 + y1 + y2 + y3) / 4 AS cy, (z0 + z1 + z2 + z3) / 4 AS cz,
+  (y0 * z1 - z0 * y1) + (y1 * z2 - z1 * y2) + (y2 * z3 - z2 * y3) + (y3 * z0 - z3 * y0) AS nx, (z0 * x1 - x0 * z1) + (z1 * x2 - x1 * z2) + (z2 * x3 - x2 * z3) + (z3 * x0 - x3 * z0) AS ny, (x0 * y1 - y0 * x1) + (x1 * y2 - y1 * x2) + (x2 * y3 - y2 * x3) + (x3 * y0 - y3 * x0) AS nz FROM quads),
+a AS (SELECT *, 0.5 * sqrt(nx * nx + ny * ny + nz * nz) AS area FROM n)
+SELECT mesh_id, face_id, round(area, 6) AS area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, round(nx / (2 * area), 6) + 0.0 AS nx, round(ny / (2 * area), 6) + 0.0 AS ny, round(nz / (2 * area), 6) + 0.0 AS nz FROM a""")
 def f10(spark, d):
     f = G.face_facts(mesh(spark, d))
     return f.select("mesh_id", "face_id", r6(F.col("area")).alias("area"), *(r6(F.col(f"{s}.{c}")).alias(s + c) for s in "cn" for c in "xyz"))
@@ -215,24 +255,18 @@ def m7(spark, d):
     return G.quads_to_triangles(mesh(spark, d)).select("mesh_id", "face_id", F.concat_ws(",", F.col("verts").cast("array<string>")).alias("verts"))
 
 
-@query("f4_dihedral", PART + """, c AS (SELECT mesh_id, face_id, (x0 + x1 + x2 + x3) / 4 AS x, (y0 + y1 + y2 + y3) / 4 AS y, (z0 + z1 + z2 + z3) / 4 AS z FROM quads),
-w AS (SELECT h.mesh_id, h.v0, h.v1, q.x - p.x AS ax, q.y - p.y AS ay, q.z - p.z AS az, s.x - (p.x + q.x) / 2 AS bx, s.y - (p.y + q.y) / 2 AS by_, s.z - (p.z + q.z) / 2 AS bz, t.x - (p.x + q.x) / 2 AS cx, t.y - (p.y + q.y) / 2 AS cy, t.z - (p.z + q.z) / 2 AS cz
-  FROM he h JOIN vertices p ON p.mesh_id = h.mesh_id AND p.v_id = h.v0 JOIN vertices q ON q.mesh_id = h.mesh_id AND q.v_id = h.v1 JOIN c s ON s.mesh_id = h.mesh_id AND s.face_id = h.face_id
-  LEFT JOIN he r ON r.mesh_id = h.mesh_id AND r.v0 = h.v1 AND r.v1 = h.v0 LEFT JOIN c t ON t.mesh_id = r.mesh_id AND t.face_id = r.face_id),
-u AS (SELECT *, (ax * bx + ay * by_ + az * bz) / (ax * ax + ay * ay + az * az) AS s, (ax * cx + ay * cy + az * cz) / (ax * ax + ay * ay + az * az) AS t FROM w),
-o AS (SELECT mesh_id, v0, v1, bx - s * ax AS bx, by_ - s * ay AS by_, bz - s * az AS bz, cx - t * ax AS cx, cy - t * ay AS cy, cz - t * az AS cz FROM u)
-SELECT mesh_id, v0, v1, CASE WHEN cx IS NULL THEN 0 ELSE round(degrees(acos(least(1.0, greatest(-1.0, (bx * cx + by_ * cy + bz * cz) / sqrt((bx * bx + by_ * by_ + bz * bz) * (cx * cx + cy * cy + cz * cz)))))), 3) END AS dihedral FROM o""")
+@query("f4_dihedral", PART + SIDES + BENDS + "SELECT mesh_id, v0, v1, round(dihedral, 3) AS dihedral FROM bends")
 def f4(spark, d):
     return G.dihedral_angles(mesh(spark, d)).select("mesh_id", "v0", "v1", F.round("dihedral", 3).alias("dihedral"))
 
 
-@query("f5_diagonal_dihedral", None)
+@query("f5_diagonal_dihedral", PART + ", " + ", ".join(_bend(f"d{i}", *c) for i, c in enumerate((("0", "1", "2", "3"), ("1", "2", "3", "0")))) + " SELECT mesh_id, face_id, round(greatest(d0.bend, d1.bend), 3) + 0.0 AS dihedral FROM d0 JOIN d1 USING (mesh_id, face_id)")
 def f5(spark, d):
     """Largest of the dihedral angles that both diagonals of a quad give."""
     q = G.quad_wide(mesh(spark, d))
     p = [V3.field(F.col(f"p{i}")) for i in range(4)]
     bend = lambda a, b, c, e: F.abs(F.lit(180.0) - angle((b - a).cross(c - a), (c - a).cross(e - a)))
-    return q.select("mesh_id", "face_id", r6(F.greatest(bend(*p), bend(p[1], p[2], p[3], p[0]))).alias("dihedral"))
+    return q.select("mesh_id", "face_id", (F.round(F.greatest(bend(*p), bend(p[1], p[2], p[3], p[0])), 3) + F.lit(0.0)).alias("dihedral"))
 
 
 @query("f7_f16_transform", PART + "SELECT mesh_id, v_id, round(2 * (x * cos(radians(30)) - y * sin(radians(30))) + 1, 6) AS x, round(2 * (x * sin(radians(30)) + y * cos(radians(30))) - 2, 6) AS y, round(2 * z + 3, 6) AS z FROM vertices")
@@ -242,7 +276,7 @@ def f7(spark, d):
     return mesh(spark, d).vertices.select("mesh_id", "v_id", r6(v.x).alias("x"), r6(v.y).alias("y"), r6(v.z).alias("z"))
 
 
-@query("f3_triangle_angles", None)
+@query("f3_triangle_angles", PART + TRIANGLES + f"SELECT mesh_id, face_id, round({turn('2', '0', '1')}, 6) AS a0, round({turn('0', '1', '2')}, 6) AS a1, round({turn('1', '2', '0')}, 6) AS a2, CAST(180 AS DOUBLE) AS total FROM tris")
 def f3(spark, d):
     """The three angles of every triangle of the split quads; they sum to 180."""
     m = mesh(spark, d)
@@ -265,7 +299,7 @@ def m12(spark, d):
     return G.normalised(mesh(spark, d)).select("mesh_id", "v_id", *(r6(F.col(c)).alias(c) for c in "xyz"))
 
 
-@query("f23_distances", None)
+@query("f23_distances", PART + _DISTANCES)
 def f23(spark, d):
     """Distances of every face's last corner from the segment, triangle and box of its first three."""
     q = G.quad_wide(mesh(spark, d))
@@ -319,12 +353,12 @@ def m3(spark, d):
     return S.inherit_clusters(m, sets).select("mesh_id", "lo", "hi", F.concat_ws(",", F.col("clusters").cast("array<string>")).alias("clusters"))
 
 
-@query("m6_laplacian_step", None)
+@query("m6_laplacian_step", PART + SIDES + ", sm0 AS (SELECT * FROM vertices), " + _smoothed("sm1", "sm0", 0.5) + " SELECT mesh_id, v_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM sm1")
 def m6(spark, d):
     return S.smooth(mesh(spark, d), 0.5).vertices.select("mesh_id", "v_id", *(r6(F.col(c)).alias(c) for c in "xyz"))
 
 
-@query("m6_taubin", None)
+@query("m6_taubin", PART + SIDES + ", sm0 AS (SELECT * FROM vertices), " + _smoothed("sm1", "sm0", 0.4507) + ", " + _smoothed("sm2", "sm1", -0.4720) + " SELECT mesh_id, v_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM sm2")
 def m6_taubin(spark, d):
     return S.taubin(mesh(spark, d)).vertices.select("mesh_id", "v_id", *(r6(F.col(c)).alias(c) for c in "xyz"))
 
@@ -393,6 +427,20 @@ def ratios_large(spark, d):
     return out.select("mesh_id", r6(F.col("fratio")).alias("fratio"), r6(F.col("eratio")).alias("eratio"))
 
 
+_CHARTS = ORACLE_SQL["a12_charts"].rsplit("SELECT mesh_id, node AS face_id", 1)[0] + """, ch AS (SELECT mesh_id, node AS face_id, min(seen) AS chart_id FROM freach GROUP BY 1, 2),
+per AS (SELECT mesh_id, chart_id, sum(area) AS area FROM ch JOIN areas USING (mesh_id, face_id) GROUP BY 1, 2),
+st AS (SELECT mesh_id, count(*) AS n_charts, max(area) / sum(area) AS max_area_ratio, min(area) / sum(area) AS min_area_ratio, avg(area) AS mean_area FROM per GROUP BY 1)""" + SIDES + """, bo AS (SELECT w.mesh_id, s.chart_id AS c0, CASE WHEN w.n = 1 THEN -1 ELSE t.chart_id END AS c1, sqrt((lx - hx) ** 2 + (ly - hy) ** 2 + (lz - hz) ** 2) AS length
+  FROM wide w JOIN edges e ON e.mesh_id = w.mesh_id AND e.lo = w.lo AND e.hi = w.hi JOIN ch s ON s.mesh_id = e.mesh_id AND s.face_id = f0 JOIN ch t ON t.mesh_id = e.mesh_id AND t.face_id = f1),
+sh AS (SELECT mesh_id, min(length) AS min_border FROM (SELECT mesh_id, least(c0, c1) AS x, greatest(c0, c1) AS y, sum(length) AS length FROM bo WHERE c0 <> c1 GROUP BY 1, 2, 3) GROUP BY 1)
+SELECT mesh_id, n_charts, round(max_area_ratio, 6) AS max_area_ratio, round(min_area_ratio, 6) AS min_area_ratio, round(mean_area, 6) AS mean_area, round(coalesce(min_border, 0), 6) AS min_border FROM st LEFT JOIN sh USING (mesh_id)"""
+
+
+@query("a13_chart_distribution_nation", _CHARTS)
+def a13_nation(spark, d):
+    out = L.chart_distribution(mesh(spark, d, "nation")).na.fill(0.0, ["min_border"])
+    return out.select("mesh_id", "n_charts", *(r6(F.col(c)).alias(c) for c in ("max_area_ratio", "min_area_ratio", "mean_area", "min_border")))
+
+
 @query("a13_chart_distribution", None)
 def a13(spark, d):
     out = L.chart_distribution(mesh(spark, d))

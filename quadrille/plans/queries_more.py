@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quadrille.functions.shared import table
+from quadrille.functions.shared import materialise, table
 from quadrille.functions.vec import V3, point_segment, point_triangle
 from quadrille.operators import geometry as G
 from quadrille.operators import loops as L
@@ -13,7 +13,7 @@ from quadrille.operators import mesh as M
 from quadrille.operators import quality as Q
 from quadrille.operators import spatial as X
 from quadrille.operators import subdivision as S
-from quadrille.plans.derived import dims, mesh, sql_prefix
+from quadrille.plans.derived import BENDS, SIDES, TRIANGLES, dims, mesh, sql_prefix
 from quadrille.plans.queries_mesh import _COMPLEX, _EDGE_STATS, _FACE_LOOPS, r6
 
 PART, NATION = sql_prefix("part"), sql_prefix("nation")
@@ -47,25 +47,49 @@ def p5(spark, d):
     return Q.shape_stats(mesh(spark, d)).drop("max_bend")
 
 
-@query("p6_quick_filter")
+_FIGURES = """WITH f AS (SELECT CAST(p_partkey AS BIGINT) AS mesh_id, 12 + p_partkey % 97 AS n_faces, p_partkey % 11 = 0 AS bridge, p_size % 4 AS max_singular_in_face, CAST(p_partkey % 73 AS DOUBLE) AS max_bend, 3 + p_partkey % 7 AS max_interior_degree, 2 + p_size % 3 AS max_boundary_degree, p_partkey % 5 AS n_interior_singular,
+CAST((1 + p_partkey % 13) / 14.0 AS DOUBLE) AS size_ratio, CAST((1 + p_partkey % 17) / 18.0 AS DOUBLE) AS fratio_new, CAST((p_partkey % 19) / 4000.0 AS DOUBLE) AS min_area_ratio, CAST((p_partkey % 23) / 300.0 AS DOUBLE) AS min_border, CAST(p_partkey % 12 AS BIGINT) AS n_boundaries, CAST((1 + p_partkey % 29) / 9000.0 AS DOUBLE) AS min_extent, CAST(1 AS DOUBLE) AS max_extent FROM part) """
+
+
+def figures(spark, d):
+    """A row of mesh figures per part, which pass and fail every clause of the filters."""
+    table(spark, d, "part").createOrReplaceTempView("_quadrille_part")
+    return spark.sql(_FIGURES.replace("FROM part", "FROM _quadrille_part") + "SELECT * FROM f")
+
+
+@query("p6_quick_filter", _FIGURES + "SELECT mesh_id, n_boundaries, n_interior_singular FROM f WHERE NOT (n_boundaries > 8 OR n_interior_singular = 0 OR max_bend > 60)")
 def p6(spark, d):
-    m = mesh(spark, d)
-    return Q.quick_filter(Q.shape_stats(m), M.genus_table(m)).select("mesh_id", "n_boundaries", "n_interior_singular")
+    rows = figures(spark, d)
+    return Q.quick_filter(rows.drop("n_boundaries"), rows.select("mesh_id", "n_boundaries")).select("mesh_id", "n_boundaries", "n_interior_singular")
+
 
+@query("p8_valid_meshes", _FIGURES + "SELECT mesh_id FROM f WHERE n_faces >= 16 AND min_extent / max_extent >= 0.001")
+def p8(spark, d):
+    return Q.valid(figures(spark, d)).select("mesh_id")
 
-@query("p7_short_edges", PART + "SELECT DISTINCT e.mesh_id FROM edges e JOIN vertices a ON a.mesh_id = e.mesh_id AND a.v_id = lo JOIN vertices b ON b.mesh_id = e.mesh_id AND b.v_id = hi WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.7")
+
+@query("p7_short_edges", PART + "SELECT DISTINCT e.mesh_id FROM edges e JOIN vertices a ON a.mesh_id = e.mesh_id AND a.v_id = lo JOIN vertices b ON b.mesh_id = e.mesh_id AND b.v_id = hi WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 1.0")
 def p7(spark, d):
-    return Q.short_edges(mesh(spark, d), 0.7)
+    return Q.short_edges(mesh(spark, d), 1.0)
 
 
-@query("p9_dataset_filter")
+@query("p9_dataset_filter", _FIGURES + """SELECT mesh_id FROM f WHERE NOT (n_faces <= 16 OR bridge OR max_singular_in_face > 2 OR max_bend > 60 OR max_interior_degree > 8 OR max_boundary_degree > 3 OR n_interior_singular = 0
+OR size_ratio <= 0.2 OR fratio_new < 0.6 OR min_area_ratio < 0.001 OR min_border < 0.02)""")
 def p9(spark, d):
-    m = mesh(spark, d)
-    rows = Q.report(m).join(Q.shape_stats(m), "mesh_id").join(L.chart_distribution(m).select("mesh_id", "min_area_ratio"), "mesh_id")
-    return Q.dataset_filter(rows).select("mesh_id", "n_faces", r6(F.col("fratio")).alias("fratio"))
+    return Q.dataset_filter(figures(spark, d)).select("mesh_id")
+
+
+@query("p9_dataset_figures")
+def p9_figures(spark, d):
+    """What the keep rule reads, from the meshes themselves."""
+    rows = Q.dataset_figures(mesh(spark, d, "nation"))
+    return rows.select(*(r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
 
 
-@query("p10_mergeable_edges")
+@query("p10_mergeable_edges", PART + TRIANGLES + """, ts AS (SELECT mesh_id, face_id, least(v0, v1) AS lo, greatest(v0, v1) AS hi, v2 AS far FROM tris UNION ALL SELECT mesh_id, face_id, least(v1, v2), greatest(v1, v2), v0 FROM tris UNION ALL SELECT mesh_id, face_id, least(v2, v0), greatest(v2, v0), v1 FROM tris),
+te AS MATERIALIZED (SELECT mesh_id, lo, hi, count(*) AS n, min(face_id) AS f0, max(face_id) AS f1, arg_min(far, face_id) AS far0, arg_max(far, face_id) AS far1 FROM ts GROUP BY 1, 2, 3),
+known AS (SELECT mesh_id, lo * 2147483648 + hi AS e FROM te)
+SELECT mesh_id, lo, hi, f0, f1, far0, far1 FROM te WHERE n = 2 AND (mesh_id, least(far0, far1) * 2147483648 + greatest(far0, far1)) NOT IN (SELECT (mesh_id, e) FROM known)""")
 def p10(spark, d):
     m = mesh(spark, d)
     return Q.mergeable_edges(M.Mesh(m.vertices, G.quads_to_triangles(m)))
@@ -92,7 +116,7 @@ def p14(spark, d):
     return n.join(tips, ["mesh_id", "loop_id"]).select("mesh_id", "loop_id", ((F.col("tips") == 0) & (F.col("n") > 2)).alias("closed"))
 
 
-@query("p16_sharp_edges")
+@query("p16_sharp_edges", PART + SIDES + BENDS + "SELECT mesh_id, v0, v1 FROM bends WHERE dihedral < 130 AND (v0 < v1 OR dihedral = 0)")
 def p16(spark, d):
     return G.dihedral_angles(mesh(spark, d)).where("dihedral < 130 AND (v0 < v1 OR dihedral = 0)").select("mesh_id", "v0", "v1")
 
@@ -129,14 +153,33 @@ def j9(spark, d):
     return out.select("q_id", "v_id", F.round("distance", 9).alias("distance"))
 
 
-@query("j7_nearest_triangle")
+def _to_segment(a: str, b: str) -> str:
+    """SQL for the distance of q from the segment between two corners."""
+    dot = " + ".join(f"(q{x} - {x}{a}) * ({x}{b} - {x}{a})" for x in "xyz")
+    size = " + ".join(f"({x}{b} - {x}{a}) ** 2" for x in "xyz")
+    return "sqrt(" + " + ".join(f"(q{x} - {x}{a} - ({x}{b} - {x}{a}) * least(1.0, greatest(0.0, ({dot}) / ({size})))) ** 2" for x in "xyz") + ")"
+
+
+def _inside(a: str, b: str) -> str:
+    """SQL for the side of q along the line of two corners, seen along the normal n."""
+    return " + ".join(f"n{z} * (({x}{b} - {x}{a}) * (q{y} - {y}{a}) - ({y}{b} - {y}{a}) * (q{x} - {x}{a}))" for z, x, y in ("xyz", "yzx", "zxy"))
+
+
+_NORMALS = ", ".join(f"({x}1 - {x}0) * ({y}2 - {y}0) - ({y}1 - {y}0) * ({x}2 - {x}0) AS n{z}" for z, x, y in ("xyz", "yzx", "zxy"))
+
+
+@query("j7_nearest_triangle", PART + TRIANGLES + f""", tn AS (SELECT *, {_NORMALS} FROM tris),
+qs AS (SELECT mesh_id, face_id AS q_id, (x0 + x1 + x2 + x3) / 4 AS qx, (y0 + y1 + y2 + y3) / 4 AS qy, (z0 + z1 + z2 + z3) / 4 AS qz FROM quads),
+ds AS (SELECT mesh_id, q_id, CASE WHEN {_inside("0", "1")} >= 0 AND {_inside("1", "2")} >= 0 AND {_inside("2", "0")} >= 0 THEN abs((qx - x0) * nx + (qy - y0) * ny + (qz - z0) * nz) / sqrt(nx * nx + ny * ny + nz * nz)
+  ELSE least({_to_segment("0", "1")}, {_to_segment("1", "2")}, {_to_segment("2", "0")}) END AS d FROM qs JOIN tn USING (mesh_id))
+SELECT mesh_id, q_id, round(min(d), 4) + 0.0 AS distance FROM ds GROUP BY 1, 2""")
 def j7(spark, d):
-    """Nearest triangle of every second face's centroid, within the face's mesh."""
+    """Distance of every face's centroid from the nearest triangle of its mesh."""
     m = mesh(spark, d)
     t = G.face_points(M.Mesh(m.vertices, G.quads_to_triangles(m))).select("mesh_id", F.col("face_id").alias("item_id"), *(F.get("pts", F.lit(i)).alias(f"p{i}") for i in range(3)))
-    q = G.face_facts(m).where("face_id % 2 = 0").select("mesh_id", F.col("face_id").alias("q_id"), *(F.col(f"c.{c}").alias(f"q{c}") for c in "xyz"))
-    p = [V3.field(F.col(f"p{i}")) for i in range(3)]
-    return X.nearest_of(q.join(t, "mesh_id"), F.round(point_triangle(V3.of("q"), *p), 9))
+    q = G.face_facts(m).select("mesh_id", F.col("face_id").alias("q_id"), *(F.col(f"c.{c}").alias(f"q{c}") for c in "xyz"))
+    near = X.nearest_triangle(q, t)
+    return near.select("mesh_id", "q_id", (F.round("distance", 4) + F.lit(0.0)).alias("distance"))
 
 
 @query("j8_nearest_segment", PART + """, c AS (SELECT mesh_id, face_id AS q_id, (x0 + x1 + x2 + x3) / 4 + 0.123 AS qx, (y0 + y1 + y2 + y3) / 4 AS qy, (z0 + z1 + z2 + z3) / 4 AS qz FROM quads WHERE face_id % 4 = 0),
@@ -226,9 +269,14 @@ def t2(spark, d):
     return s.withColumn("place", F.row_number().over(Window.partitionBy("mesh_id").orderBy(F.desc("n_edges"), "loop_id")).cast("long"))
 
 
-@query("t4_t5_largest_component", PART + "SELECT mesh_id, CAST(0 AS BIGINT) AS comp_id, count(*) AS n FROM grid GROUP BY 1")
+_MERGED = """, sz AS (SELECT mesh_id, mesh_id % 16 AS into_, a * b AS nf FROM dims),
+part_of AS (SELECT into_ AS mesh_id, nf AS n, CAST(coalesce(sum(nf) OVER (PARTITION BY into_ ORDER BY mesh_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS comp_id FROM sz)"""
+
+
+@query("t4_t5_largest_component", PART + _MERGED + " SELECT mesh_id, comp_id, n FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY n DESC, comp_id) AS r FROM part_of) WHERE r = 1")
 def t4(spark, d):
-    c = M.face_components(mesh(spark, d)).groupBy("mesh_id", "comp_id").agg(F.count(F.lit(1)).alias("n"))
+    """The component of most faces in meshes put together of many; ties to the smaller id."""
+    c = M.face_components(M.concatenated(mesh(spark, d), F.col("mesh_id") % 16)).groupBy("mesh_id", "comp_id").agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy("mesh_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "comp_id", "n")).alias("b")).select("mesh_id", "b.comp_id", "b.n")
 
 
@@ -269,7 +317,7 @@ def m10(spark, d):
     return mesh(spark, d).faces.groupBy("mesh_id", F.floor(F.col("face_id") / 2).alias("pair")).agg((F.count(F.lit(1)) == 2).alias("full_pair"), F.sum("face_id").alias("ids"))
 
 
-@query("m13_edge_samples", PART + "SELECT e.mesh_id, lo, hi, i AS step, round(a.x + (b.x - a.x) * i / 3.0, 6) AS x, round(a.y + (b.y - a.y) * i / 3.0, 6) AS y FROM edges e JOIN vertices a ON a.mesh_id = e.mesh_id AND a.v_id = lo JOIN vertices b ON b.mesh_id = e.mesh_id AND b.v_id = hi, range(4) t(i) WHERE n = 1")
+@query("m13_edge_samples", PART + SIDES + "SELECT mesh_id, lo, hi, i AS step, round(lx + (hx - lx) * i / 3.0, 6) AS x, round(ly + (hy - ly) * i / 3.0, 6) AS y FROM wide, range(4) t(i) WHERE n = 1")
 def m13(spark, d):
     m = mesh(spark, d)
     pos = lambda k, n: m.vertices.select("mesh_id", F.col("v_id").alias(k), *(F.col(c).alias(n + c) for c in "xyz"))
@@ -338,7 +386,7 @@ def f18(spark, d):
     return mesh(spark, d).faces.select("mesh_id", "face_id", r6(c).alias("cdf"), r6(e).alias("dcdf"))
 
 
-@query("f19_cluster_distance", PART + ", c AS (SELECT mesh_id, face_id, (x0 + x1 + x2 + x3) / 4 AS x, (y0 + y1 + y2 + y3) / 4 AS y, (z0 + z1 + z2 + z3) / 4 AS z FROM quads), s AS (SELECT * FROM c WHERE face_id = 0) SELECT c.mesh_id, c.face_id, round(sqrt((c.x - s.x) ** 2 + (c.y - s.y) ** 2 + (c.z - s.z) ** 2), 6) AS distance FROM c JOIN s USING (mesh_id)")
+@query("f19_cluster_distance", PART + ", c AS (SELECT mesh_id, face_id, (x0 + x1 + x2 + x3) / 4 AS x, (y0 + y1 + y2 + y3) / 4 AS y, (z0 + z1 + z2 + z3) / 4 AS z FROM quads), s AS (SELECT *, first_value(x) OVER w AS sx, first_value(y) OVER w AS sy, first_value(z) OVER w AS sz FROM c WINDOW w AS (PARTITION BY mesh_id ORDER BY face_id)) SELECT mesh_id, face_id, round(sqrt((x - sx) ** 2 + (y - sy) ** 2 + (z - sz) ** 2), 6) AS distance FROM s")
 def f19(spark, d):
     c = G.face_facts(mesh(spark, d)).select("mesh_id", "face_id", "c.x", "c.y", "c.z")
     s = c.where("face_id = 0").select("mesh_id", *(F.col(k).alias(f"s{k}") for k in "xyz"))
@@ -400,10 +448,17 @@ def quality_report(spark, d):
     return rows.select(*(r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
 
 
-@query("l3_weld_boundaries", PART + "SELECT mesh_id, CAST(a * b AS BIGINT) AS n_faces FROM dims")
+@query("l3_weld_boundaries", PART + "SELECT mesh_id, v.n AS n_vertices, e.n AS n_edges, e.m AS n_boundary_edges FROM (SELECT mesh_id, count(*) AS n FROM vertices GROUP BY 1) v JOIN (SELECT mesh_id, count(*) AS n, count(*) FILTER (n = 1) AS m FROM edges GROUP BY 1) e USING (mesh_id)")
 def l3(spark, d):
-    out = X.weld_boundaries(mesh(spark, d))
-    return out.faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_faces"))
+    """Meshes cut in two along a row of faces; welding their boundaries closes the cut and nothing else."""
+    m = mesh(spark, d)
+    half = dims(spark, d, "part").selectExpr("mesh_id", "(a div 2) * b AS first")
+    faces = m.faces.join(half, "mesh_id").select("mesh_id", "face_id", F.when(F.col("face_id") >= F.col("first"), F.transform("verts", lambda v: v + 1_000_000)).otherwise(F.col("verts")).alias("verts"))
+    both = m.vertices.unionByName(m.vertices.withColumn("v_id", F.col("v_id") + 1_000_000))
+    used = faces.select("mesh_id", F.explode("verts").alias("v_id")).distinct()
+    out = X.weld_boundaries(M.Mesh(materialise(both.join(used, ["mesh_id", "v_id"], "left_semi")), materialise(faces)))
+    t = M.topology(M.Mesh(out.vertices, materialise(out.faces)))
+    return t.select("mesh_id", "n_vertices", "n_edges", "n_boundary_edges")
 
 
 @query("l4_l5_manifold_part", PART + "SELECT mesh_id, CAST(a * b AS BIGINT) AS n_faces FROM dims WHERE mesh_id % 4 <> 0")
