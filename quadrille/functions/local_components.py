@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.components import connected_components
+from quadrille.functions.shared import materialise
 
 LINKS_PER_BUCKET = 500_000
 
@@ -33,15 +34,18 @@ def label(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _bucket(links: pd.DataFrame) -> pd.DataFrame:
-    pairs = np.concatenate([links[["mesh_id", "a"]].to_numpy(np.int64), links[["mesh_id", "b"]].to_numpy(np.int64)])
-    nodes, place = np.unique(pairs, axis=0, return_inverse=True)
-    place = place.reshape(-1)
+    # Two sorts of single numbers and one of their combination, in place of one of pairs.
+    meshes, of_mesh = np.unique(np.tile(links["mesh_id"].to_numpy(np.int64), 2), return_inverse=True)
+    values, of_value = np.unique(np.concatenate([links["a"].to_numpy(np.int64), links["b"].to_numpy(np.int64)]), return_inverse=True)
+    nodes, place = np.unique(of_mesh * len(values) + of_value, return_inverse=True)
     root = label(place[: len(links)], place[len(links) :], len(nodes))
-    return pd.DataFrame({"mesh_id": nodes[:, 0], "node": nodes[:, 1], "component": nodes[root, 1]})
+    node = values[nodes % max(1, len(values))]
+    return pd.DataFrame({"mesh_id": meshes[nodes // max(1, len(values))], "node": node, "component": node[root]})
 
 
 def components_by_mesh(links: DataFrame, per_bucket: int = LINKS_PER_BUCKET) -> DataFrame:
     """(mesh_id, node, component) of ``links(mesh_id, a, b)``; a component is its smallest node, ids are not null."""
+    links = materialise(links)  # counted first, then dealt
     sizes = links.groupBy("mesh_id").count()
     total, largest = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
     schema = "mesh_id long, node long, component long"

@@ -34,12 +34,16 @@ def vector_area(pts: Column) -> V3:
 
 def face_facts(m: Mesh) -> DataFrame:
     """(mesh_id, face_id, area, c, n): area, centroid and unit normal of every face."""
-    f = face_points(m)
-    mid, va = centroid(F.col("pts")), vector_area(F.col("pts"))
-    # Plain columns in between: fields of a struct would be inlined and computed anew at every use.
-    f = f.select("mesh_id", "face_id", *(getattr(mid, c).alias(f"c{c}") for c in "xyz"), *(getattr(va, c).alias(f"v{c}") for c in "xyz"))
-    v = V3.of("v")
-    return f.select("mesh_id", "face_id", (v.length() * 0.5).alias("area"), V3.of("c").struct().alias("c"), v.unit().struct().alias("n"))
+
+    def make() -> DataFrame:
+        f = face_points(m)
+        mid, va = centroid(F.col("pts")), vector_area(F.col("pts"))
+        # Plain columns in between: fields of a struct would be inlined and computed anew at every use.
+        f = f.select("mesh_id", "face_id", *(getattr(mid, c).alias(f"c{c}") for c in "xyz"), *(getattr(va, c).alias(f"v{c}") for c in "xyz"))
+        v = V3.of("v")
+        return f.select("mesh_id", "face_id", (v.length() * 0.5).alias("area"), V3.of("c").struct().alias("c"), v.unit().struct().alias("n"))
+
+    return m.once("face_facts", make)
 
 
 def vertex_normals(m: Mesh) -> DataFrame:

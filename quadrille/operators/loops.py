@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.local_components import components_by_mesh
 from quadrille.operators.geometry import face_facts
-from quadrille.operators.mesh import Mesh, edges, face_components, paired, singular, vertex_facts
+from quadrille.operators.mesh import Mesh, edges, face_components, paired, prepared, singular, vertex_facts
 
 SPAN = 1 << 31
 
@@ -69,7 +69,8 @@ def edge_loops(m: Mesh, e: DataFrame | None = None) -> DataFrame:
 
 def edge_loop_stats(m: Mesh, loops: DataFrame | None = None) -> DataFrame:
     """(mesh_id, loop_id, n_edges, n_crossed, weight): vertices met more than twice, and the areas beside the edges."""
-    loops = edge_loops(m) if loops is None else loops
+    m = prepared(m)
+    loops = m.once("edge_loops", lambda: edge_loops(m)) if loops is None else loops
     area = face_facts(m).select("mesh_id", "face_id", "area")
     first = area.select("mesh_id", F.col("face_id").alias("f0"), F.col("area").alias("a0"))
     last = area.select("mesh_id", F.col("face_id").alias("f1"), F.col("area").alias("a1"))
@@ -82,6 +83,7 @@ def edge_loop_stats(m: Mesh, loops: DataFrame | None = None) -> DataFrame:
 
 def simple_ratios(m: Mesh) -> DataFrame:
     """(mesh_id, fratio, eratio): weight share of the loops that never cross themselves; 1 without loops."""
+    m = prepared(m)
     share = lambda name: F.coalesce(F.sum(F.when(F.col("n_crossed") == 0, F.col("weight")).otherwise(F.lit(0.0))) / F.when(F.sum("weight") > 0, F.sum("weight")), F.lit(1.0)).alias(name)
     f = face_loop_stats(m).groupBy("mesh_id").agg(share("fratio"))
     e = edge_loop_stats(m).groupBy("mesh_id").agg(share("eratio"))
@@ -90,8 +92,9 @@ def simple_ratios(m: Mesh) -> DataFrame:
 
 def complex_edges(m: Mesh, loops: DataFrame | None = None) -> DataFrame:
     """Edges of the loops that touch a singular vertex."""
+    m = prepared(m)
     e = edges(m)
-    loops = edge_loops(m, e) if loops is None else loops
+    loops = m.once("edge_loops", lambda: edge_loops(m, e)) if loops is None else loops
     sharp = vertex_facts(e).where(singular()).select("mesh_id", "v_id")
     hit = loops.select("mesh_id", "loop_id", F.explode(F.array("lo", "hi")).alias("v_id")).join(sharp, ["mesh_id", "v_id"], "left_semi").select("mesh_id", "loop_id").distinct()
     return loops.join(hit, ["mesh_id", "loop_id"], "left_semi")
@@ -99,6 +102,7 @@ def complex_edges(m: Mesh, loops: DataFrame | None = None) -> DataFrame:
 
 def framed_edges(m: Mesh, sharp: float = 130.0, share: float = 0.5) -> DataFrame:
     """Edges of the base complex, of loops on the border, and of loops that are sharp over a share of their length."""
+    m = prepared(m)
     from quadrille.operators.geometry import dihedral_angles, edge_geometry
 
     e = edges(m)
@@ -113,6 +117,7 @@ def framed_edges(m: Mesh, sharp: float = 130.0, share: float = 0.5) -> DataFrame
 
 def charts(m: Mesh, complex_: DataFrame | None = None) -> DataFrame:
     """(mesh_id, face_id, chart_id): faces hanging together without crossing the base complex."""
+    m = prepared(m)
     walls = (complex_edges(m) if complex_ is None else complex_).select("mesh_id", edge_key(F.col("lo"), F.col("hi")).alias("e"))
     open_ = paired(m).where("pair_face IS NOT NULL").select("mesh_id", "face_id", F.col("pair_face").alias("across"), edge_key(F.col("v0"), F.col("v1")).alias("e")).join(walls, ["mesh_id", "e"], "left_anti")
     return face_components(m, open_).withColumnRenamed("comp_id", "chart_id")
@@ -120,6 +125,7 @@ def charts(m: Mesh, complex_: DataFrame | None = None) -> DataFrame:
 
 def chart_distribution(m: Mesh, labels: DataFrame | None = None) -> DataFrame:
     """(mesh_id, n_charts, max_area_ratio, min_area_ratio, mean_area, min_border): chart sizes and shortest shared border."""
+    m = prepared(m)
     from quadrille.operators.geometry import edge_geometry
 
     labels = charts(m) if labels is None else labels

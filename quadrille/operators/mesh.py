@@ -6,12 +6,14 @@ a shuffle; edges are one aggregation with map-side combine.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.local_components import components_by_mesh
+from quadrille.functions.shared import materialise
 
 
 @dataclass(frozen=True)
@@ -20,6 +22,20 @@ class Mesh:
 
     vertices: DataFrame
     faces: DataFrame
+    known: dict | None = field(default=None, compare=False, repr=False)  # derived tables by name, of a prepared mesh
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table; a prepared mesh writes it at its first use and reads it at all later ones."""
+        if self.known is None:
+            return make()
+        if name not in self.known:
+            self.known[name] = materialise(make())
+        return self.known[name]
+
+
+def prepared(m: Mesh) -> Mesh:
+    """The mesh written down, for operators that use its edges, face facts or loops several times."""
+    return m if m.known is not None else Mesh(materialise(m.vertices), materialise(m.faces), {})
 
 
 def corners(m: Mesh) -> DataFrame:
@@ -45,15 +61,23 @@ def manifold_faces(m: Mesh) -> DataFrame:
 
 def paired(m: Mesh) -> DataFrame:
     """Half-edges with the face and side across, null on the boundary."""
-    h = halfedges(m)
-    back = h.select("mesh_id", F.col("v1").alias("v0"), F.col("v0").alias("v1"), F.col("face_id").alias("pair_face"), F.col("k").alias("pair_k"))
-    return h.join(back, ["mesh_id", "v0", "v1"], "left")
+
+    def make() -> DataFrame:
+        h = halfedges(m)
+        back = h.select("mesh_id", F.col("v1").alias("v0"), F.col("v0").alias("v1"), F.col("face_id").alias("pair_face"), F.col("k").alias("pair_k"))
+        return h.join(back, ["mesh_id", "v0", "v1"], "left")
+
+    return m.once("paired", make)
 
 
 def edges(m: Mesh) -> DataFrame:
     """(mesh_id, lo, hi, n_faces, f0, f1): undirected edges with their first and last face."""
-    h = halfedges(m).select("mesh_id", F.least("v0", "v1").alias("lo"), F.greatest("v0", "v1").alias("hi"), "face_id")
-    return h.groupBy("mesh_id", "lo", "hi").agg(F.count(F.lit(1)).alias("n_faces"), F.min("face_id").alias("f0"), F.max("face_id").alias("f1"))
+
+    def make() -> DataFrame:
+        h = halfedges(m).select("mesh_id", F.least("v0", "v1").alias("lo"), F.greatest("v0", "v1").alias("hi"), "face_id")
+        return h.groupBy("mesh_id", "lo", "hi").agg(F.count(F.lit(1)).alias("n_faces"), F.min("face_id").alias("f0"), F.max("face_id").alias("f1"))
+
+    return m.once("edges", make)
 
 
 def vertex_facts(e: DataFrame) -> DataFrame:
@@ -112,6 +136,7 @@ def topology(m: Mesh) -> DataFrame:
 
 def genus_table(m: Mesh) -> DataFrame:
     """(mesh_id, n_components, n_boundaries, genus) with genus = (2c + e - b - f - v) / 2."""
+    m = prepared(m)
     t = topology(m).select("mesh_id", "n_vertices", "n_edges", "n_faces")
     c = face_components(m).groupBy("mesh_id").agg(F.countDistinct("comp_id").alias("n_components"))
     b = boundary_loops(m).groupBy("mesh_id").agg(F.countDistinct("loop_id").alias("n_boundaries"))

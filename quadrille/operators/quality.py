@@ -14,6 +14,7 @@ from quadrille.operators.mesh import Mesh
 
 def shape_stats(m: Mesh) -> DataFrame:
     """Per mesh: an interior edge between boundary vertices, singular counts, largest degrees, singular corners of a face, largest bend."""
+    m = M.prepared(m)
     e = M.edges(m)
     facts = M.vertex_facts(e).withColumn("singular", M.singular())
     b = lambda k: facts.select("mesh_id", F.col("v_id").alias(k), F.col("boundary").alias(f"b{k}"))
@@ -38,6 +39,7 @@ def short_edges(m: Mesh, tolerance: float) -> DataFrame:
 
 def report(m: Mesh) -> DataFrame:
     """One row of quality figures per mesh: counts, simplicity ratios, charts, mean scaled Jacobian and genus."""
+    m = M.prepared(m)
     top = M.topology(m)
     sj = G.scaled_jacobians(m).groupBy("mesh_id").agg(F.avg("sj").alias("sj"))
     charts = L.charts(m).groupBy("mesh_id").agg(F.countDistinct("chart_id").alias("n_complex"))
@@ -56,6 +58,7 @@ def valid(rows: DataFrame) -> DataFrame:
 
 def dataset_figures(m: Mesh) -> DataFrame:
     """What ``dataset_filter`` reads, one row per mesh: shape, size ratio, simple face loops that hardly turn, charts."""
+    m = M.prepared(m)
     box = G.bounding_boxes(m)
     sides = [F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"]
     size = box.select("mesh_id", (F.least(*sides) / (F.greatest(*sides) + 1e-10)).alias("size_ratio"))

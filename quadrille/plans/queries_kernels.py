@@ -215,11 +215,7 @@ def round_trips(spark, d):
             if out:
                 yield pd.DataFrame(out, columns=["mesh_id", "format", "n_faces"])
 
-    parts = [files(m, x).mapInPandas(reread, "mesh_id long, format string, n_faces long") for x in ("off", "obj", "ply", "vtk", "vtp", "wrl")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return files(m, "off", "obj", "ply", "vtk", "vtp", "wrl").mapInPandas(reread, "mesh_id long, format string, n_faces long")
 
 
 @query("k1_triangle_formats", PART + "SELECT mesh_id, f AS format, 2 * count(*) AS n_triangles FROM grid, unnest(['stl', 'glb']) AS t(f) GROUP BY 1, 2")
@@ -232,5 +228,4 @@ def k1(spark, d):
             if out:
                 yield pd.DataFrame(out, columns=["mesh_id", "format", "n_triangles"])
 
-    a, b = (files(m, x).mapInPandas(reread, "mesh_id long, format string, n_triangles long") for x in ("stl", "glb"))
-    return a.unionByName(b)
+    return files(m, "stl", "glb").mapInPandas(reread, "mesh_id long, format string, n_triangles long")

@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.functions.shared import materialise
 from quadrille.operators.mesh import Mesh
 from quadrille.sources.formats import MeshError, decode, encode
 
+ROWS_PER_BUCKET = 100_000
 ROW = "path string, kind string, item long, x double, y double, z double, verts array<long>, error string"
 
 
@@ -40,21 +42,56 @@ def read(spark: SparkSession, folder: str, glob: str = "*") -> tuple[Mesh, DataF
     return mesh, rows.groupBy("path", "mesh_id").agg(F.max("error").alias("error"))
 
 
-def files(m: Mesh, extension: str) -> DataFrame:
-    """(mesh_id, name, content): one file per mesh, written in its task; vertex ids are made dense."""
+def files(m: Mesh, *extensions: str) -> DataFrame:
+    """(mesh_id, name, content): one file per mesh and extension, written in its task; vertex ids are made dense.
+
+    Meshes are dealt into buckets of bounded size, in one shuffle for all extensions.
+    """
     v = m.vertices.select("mesh_id", F.lit(0).alias("kind"), F.col("v_id").alias("item"), "x", "y", "z", F.lit(None).cast("array<bigint>").alias("verts"))
     f = m.faces.select("mesh_id", F.lit(1).alias("kind"), F.col("face_id").alias("item"), *(F.lit(0.0).alias(c) for c in "xyz"), "verts")
-    return v.unionByName(f).groupBy("mesh_id").applyInPandas(_writer(extension), "mesh_id long, name string, content binary")
+    rows = materialise(v.unionByName(f))
+    buckets = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_PER_BUCKET)
+    return rows.groupBy(F.pmod(F.xxhash64("mesh_id"), F.lit(buckets)).alias("_b")).applyInPandas(_writer(extensions), "mesh_id long, name string, content binary")
+
+
+def write(m: Mesh, folder: str, *extensions: str) -> DataFrame:
+    """Write one file per mesh and extension into a folder that the executors share: (mesh_id, path, bytes) of what was written.
+
+    ``folder`` is a URI that pyarrow's file systems open (file, hdfs, s3, gs). A task that
+    runs again writes the same names with the same content, so lost executors leave nothing half done.
+    """
+    out = files(m, *extensions).mapInPandas(_store(folder.rstrip("/")), "mesh_id long, path string, bytes long")
+    return materialise(out)
+
+
+def _store(folder: str):
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                with store.open_output_stream(f"{root}/{name}") as sink:
+                    sink.write(bytes(content))
+            yield pd.DataFrame({"mesh_id": batch["mesh_id"], "path": [f"{folder}/{n}" for n in batch["name"]], "bytes": [len(c) for c in batch["content"]]})
+
+    return run
 
 
-def _writer(extension: str):
+def _writer(extensions: tuple[str, ...]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kind", "item"])
-        v, f = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
-        place = {int(i): k for k, i in enumerate(v["item"])}
-        faces = [[place[int(i)] for i in x] for x in f["verts"]]
-        mesh_id = int(rows["mesh_id"].iloc[0])
-        name = f"{mesh_id}.{extension}"
-        return pd.DataFrame({"mesh_id": [mesh_id], "name": [name], "content": [encode(name, v[["x", "y", "z"]].to_numpy(), faces)]})
+        rows = rows.sort_values(["mesh_id", "kind", "item"])
+        ids, kind, item = (rows[c].to_numpy() for c in ("mesh_id", "kind", "item"))
+        xyz, verts = rows[["x", "y", "z"]].to_numpy(), rows["verts"].tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            mid = a + int(np.searchsorted(kind[a:b], 1))
+            faces = [np.searchsorted(item[a:mid], x).tolist() for x in verts[mid:b]]
+            for extension in extensions:
+                name = f"{ids[a]}.{extension}"
+                out.append((int(ids[a]), name, encode(name, xyz[a:mid], faces)))
+        return pd.DataFrame(out, columns=["mesh_id", "name", "content"])
 
     return run

@@ -12,6 +12,7 @@ from quadrille.operators import dedup as D
 from quadrille.operators import geometry as G
 from quadrille.operators import loops as L
 from quadrille.operators import mesh as M
+from quadrille.operators import quality as Q
 from quadrille.operators import spatial as X
 from quadrille.operators import subdivision as S
 from quadrille.operators.kernels import blocks, rotation, sampling, trimerge
@@ -263,3 +264,37 @@ def test_dedup_batch_and_stream(spark, sf, tmp_path):
     assert {(r["mesh_id"], r["keep_id"]) for r in spark.table("dedup_out").collect()} == want
     kept = {k for _, k in want}
     assert {(r["mesh_id"], r["keep_id"]) for r in D.dedup(p.where(F.col("mesh_id").isin(list(kept)))).collect()} == {(k, k) for k in kept}
+
+
+# ---- keep rule, nearest triangles, labels ----
+KEPT = {"n_faces": 17, "bridge": False, "max_singular_in_face": 2, "max_bend": 60.0, "max_interior_degree": 8, "max_boundary_degree": 3, "n_interior_singular": 1, "size_ratio": 0.21, "fratio_new": 0.6, "min_area_ratio": 0.001, "min_border": 0.02}
+
+
+def test_dataset_filter_by_clause(spark):
+    worse = {"n_faces": 16, "bridge": True, "max_singular_in_face": 3, "max_bend": 60.1, "max_interior_degree": 9, "max_boundary_degree": 4, "n_interior_singular": 0, "size_ratio": 0.2, "fratio_new": 0.59, "min_area_ratio": 0.0009, "min_border": 0.019}
+    rows = [(0, *KEPT.values())] + [(1 + i, *{**KEPT, k: v}.values()) for i, (k, v) in enumerate(worse.items())]
+    kinds = "mesh_id long, n_faces long, bridge boolean, max_singular_in_face long, max_bend double, max_interior_degree long, max_boundary_degree long, n_interior_singular long, size_ratio double, fratio_new double, min_area_ratio double, min_border double"
+    assert [r["mesh_id"] for r in Q.dataset_filter(spark.createDataFrame(rows, kinds)).collect()] == [0]
+
+
+def test_nearest_triangle(spark):
+    rng = np.random.default_rng(8)
+    tris, points = rng.normal(size=(40, 3, 3)), rng.normal(size=(30, 3))
+    tris[0, 2] = tris[0, 1]  # a flat one
+    rows = [(1, i, *(tuple(float(x) for x in p) for p in t)) for i, t in enumerate(tris)]
+    point = "struct<x:double,y:double,z:double>"
+    t = spark.createDataFrame(rows, f"mesh_id long, item_id long, p0 {point}, p1 {point}, p2 {point}")
+    q = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(points)], "mesh_id long, q_id long, qx double, qy double, qz double")
+    got = {r["q_id"]: r["distance"] for r in X.nearest_triangle(q, t).collect()}
+    u = np.linspace(0, 1, 161)
+    a, b = (x.ravel() for x in np.meshgrid(u, u))
+    w = np.stack([1 - np.maximum(a, b), np.minimum(a, b), np.abs(a - b)], 1)  # barycentric weights all over a triangle
+    for i, p in enumerate(points):
+        best = min(np.sqrt((((w @ x) - p) ** 2).sum(1).min()) for x in tris)
+        assert got[i] <= best + 1e-9 and got[i] >= best - 0.03
+
+
+def test_component_labels(spark):
+    faces = spark.createDataFrame([(1, 7, [0, 1, 2]), (1, 8, [1, 0, 3]), (1, 3, [4, 5, 6]), (2, 0, [0, 1, 2])], "mesh_id long, face_id long, verts array<long>")
+    m = M.Mesh(spark.createDataFrame([], "mesh_id long, v_id long, x double, y double, z double"), faces)
+    assert sorted(map(tuple, M.component_labels(m).collect())) == [(1, 3, 0), (1, 7, 1), (1, 8, 1), (2, 0, 0)]
