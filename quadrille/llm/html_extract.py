@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.shared import materialise
 
-# Element and class names with a meaning here.
+# Choices of this library: element and class names with a meaning here.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SKIPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "math", "object", "canvas", "audio", "video", "head", "fieldset", "label", "input", "option", "datalist"} | RAW
