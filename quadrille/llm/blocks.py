@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import zstandard
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SPACE = 0x20
 
 

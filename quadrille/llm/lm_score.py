@@ -33,9 +33,10 @@ from quadrille.llm.text import filled
 
 #: Texts whose checksum leaves HELD_OUT teach nothing; those that leave DELETED are predicted while the weights are learned.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-BUCKET_WORDS, BUCKET_PAIRS = 500_000, 2_000_000
+#: Words that blocks ask a bucket for, and tokens whose pairs meet in one.
+BUCKET_WORDS, BUCKET_TOKENS = 500_000, 1_500_000
 EM_ROUNDS, EM_GAIN = 40, 1e-6
-BLOCK = "block long, deleted boolean, n_words long, n_pairs long, n_train long, doc_ids binary, no_ids binary, folds binary, lengths binary, tokens binary, words binary"
+BLOCK = "block long, deleted boolean, n_words long, n_tokens long, n_train long, doc_ids binary, no_ids binary, folds binary, lengths binary, tokens binary, words binary"
 ASKED = "bucket long, block long, deleted boolean, keys binary, counts binary"
 FOUND = "block long, bucket long, counts binary, deleted_counts binary, n_known long"
 SCORED = "doc_id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -76,9 +77,8 @@ def _encode(deleted_fold: int, held_out: int, size: int):
         tokens = np.insert(coded.indices.to_numpy().astype(np.uint32), np.cumsum(n), len(known))
         lengths = n + 1
         known.append(END)
-        pairs = len(np.unique(_pair_keys(_hashes(known), tokens)))
         return {
-            "block": TaskContext.get().partitionId() << 32 | number, "deleted": bool(folds[0] == deleted_fold), "n_words": len(known), "n_pairs": pairs, "n_train": int(lengths[folds != held_out].sum()),
+            "block": TaskContext.get().partitionId() << 32 | number, "deleted": bool(folds[0] == deleted_fold), "n_words": len(known), "n_tokens": len(tokens), "n_train": int(lengths[folds != held_out].sum()),
             "doc_ids": ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), "no_ids": pack(ids.is_null().to_numpy(zero_copy_only=False)), "folds": pack(folds), "lengths": pack(lengths), "tokens": pack(tokens), "words": pack_words(known),
         }
 
@@ -96,7 +96,7 @@ def _encode(deleted_fold: int, held_out: int, size: int):
     return run
 
 
-_ENCODED = pa.schema([("block", pa.int64()), ("deleted", pa.bool_()), ("n_words", pa.int64()), ("n_pairs", pa.int64()), ("n_train", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "no_ids", "folds", "lengths", "tokens", "words"))])
+_ENCODED = pa.schema([("block", pa.int64()), ("deleted", pa.bool_()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_train", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "no_ids", "folds", "lengths", "tokens", "words"))])
 
 
 def _training(r, held_out: int) -> np.ndarray:
@@ -238,7 +238,7 @@ def _scores(buckets: tuple[int, int], weights: list, total: int, known: int, hel
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT, deleted: int = DELETED, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT, deleted: int = DELETED, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words in lower case (A-Z only) and one end, so null and empty texts
@@ -250,8 +250,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold_of(F.col(id_col)).alias("fold"), filled(F.col(text_col).cast("string")).alias("text"))
     blocks = materialise(src.mapInArrow(_encode(deleted, held_out, block_bytes), BLOCK))
-    n_words, n_pairs, total, gone = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("n_words"), F.col("n_pairs"), F.col("n_train"), F.when(F.col("deleted"), F.col("n_train")))]).first()
-    buckets = (1 + n_words // bucket_words, 1 + n_pairs // bucket_pairs)
+    n_words, n_tokens, total, gone = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("n_words"), F.col("n_tokens"), F.col("n_train"), F.when(F.col("deleted"), F.col("n_train")))]).first()
+    buckets = (1 + n_words // bucket_words, 1 + n_tokens // bucket_tokens)
     told, found = blocks.select("block", "deleted", "folds", "lengths", "tokens", "words"), None
     for kind in (0, 1):
         asked = told.mapInPandas(_ask(buckets[kind], bool(kind), held_out), ASKED)
