@@ -84,5 +84,5 @@ def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]
     order = np.argsort(bucket, kind="stable")
     of = bucket[order]
     starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
-    stops = np.append(starts[1:], len(of))
+    stops = np.append(starts[1:], len(of))[: len(starts)]
     return order, [(int(of[a]), int(a), int(b)) for a, b in zip(starts, stops, strict=True)]

@@ -46,7 +46,7 @@ def _postings(term: np.ndarray, group: np.ndarray, count: np.ndarray, groups: in
 
 
 def _count(buckets: int, size: int):
-    """Packed counts of a block's terms, a row for each bucket and language; a language without terms has one in bucket 0."""
+    """Packed counts of a block's terms, a row for each bucket and language; one of a language without terms is empty."""
 
     def block(texts: pa.Array, langs: list[str], sources: list[str]) -> list[tuple]:
         words, n = words_of(texts, _LETTERS_ONLY)
@@ -70,7 +70,7 @@ def _count(buckets: int, size: int):
             order, runs = by_bucket(of_bucket[ids])
             for b, start, stop in runs or [(0, 0, 0)]:
                 some = order[start:stop]
-                rows = np.concatenate([np.arange(first[i], first[i] + lengths[i]) for i in some]) if len(some) < 64 else _spans(first[some], lengths[some])
+                rows = _spans(first[some], lengths[some])
                 out.append((b, lang, list(source_names), pack_words([names[i] for i in ids[some]]), pack(docs[ids[some]]), pack(lengths[some]), pack(g[rows]), pack(c[rows])))
         return out
 
@@ -89,9 +89,7 @@ _COUNTED = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("sources",
 
 def _spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All places of runs that begin at ``first``, in order."""
-    total = int(lengths.sum())
-    shift = np.repeat(first - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    return np.arange(total) + shift
+    return np.arange(int(lengths.sum())) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
 
 
 def _merge(min_docs: int):
@@ -202,8 +200,8 @@ def _sums(ranks: int, tile: int, light: int):
         place = {s: i for i, s in enumerate(names)}
         sizes = np.array([g["n"] for g in r.groups], np.int64)
         lengths = unpack(r.lengths).astype(np.int64)
-        if not r.v or not len(lengths):
-            for i, s in enumerate(names) if r.bucket == 0 else ():
+        if not len(lengths):
+            for i, s in enumerate(names) if not r.v else ():
                 yield pd.DataFrame({"lang": r.lang, "source": s, "part": "pair", "item": names[:i] + names[i + 1 :], "value": 0})
             return
         words = unpack_words(r.words)
