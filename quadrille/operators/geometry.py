@@ -92,20 +92,19 @@ def scaled_jacobians(m: Mesh) -> DataFrame:
     return f.select("mesh_id", "face_id", F.array_min(F.transform("pts", corner)).alias("sj"))
 
 
-def split_diagonal(p: list[V3]) -> Column:
-    """True where a quad is cut from corner 0 to 2: the corners off the diagonal hold the larger angle sum."""
-    a = [corner_angle(p[i - 1], p[i], p[(i + 1) % 4]) for i in range(4)]
-    return F.round(a[1] + a[3], 9) >= F.round(a[0] + a[2], 9)
-
-
 def quads_to_triangles(m: Mesh) -> DataFrame:
     """(mesh_id, face_id, verts): two triangles a quad, ids 2f and 2f + 1; other faces keep theirs at 2f."""
-    f = face_points(m)
-    quad = F.size("pts") == 4
-    p = [V3.field(F.get("pts", F.lit(i))) for i in range(4)]
+    f = face_points(m).select("mesh_id", "face_id", "verts", F.size("pts").alias("n"), *(F.get("pts", F.lit(i))[c].alias(f"p{i}{c}") for i in range(4) for c in "xyz"))
+    own, p = ["mesh_id", "face_id", "verts", "n"], [V3.of(f"p{i}") for i in range(4)]
+    f = keep(f, own, **{f"s{i}": p[(i + 1) % 4] - p[i] for i in range(4)})
+    f = keep(f, own, **{f"u{i}": V3.of(f"s{i}").unit() for i in range(4)})
+    bend = lambda i: F.degrees(F.acos(F.least(F.greatest(-V3.of(f"u{(i + 3) % 4}").dot(V3.of(f"u{i}")), F.lit(-1.0)), F.lit(1.0))))
+    f = f.select(*own, *(bend(i).alias(f"a{i}") for i in range(4)))
+    # Cut from corner 0 to 2 where the corners off that diagonal hold the larger angle sum.
+    f = f.select(*own, F.explode(F.array(F.round(F.col("a1") + F.col("a3"), 9) >= F.round(F.col("a0") + F.col("a2"), 9))).alias("by02"))
     v = [F.get("verts", F.lit(i)) for i in range(4)]
-    cut = F.when(split_diagonal(p), F.array(F.array(v[0], v[1], v[2]), F.array(v[0], v[2], v[3]))).otherwise(F.array(F.array(v[0], v[1], v[3]), F.array(v[1], v[2], v[3])))
-    tris = F.when(quad, cut).otherwise(F.array(F.col("verts")))
+    cut = F.when(F.col("by02"), F.array(F.array(v[0], v[1], v[2]), F.array(v[0], v[2], v[3]))).otherwise(F.array(F.array(v[0], v[1], v[3]), F.array(v[1], v[2], v[3])))
+    tris = F.when(F.col("n") == 4, cut).otherwise(F.array(F.col("verts")))
     return f.select("mesh_id", "face_id", F.posexplode(tris).alias("i", "verts")).select("mesh_id", (F.col("face_id") * 2 + F.col("i")).alias("face_id"), "verts")
 
 
@@ -119,11 +118,11 @@ def dihedral_angles(m: Mesh) -> DataFrame:
     p, q, a, b = (V3.field(F.col(x)) for x in ("p", "q", "c", "d"))
     mid = (p + q) * 0.5
     # In steps over plain columns, so that no expression is expanded at every use.
-    h = _keep(h, ["mesh_id", "v0", "v1", "pair_face"], s=(q - p), a=a - mid, b=b - mid)
-    h = _keep(h, ["mesh_id", "v0", "v1", "pair_face", *(f"{w}{c}" for w in "ab" for c in "xyz")], u=V3.of("s").unit())
+    h = keep(h, ["mesh_id", "v0", "v1", "pair_face"], s=(q - p), a=a - mid, b=b - mid)
+    h = keep(h, ["mesh_id", "v0", "v1", "pair_face", *(f"{w}{c}" for w in "ab" for c in "xyz")], u=V3.of("s").unit())
     u = V3.of("u")
     flat = lambda w: w - u * w.dot(u)
-    h = _keep(h, ["mesh_id", "v0", "v1", "pair_face"], f=flat(V3.of("a")), g=flat(V3.of("b")))
+    h = keep(h, ["mesh_id", "v0", "v1", "pair_face"], f=flat(V3.of("a")), g=flat(V3.of("b")))
     f, g = V3.of("f"), V3.of("g")
     scale = F.sqrt(f.squared() * g.squared())
     cosine = F.when(scale > 0, f.dot(g) / scale).otherwise(F.lit(0.0))
@@ -133,7 +132,7 @@ def dihedral_angles(m: Mesh) -> DataFrame:
     return h.select("mesh_id", "v0", "v1", F.explode(F.array(out)).alias("dihedral"))
 
 
-def _keep(df: DataFrame, columns: list[str], **vectors: V3) -> DataFrame:
+def keep(df: DataFrame, columns: list[str], **vectors: V3) -> DataFrame:
     """Some columns and the parts of vectors as plain columns (name + axis)."""
     return df.select(*columns, *(getattr(v, c).alias(n + c) for n, v in vectors.items() for c in "xyz"))
 

@@ -1,11 +1,15 @@
-"""Triangles to quads: greedy growth of quad patches, and minimum-weight matching.
-
-Merge candidates are interior edges of two triangles whose quad is convex,
-flat enough and not too sharp; their score is the sum of corner deviations
-from 90 degrees. Growth starts at the best edge and prefers candidates next
-to quads made already. The matching takes a maximum set of pairs by
-augmenting paths through blossoms, then lowers its weight by exchanges along
-alternating cycles of four.
+"""Triangles to quads: growth of quad patches, its repair, and minimum-weight matching.
+
+Which pairs of triangles make a quad, and how regular a one, is a join over all
+meshes (``quality.mergeable_quads``). A kernel sees the dual graph of one mesh
+alone: its faces and the pairs of faces that share an edge, with their
+regularity where they may merge. Chosen pairs become quads by a join again.
+
+Growth starts at the most regular pair and prefers candidates next to quads made
+already. What it leaves is repaired by shifting: along the shortest chain of
+quads that leads from one left-over triangle to another every quad gives one of
+its triangles to the next, so both ends find a partner. Matching takes the pairs
+of least total irregularity that use every triangle, where there are such.
 """
 
 from __future__ import annotations
@@ -15,71 +19,56 @@ import heapq
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quadrille.operators.kernels.base import edge_faces, per_mesh
-from quadrille.operators.mesh import Mesh
-
-MIN_BEND, MIN_ANGLE, MAX_SUM = 120.0, 10.0, 390.0
-
-
-def _corner(a, b, c) -> float:
-    u, w = a - b, c - b
-    n = np.linalg.norm(u) * np.linalg.norm(w)
-    return float(np.degrees(np.arccos(np.clip(u @ w / n, -1, 1)))) if n > 0 else 0.0
-
-
-def candidates(v: np.ndarray, faces: list[list[int]]) -> list[tuple[float, int, int, list[int]]]:
-    """(score, face, face, quad) of every mergeable pair of triangles."""
-    out, near = [], edge_faces(faces)
-    for (a, b), fs in sorted(near.items()):
-        if len(fs) != 2 or len(faces[fs[0]]) != 3 or len(faces[fs[1]]) != 3:
-            continue
-        f, g = faces[fs[0]], faces[fs[1]]
-        p, q = next(x for x in f if x not in (a, b)), next(x for x in g if x not in (a, b))
-        if (min(p, q), max(p, q)) in near or p == q:
-            continue
-        at = f.index(p)
-        quad = [p, f[(at + 1) % 3], q, f[(at + 2) % 3]]
-        n0 = np.cross(v[f[1]] - v[f[0]], v[f[2]] - v[f[0]])
-        n1 = np.cross(v[g[1]] - v[g[0]], v[g[2]] - v[g[0]])
-        size = np.linalg.norm(n0) * np.linalg.norm(n1)
-        bend = 180 - np.degrees(np.arccos(np.clip(n0 @ n1 / size, -1, 1))) if size > 0 else 0
-        angles = [_corner(v[quad[i - 1]], v[quad[i]], v[quad[(i + 1) % 4]]) for i in range(4)]
-        # Convex: both corners on the merged edge are the sums of their triangles' corners, under 180.
-        wide = [_corner(v[p], v[x], v[y]) + _corner(v[q], v[x], v[y]) for x, y in ((a, b), (b, a))]
-        if bend >= MIN_BEND and max(wide) < 180 and min(angles) >= MIN_ANGLE and sum(angles) <= MAX_SUM:
-            out.append((sum(abs(x - 90) for x in angles), fs[0], fs[1], quad))
-    return out
-
-
-def grow(v: np.ndarray, faces: list[list[int]]) -> dict[int, tuple[int, list[int]]]:
-    """Chosen pairs {face: (other, quad)} by best-first growth; every triangle is used once at most."""
-    found = candidates(v, faces)
-    at: dict[int, list[int]] = {}
-    for i, (_, f, g, _) in enumerate(found):
-        at.setdefault(f, []).append(i)
-        at.setdefault(g, []).append(i)
-    near = [[] for _ in faces]
-    for fs in edge_faces(faces).values():
-        if len(fs) == 2:
-            near[fs[0]].append(fs[1])
-            near[fs[1]].append(fs[0])
-    used: set[int] = set()
-    chosen: dict[int, tuple[int, list[int]]] = {}
-    for _, seed in sorted((s, i) for i, (s, *_) in enumerate(found)):
-        heap = [(found[seed][0], seed)]
+from quadrille.operators import mesh as M
+from quadrille.operators import quality as Q
+from quadrille.operators.kernels.matching import minimum_matching
+from quadrille.operators.mesh import Mesh, prepared
+
+#: Weight of a pair that makes no quad: over that of any that does, as deviations from 90 degrees sum to 360 at most. A fixed value, like the hundredth of a degree that weights are cut to.
+NO_QUAD, STEPS = 100_000, 100
+
+Pairs = dict[tuple[int, int], float]
+
+
+def dual_graph(m: Mesh) -> DataFrame:
+    """(mesh_id, f0, f1, regularity): faces across an edge, null where they make no quad; a face with itself for every face."""
+    pairs = M.edges(m).where("n_faces = 2 AND f0 <> f1").select("mesh_id", "f0", "f1").distinct()
+    # Faces that share several edges may merge over the best.
+    good = Q.mergeable_quads(m).groupBy("mesh_id", "f0", "f1").agg(F.min("regularity").alias("regularity"))
+    own = m.faces.select("mesh_id", F.col("face_id").alias("f0"), F.col("face_id").alias("f1"), F.lit(None).cast("double").alias("regularity"))
+    return pairs.join(good, ["mesh_id", "f0", "f1"], "left").select("mesh_id", "f0", "f1", "regularity").unionByName(own)
+
+
+def grow(n: int, found: Pairs, beside: list[list[int]]) -> list[int]:
+    """Partner of every face (-1: none) by best-first growth; every face is used once at most."""
+    at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for pair in sorted(found):
+        for f in pair:
+            at[f].append(pair)
+    match = [-1] * n
+    for seed in sorted(found, key=lambda p: (found[p], p)):
+        heap = [(found[seed], seed)]
         while heap:
-            _, i = heapq.heappop(heap)
-            _, f, g, quad = found[i]
-            if f in used or g in used:
+            _, (f, g) = heapq.heappop(heap)
+            if match[f] >= 0 or match[g] >= 0:
                 continue
-            used |= {f, g}
-            chosen[f] = (g, quad)
-            for x in {n for t in (f, g) for n in near[t]} - used:
-                for j in at.get(x, ()):
-                    if found[j][1] not in used and found[j][2] not in used:
-                        heapq.heappush(heap, (found[j][0], j))
-    return chosen
+            match[f], match[g] = g, f
+            for x in {y for t in (f, g) for y in beside[t] if match[y] < 0}:
+                for pair in at[x]:
+                    if match[pair[0]] < 0 and match[pair[1]] < 0:
+                        heapq.heappush(heap, (found[pair], pair))
+    return match
+
+
+def shift(n: int, found: Pairs, match: list[int]) -> list[int]:
+    """A matching of most pairs, by shortest chains from left-over faces; regular pairs are tried first."""
+    near: list[list[int]] = [[] for _ in range(n)]
+    for f, g in sorted(found, key=lambda p: (found[p], p)):
+        near[f].append(g)
+        near[g].append(f)
+    return maximum_matching(n, near, {f: g for f, g in enumerate(match) if f < g})
 
 
 def maximum_matching(n: int, near: list[list[int]], start: dict[int, int] | None = None) -> list[int]:
@@ -142,51 +131,59 @@ def maximum_matching(n: int, near: list[list[int]], start: dict[int, int] | None
     return match
 
 
-def match_pairs(v: np.ndarray, faces: list[list[int]]) -> dict[int, tuple[int, list[int]]]:
-    """Chosen pairs by maximum matching from the greedy one, lowered by two-pair exchanges."""
-    found = {(min(f, g), max(f, g)): (s, q) for s, f, g, q in candidates(v, faces)}
-    near: list[list[int]] = [[] for _ in faces]
-    for (f, g), _ in sorted(found.items(), key=lambda x: (x[1][0], x[0])):
-        near[f].append(g)
-        near[g].append(f)
-    greedy: dict[int, int] = {}
-    taken: set[int] = set()
-    for (f, g), _ in sorted(found.items(), key=lambda x: (x[1][0], x[0])):
-        if not {f, g} & taken:
-            greedy[f] = g
-            taken |= {f, g}
-    match = maximum_matching(len(faces), near, greedy)
-    cost = lambda a, b: found[min(a, b), max(a, b)][0] if (min(a, b), max(a, b)) in found else float("inf")
-    better = True
-    while better:
-        better = False
-        for a in range(len(faces)):
-            b = match[a]
-            if b < 0:
-                continue
-            for c in near[a]:
-                d = match[c]
-                if c != b and d >= 0 and cost(a, c) + cost(b, d) < cost(a, b) + cost(c, d) - 1e-9:
-                    match[a], match[c], match[b], match[d] = c, a, d, b
-                    better = True
-                    break
-    return {a: (b, found[a, b][1]) for a, b in enumerate(match) if 0 <= a < b}
+def match_all(n: int, found: Pairs, beside: list[list[int]]) -> list[int] | None:
+    """Partner of every face in a perfect matching of the dual graph of least weight, or None where there is none."""
+    weight = lambda f, g: int(STEPS * found.get((f, g), NO_QUAD))
+    return minimum_matching(n, [(f, g, weight(f, g)) for f in range(n) for g in beside[f] if f < g])
 
 
-def to_quads(m: Mesh, method: str = "grow") -> DataFrame:
-    """(mesh_id, face_id, verts): pairs become quads under their first triangle's id, the rest stays.
+def pair_up(dual: DataFrame, method: str) -> DataFrame:
+    """(mesh_id, f0, f1): the pairs to merge of every mesh; ``grow``, ``shift`` (growth, then shifting) or ``match``.
 
-    ``grow``, ``match``, or ``both``: growth, and the matching where growth leaves triangles.
-    Corners are places in the mesh's vertex order.
+    A mesh is one task's work. ``match`` leaves a mesh without a perfect matching as it is.
     """
 
-    def kernel(mesh_id, v, faces, ids):
-        chosen = grow(v, faces) if method != "match" else match_pairs(v, faces)
-        if method == "both" and 2 * len(chosen) < len(faces):
-            other = match_pairs(v, faces)
-            chosen = other if len(other) > len(chosen) else chosen
-        gone = {g for g, _ in chosen.values()}
-        rows = [(mesh_id, int(ids[i]), chosen[i][1] if i in chosen else f) for i, f in enumerate(faces) if i not in gone]
-        return pd.DataFrame(rows, columns=["mesh_id", "face_id", "verts"])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        faces, at = np.unique(rows[["f0", "f1"]].to_numpy(np.int64), return_inverse=True)
+        at = at.reshape(-1, 2)
+        n, beside, found = len(faces), [[] for _ in faces], {}
+        for (f, g), r in zip(np.sort(at, axis=1).tolist(), rows["regularity"], strict=True):
+            if f != g:
+                beside[f].append(g)
+                beside[g].append(f)
+                if r == r:  # not missing
+                    found[f, g] = float(r)
+        if method == "match":
+            match = match_all(n, found, beside) or [-1] * n
+        else:
+            match = grow(n, found, beside)
+            match = shift(n, found, match) if method == "shift" else match
+        chosen = [(f, g) for f, g in enumerate(match) if f < g and (f, g) in found]
+        return pd.DataFrame({"mesh_id": rows["mesh_id"].iloc[0], "f0": [int(faces[f]) for f, _ in chosen], "f1": [int(faces[g]) for _, g in chosen]})
+
+    return dual.groupBy("mesh_id").applyInPandas(run, "mesh_id long, f0 long, f1 long")
 
-    return per_mesh(m, kernel, "mesh_id long, face_id long, verts array<long>")
+
+def to_quads(m: Mesh, method: str = "grow") -> DataFrame:
+    """(mesh_id, face_id, verts): pairs become quads under their first triangle's id, the rest stays.
+
+    ``grow``, ``shift`` or ``match`` as in ``pair_up``; ``shift`` then merges the two quads around
+    a vertex of degree 2. ``both``: growth, and the matching where that makes more quads.
+    """
+    m = prepared(m)
+    dual = m.once("dual_graph", lambda: dual_graph(m))
+    edges = m.once("mergeable", lambda: Q.mergeable_edges(m))
+
+    def merged(method: str) -> DataFrame:
+        pairs = pair_up(dual, method).join(edges, ["mesh_id", "f0", "f1"])
+        one = pairs.groupBy("mesh_id", "f0", "f1").agg(F.min(F.struct("lo", "hi", "far0", "far1")).alias("e")).select("mesh_id", "f0", "f1", "e.*")
+        return Q.merge_pairs(m, one).faces
+
+    if method == "shift":
+        return Q.drop_valence_two(prepared(Mesh(m.vertices, merged("shift")))).faces
+    if method != "both":
+        return merged(method)
+    grown, matched = m.once("grown", lambda: merged("grow")), m.once("matched", lambda: merged("match"))
+    size = lambda faces, name: faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias(name))
+    better = size(grown, "g").join(size(matched, "m"), "mesh_id").where("m < g").select("mesh_id")
+    return grown.join(better, "mesh_id", "left_anti").unionByName(matched.join(better, "mesh_id", "left_semi"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.functions.vec import V3, angle
 from quadrille.operators import geometry as G
 from quadrille.operators import loops as L
 from quadrille.operators import mesh as M
@@ -90,6 +91,50 @@ def mergeable_edges(m: Mesh, free_only: bool = True) -> DataFrame:
     return two.alias("t").join(joined.alias("j"), F.expr("t.mesh_id = j.mesh_id AND j.lo = least(far0, far1) AND j.hi = greatest(far0, far1)"), "left_anti")
 
 
+def mergeable_quads(m: Mesh, bend: float = 120.0, narrow: float = 10.0, turn: float = 390.0) -> DataFrame:
+    """Mergeable edges whose two triangles make a good quad: the columns of ``mergeable_edges``, verts and regularity.
+
+    Both triangles bend by no less than ``bend`` degrees and face the way the quad
+    does; seen along the quad's normal it is convex, no side turns into the next by
+    less than ``narrow`` from straight or from back, and its corners sum to at most
+    ``turn``. Regularity is the sum of the corners' deviations from 90 degrees. The
+    limits' defaults are fixed values.
+    """
+    m = M.prepared(m)
+    first = m.faces.select("mesh_id", F.col("face_id").alias("f0"), F.col("verts").alias("t"))
+    e = mergeable_edges(m).join(first, ["mesh_id", "f0"]).withColumn("at", F.expr("array_position(t, far0) - 1").cast("int"))
+    nxt = lambda i: F.get("t", (F.col("at") + i) % 3)
+    own = ["mesh_id", "lo", "hi", "f0", "f1", "far0", "far1"]
+    e = e.select(*own, F.array("far0", nxt(1), "far1", nxt(2)).alias("verts"))
+    for i in range(4):
+        e = e.withColumn(f"v{i}", F.get("verts", F.lit(i))).join(m.vertices.select("mesh_id", F.col("v_id").alias(f"v{i}"), *(F.col(c).alias(f"p{i}{c}") for c in "xyz")), ["mesh_id", f"v{i}"]).drop(f"v{i}")
+    own = [*own, "verts"]
+    p = [V3.of(f"p{i}") for i in range(4)]
+    points = {f"p{i}": v for i, v in enumerate(p)}
+    normal = p[0].cross(p[1]) + p[1].cross(p[2]) + p[2].cross(p[3]) + p[3].cross(p[0])
+    e = G.keep(e, own, **points, n=normal, a=(p[1] - p[0]).cross(p[3] - p[0]), b=(p[3] - p[2]).cross(p[1] - p[2]), c=(p[0] + p[1] + p[2] + p[3]) * 0.25)
+    n, a, b = (V3.of(x) for x in "nab")
+    e = e.withColumns({"flat": F.lit(180.0) - angle(a, b), "against": n.dot(a) * n.dot(b) < 0})
+    bent = [*own, "flat", "against"]
+    e = G.keep(e, bent, **points, u=V3.of("n").unit(), c=V3.of("c"))
+    u, c = V3.of("u"), V3.of("c")
+    e = G.keep(e, bent, u=u, **{f"q{i}": v - u * (v - c).dot(u) for i, v in enumerate(p)})
+    q = [V3.of(f"q{i}") for i in range(4)]
+    e = G.keep(e, bent, u=u, **{f"d{i}": q[i] - q[(i + 1) % 4] for i in range(4)})
+    d = [V3.of(f"d{i}") for i in range(4)]
+    e = e.select(*bent, *((u.dot(d[i].cross(d[(i + 1) % 4])) > 0).alias(f"s{i}") for i in range(4)), *(angle(d[i], d[(i + 1) % 4]).alias(f"t{i}") for i in range(4)))
+    turns, corner = [F.col(f"t{i}") for i in range(4)], [F.lit(180.0) - F.col(f"t{i}") for i in range(4)]
+    good = F.col("s0").eqNullSafe(F.col("s1")) & F.col("s1").eqNullSafe(F.col("s2")) & F.col("s2").eqNullSafe(F.col("s3"))
+    for t, x in zip(turns, corner, strict=True):
+        good = good & (F.least(t, F.lit(180.0) - t) >= narrow) & (x >= narrow)
+    total = corner[0] + corner[1] + corner[2] + corner[3]
+    off = [F.abs(x - 90.0) for x in corner]
+    good = good & (total <= turn) & ~F.col("against") & (F.col("flat") >= bend)
+    # Exploding one value keeps the filter from being pushed down and expanded.
+    told = F.when(good, off[0] + off[1] + off[2] + off[3])
+    return e.select(*own, F.explode(F.array(told)).alias("regularity")).where("regularity IS NOT NULL")
+
+
 def merge_pairs(m: Mesh, pairs: DataFrame) -> Mesh:
     """Faces of chosen pairs (mesh_id, f0, f1, lo, hi, far0, far1) become quads under the first id; the rest stay."""
     first = m.faces.select("mesh_id", F.col("face_id").alias("f0"), "verts")

@@ -94,16 +94,27 @@ def n1(spark, d):
     return q.groupBy("mesh_id").agg(F.count_if(F.size("verts") == 4).alias("quads"), F.count_if(F.size("verts") == 3).alias("triangles"))
 
 
+@query("n2_shifted_quads")
+def n2(spark, d):
+    """Growth alone, and with its repair: what is left over, and vertices of degree 2 inside."""
+    t = M.prepared(triangles(spark, d))
+    left = lambda q, name: q.groupBy("mesh_id").agg(F.count_if(F.size("verts") == 3).alias(name))
+    shifted = M.Mesh(t.vertices, materialise(trimerge.to_quads(t, "shift")))
+    two = M.vertex_facts(M.edges(shifted)).groupBy("mesh_id").agg(F.count_if((F.col("degree") == 2) & ~F.col("boundary")).alias("degree_two"))
+    return left(trimerge.to_quads(t, "grow"), "grown").join(left(shifted.faces, "shifted"), "mesh_id").join(two, "mesh_id")
+
+
 @query("n4_match_quads")
 def n4(spark, d):
-    q = trimerge.to_quads(triangles(spark, d, "nation"), "match")
+    """Perfect matchings of least weight; a mesh that has none keeps its triangles."""
+    q = trimerge.to_quads(triangles(spark, d), "match")
     return q.groupBy("mesh_id").agg(F.count_if(F.size("verts") == 4).alias("quads"), F.count_if(F.size("verts") == 3).alias("triangles"))
 
 
 @query("n6_loop_quad_pipeline")
 def n6(spark, d):
     """Triangles to quads, kept where every face became one, then deduplicated by fingerprint."""
-    t = M.compacted(triangles(spark, d, "nation"))
+    t = M.compacted(triangles(spark, d))
     q = trimerge.to_quads(t, "both")
     pure = q.groupBy("mesh_id").agg(F.every(F.size("verts") == 4).alias("pure")).where("pure").select("mesh_id")
     m = M.Mesh(t.vertices.join(pure, "mesh_id", "left_semi"), q.join(pure, "mesh_id", "left_semi"))

@@ -88,11 +88,53 @@ def p9_figures(spark, d):
 
 @query("p10_mergeable_edges", PART + TRIANGLES + """, ts AS (SELECT mesh_id, face_id, least(v0, v1) AS lo, greatest(v0, v1) AS hi, v2 AS far FROM tris UNION ALL SELECT mesh_id, face_id, least(v1, v2), greatest(v1, v2), v0 FROM tris UNION ALL SELECT mesh_id, face_id, least(v2, v0), greatest(v2, v0), v1 FROM tris),
 te AS MATERIALIZED (SELECT mesh_id, lo, hi, count(*) AS n, min(face_id) AS f0, max(face_id) AS f1, arg_min(far, face_id) AS far0, arg_max(far, face_id) AS far1 FROM ts GROUP BY 1, 2, 3),
-known AS (SELECT mesh_id, lo * 2147483648 + hi AS e FROM te)
-SELECT mesh_id, lo, hi, f0, f1, far0, far1 FROM te WHERE n = 2 AND (mesh_id, least(far0, far1) * 2147483648 + greatest(far0, far1)) NOT IN (SELECT (mesh_id, e) FROM known)""")
+tw AS (SELECT *, least(far0, far1) AS a, greatest(far0, far1) AS b FROM te WHERE n = 2),
+free AS MATERIALIZED (SELECT t.* FROM tw t ANTI JOIN te k ON k.mesh_id = t.mesh_id AND k.lo = a AND k.hi = b)
+SELECT mesh_id, lo, hi, f0, f1, far0, far1 FROM free""")
 def p10(spark, d):
     m = mesh(spark, d)
-    return Q.mergeable_edges(M.Mesh(m.vertices, G.quads_to_triangles(m)))
+    return Q.mergeable_edges(M.prepared(M.Mesh(m.vertices, G.quads_to_triangles(m))))
+
+
+def _dot(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a}{c} * {b}{c}" for c in "xyz") + ")"
+
+
+def _cross(a: str, b: str, into: str) -> str:
+    return ", ".join(f"{a}{x} * {b}{y} - {a}{y} * {b}{x} AS {into}{z}" for z, x, y in ("xyz", "yzx", "zxy"))
+
+
+def _degrees(a: str, b: str) -> str:
+    return f"degrees(acos(least(1.0, greatest(-1.0, {_dot(a, b)} / sqrt({_dot(a, a)} * {_dot(b, b)})))))"
+
+
+def _minus(a: str, b: str, into: str) -> str:
+    return ", ".join(f"{a}{c} - {b}{c} AS {into}{c}" for c in "xyz")
+
+
+#: Follows the SQL of p10 up to its last SELECT: the corners of the quad of every free edge, then what makes it a good one, step by step.
+_GOOD_QUADS = f""", tv AS (SELECT mesh_id, face_id, v0, v1, v2 FROM tris),
+g0 AS (SELECT f.mesh_id, lo, hi, f0, f1, far0, far1, CASE far0 WHEN v0 THEN v1 WHEN v1 THEN v2 ELSE v0 END AS w1, CASE far0 WHEN v0 THEN v2 WHEN v1 THEN v0 ELSE v1 END AS w3 FROM free f JOIN tv ON tv.mesh_id = f.mesh_id AND tv.face_id = f0),
+g1 AS (SELECT g.*, {", ".join(f"{t}.{c} AS {t}{c}" for t in ("p", "q", "r", "s") for c in "xyz")} FROM g0 g JOIN vertices p ON p.mesh_id = g.mesh_id AND p.v_id = far0 JOIN vertices q ON q.mesh_id = g.mesh_id AND q.v_id = w1
+  JOIN vertices r ON r.mesh_id = g.mesh_id AND r.v_id = far1 JOIN vertices s ON s.mesh_id = g.mesh_id AND s.v_id = w3),
+g2 AS (SELECT *, {_minus("q", "p", "i")}, {_minus("s", "p", "j")}, {_minus("s", "r", "k")}, {_minus("q", "r", "l")}, {_minus("r", "p", "m")}, {_minus("s", "q", "o")}, {", ".join(f"(p{c} + q{c} + r{c} + s{c}) / 4 AS c{c}" for c in "xyz")} FROM g1),
+g3 AS (SELECT *, {_cross("i", "j", "a")}, {_cross("k", "l", "e")}, {_cross("m", "o", "n")} FROM g2),
+g4 AS (SELECT *, sqrt({_dot("n", "n")}) AS len FROM g3 WHERE {_dot("n", "a")} * {_dot("n", "e")} >= 0 AND 180 - {_degrees("a", "e")} >= 120),
+g5 AS (SELECT *, {", ".join(f"n{c} / len AS u{c}" for c in "xyz")} FROM g4),
+g6 AS (SELECT *, {", ".join(f"{_dot('u', t)} - {_dot('u', 'c')} AS h{t}" for t in "pqrs")} FROM g5),
+g7 AS (SELECT *, {", ".join(f"{t}{c} - h{t} * u{c} AS f{t}{c}" for t in "pqrs" for c in "xyz")} FROM g6),
+g8 AS (SELECT *, {", ".join(_minus(f"f{a}", f"f{b}", f"d{a}") for a, b in ("pq", "qr", "rs", "sp"))} FROM g7),
+g9 AS (SELECT *, {", ".join(_cross(f"d{a}", f"d{b}", f"x{a}") for a, b in ("pq", "qr", "rs", "sp"))}, {", ".join(f"{_degrees(f'd{a}', f'd{b}')} AS t{a}" for a, b in ("pq", "qr", "rs", "sp"))} FROM g8),
+good AS (SELECT *, {" + ".join(f"abs(90 - t{a})" for a in "pqrs")} AS regularity FROM g9
+  WHERE abs({" + ".join(f"CASE WHEN {_dot('u', f'x{a}')} > 0 THEN 1 ELSE -1 END" for a in "pqrs")}) = 4 AND {" AND ".join(f"t{a} BETWEEN 10 AND 170" for a in "pqrs")} AND 720 - tp - tq - tr - ts <= 390)
+SELECT mesh_id, lo, hi, f0, f1, round(regularity, 4) AS regularity FROM good"""
+
+
+@query("p11_mergeable_quads", ORACLE_SQL["p10_mergeable_edges"].rsplit("\nSELECT", 1)[0] + _GOOD_QUADS)
+def p11(spark, d):
+    """Pairs of triangles that make a good quad, and how far its corners are from square."""
+    m = mesh(spark, d)
+    return Q.mergeable_quads(M.Mesh(m.vertices, G.quads_to_triangles(m))).select("mesh_id", "lo", "hi", "f0", "f1", F.round("regularity", 4).alias("regularity"))
 
 
 @query("p12_checkerable", NATION + _FACE_LOOPS + ", c AS (SELECT mesh_id, loop_id, count(*) AS n FROM fl SEMI JOIN kept USING (mesh_id, loop_id) GROUP BY 1, 2) SELECT mesh_id, bool_and(n % 2 = 0) AS faces_even FROM c GROUP BY 1")

@@ -15,7 +15,8 @@ from quadrille.operators import mesh as M
 from quadrille.operators import quality as Q
 from quadrille.operators import spatial as X
 from quadrille.operators import subdivision as S
-from quadrille.operators.kernels import blocks, rotation, sampling, trimerge
+from quadrille.functions.shared import materialise
+from quadrille.operators.kernels import blocks, matching, rotation, sampling, trimerge
 from quadrille.plans.derived import dims, mesh
 
 VERTS = "mesh_id long, v_id long, x double, y double, z double"
@@ -233,15 +234,54 @@ def test_matching_is_maximum():
         assert sum(m >= 0 for m in match) // 2 == best(frozenset(range(n)))
 
 
+def test_minimum_matching():
+    """Least weight of a perfect matching, against trying all of them."""
+    import functools
+    import random
+
+    rng = random.Random(5)
+    for _ in range(1500):
+        n, share, top = rng.choice([2, 4, 6, 8, 10, 12]), rng.choice([0.25, 0.4, 0.7, 1]), rng.choice([1, 3, 10, 36_000, 10_000_000])
+        w = {(i, j): rng.randint(0, top) for i in range(n) for j in range(i + 1, n) if rng.random() < share}
+
+        @functools.cache
+        def least(taken):
+            if taken == (1 << n) - 1:  # noqa: B023
+                return 0
+            i = next(k for k in range(n) if not taken >> k & 1)  # noqa: B023
+            return min((w[i, j] + least(taken | 1 << i | 1 << j) for j in range(i + 1, n) if not taken >> j & 1 and (i, j) in w), default=float("inf"))  # noqa: B023
+
+        match = matching.minimum_matching(n, [(i, j, x) for (i, j), x in w.items()])
+        assert (match is None) == (least(0) == float("inf"))
+        if match:
+            assert all(match[match[i]] == i != match[i] for i in range(n))
+            assert sum(w[i, j] for i, j in enumerate(match) if i < j) == least(0)
+    assert matching.minimum_matching(3, [(0, 1, 1), (1, 2, 1)]) is None and matching.minimum_matching(0, []) == []
+
+
 def test_triangles_to_quads(spark):
-    m = build(spark, {1: cube(2)})
+    m = build(spark, {1: cube(2), 2: ([(0, 0, 0), (1, 0, 0), (0, 1, 0)], [(0, 1, 2)])})
     t = M.Mesh(m.vertices, G.quads_to_triangles(m))
-    q = trimerge.to_quads(t, "match").collect()
-    assert len(q) == 24 and all(len(r["verts"]) == 4 for r in q)
-    corners = sorted(tuple(sorted(r["verts"])) for r in trimerge.to_quads(t, "grow").collect())
+    for method in ("match", "shift"):
+        q = trimerge.to_quads(t, method).collect()
+        assert sorted((r["mesh_id"], len(r["verts"])) for r in q) == [(1, 4)] * 24 + [(2, 3)], method
+    corners = sorted(tuple(sorted(r["verts"])) for r in trimerge.to_quads(t, "grow").where("mesh_id = 1").collect())
     assert len({c for f in corners for c in f}) == 26
 
 
+def test_least_weight_and_fewest_left_over(spark, sf):
+    """Matched pairs weigh no more than those of growth, and shifting leaves no more triangles than it, none where a perfect matching of quads exists."""
+    m = mesh(spark, sf, "part")
+    dual = materialise(trimerge.dual_graph(M.prepared(M.Mesh(m.vertices, G.quads_to_triangles(m)))))
+    faces = {r["mesh_id"]: r["n"] for r in dual.where("f0 = f1").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    scored = lambda method: {r["mesh_id"]: (r["n"], r["w"]) for r in trimerge.pair_up(dual, method).join(dual, ["mesh_id", "f0", "f1"]).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.sum("regularity").alias("w")).collect()}
+    grown, shifted, matched = scored("grow"), scored("shift"), scored("match")
+    assert set(grown) == set(shifted) >= set(matched)
+    assert all(shifted[k][0] >= grown[k][0] for k in grown) and any(shifted[k][0] > grown[k][0] for k in grown)
+    full = [k for k in matched if 2 * matched[k][0] == faces[k]]
+    assert full and all(shifted[k][0] == matched[k][0] and matched[k][1] <= shifted[k][1] + 0.01 * faces[k] for k in full)
+
+
 def test_blocks(spark):
     q = blocks.exposed_quads(blocks.cells(spark, 8, size=8, blocks=12, seed=3), 8)
     m = M.Mesh(spark.createDataFrame([], VERTS), q.select("mesh_id", (F.col("cell") * 6 + F.col("side")).alias("face_id"), "verts"))
