@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.shared import materialise
-from quadrille.functions.skew import HOT_ROWS
+from quadrille.functions.skew import HOT_KEYS, HOT_ROWS
 from quadrille.llm.text import WHITESPACE
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
@@ -70,8 +70,10 @@ def _seen_earlier(rows: DataFrame) -> DataFrame:
     key = F.sha2(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
     keyed = rows.withColumn("k", key).withColumn("at", F.struct(F.col("turn").isNotNull().alias("told"), "turn"))
     facts = materialise(keyed.where("copies > 0").groupBy("k").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    hot = F.broadcast(facts.where(F.col("n") > HOT_ROWS).select("k", F.col("first").alias("hot")))
-    rare = facts.where(F.col("n") <= HOT_ROWS).select(F.col("k").alias("k2"), F.col("first").alias("rare"))
+    # At most HOT_KEYS keys are that frequent, at every size.
+    often = max(HOT_ROWS, facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_KEYS)
+    hot = F.broadcast(facts.where(F.col("n") > often).select("k", F.col("first").alias("hot")))
+    rare = facts.where(F.col("n") <= often).select(F.col("k").alias("k2"), F.col("first").alias("rare"))
     # Rows of hot keys stay apart in the second join: their key there has the turn behind it.
     met = keyed.join(hot, "k", "left").withColumn("k2", F.when(F.col("hot").isNull(), F.col("k")).otherwise(F.concat("k", F.lit("#"), F.coalesce(F.col("turn").cast("string"), F.lit("")))))
     first = F.coalesce("hot", "rare")
