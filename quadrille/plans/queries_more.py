@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.shared import materialise, table
-from quadrille.functions.vec import V3, point_segment, point_triangle
+from quadrille.functions.vec import V3, point_triangle
 from quadrille.operators import geometry as G
 from quadrille.operators import loops as L
 from quadrille.operators import mesh as M
+from quadrille.operators import nearest
 from quadrille.operators import quality as Q
 from quadrille.operators import spatial as X
 from quadrille.operators import subdivision as S
@@ -191,7 +192,7 @@ def j9(spark, d):
     e = table(spark, d, "embeddings")
     xyz = lambda o: [F.get("embedding", F.lit(i + o)).cast("double").alias(c) for i, c in enumerate("xyz")]
     zero = F.lit(0).cast("long").alias("mesh_id")
-    out = X.nearest_point(e.select(zero, F.col("vec_id").alias("q_id"), *xyz(3)), e.select(zero, F.col("vec_id").alias("v_id"), *xyz(0)), 0.05)
+    out = nearest.nearest_point(e.select(zero, F.col("vec_id").alias("q_id"), *(c.alias(f"q{n}") for c, n in zip(xyz(3), "xyz"))), e.select(zero, F.col("vec_id").alias("v_id"), *xyz(0)))
     return out.select("q_id", "v_id", F.round("distance", 9).alias("distance"))
 
 
@@ -220,11 +221,11 @@ def j7(spark, d):
     m = mesh(spark, d)
     t = G.face_points(M.Mesh(m.vertices, G.quads_to_triangles(m))).select("mesh_id", F.col("face_id").alias("item_id"), *(F.get("pts", F.lit(i)).alias(f"p{i}") for i in range(3)))
     q = G.face_facts(m).select("mesh_id", F.col("face_id").alias("q_id"), *(F.col(f"c.{c}").alias(f"q{c}") for c in "xyz"))
-    near = X.nearest_triangle(q, t)
+    near = nearest.nearest_triangle(q, t)
     return near.select("mesh_id", "q_id", (F.round("distance", 4) + F.lit(0.0)).alias("distance"))
 
 
-@query("j8_nearest_segment", PART + """, c AS (SELECT mesh_id, face_id AS q_id, (x0 + x1 + x2 + x3) / 4 + 0.123 AS qx, (y0 + y1 + y2 + y3) / 4 AS qy, (z0 + z1 + z2 + z3) / 4 AS qz FROM quads WHERE face_id % 4 = 0),
+@query("j8_nearest_segment", PART + """, c AS (SELECT mesh_id, face_id AS q_id, (x0 + x1 + x2 + x3) / 4 + 0.123 AS qx, (y0 + y1 + y2 + y3) / 4 AS qy, (z0 + z1 + z2 + z3) / 4 AS qz FROM quads),
 s AS (SELECT e.mesh_id, lo * 2147483648 + hi AS item_id, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM edges e JOIN vertices a ON a.mesh_id = e.mesh_id AND a.v_id = lo JOIN vertices b ON b.mesh_id = e.mesh_id AND b.v_id = hi WHERE n = 1),
 t AS (SELECT *, least(1.0, greatest(0.0, ((qx - ax) * dx + (qy - ay) * dy + (qz - az) * dz) / (dx * dx + dy * dy + dz * dz))) AS t FROM c JOIN s USING (mesh_id)),
 d AS (SELECT mesh_id, q_id, item_id, round(sqrt((qx - ax - t * dx) ** 2 + (qy - ay - t * dy) ** 2 + (qz - az - t * dz) ** 2), 6) AS d FROM t)
@@ -233,8 +234,8 @@ def j8(spark, d):
     m = mesh(spark, d)
     pos = lambda k, n: m.vertices.select("mesh_id", F.col("v_id").alias(k), *(F.col(c).alias(n + c) for c in "xyz"))
     s = M.edges(m).where("n_faces = 1").join(pos("lo", "a"), ["mesh_id", "lo"]).join(pos("hi", "b"), ["mesh_id", "hi"]).withColumn("item_id", L.edge_key(F.col("lo"), F.col("hi")))
-    q = G.face_facts(m).where("face_id % 4 = 0").select("mesh_id", F.col("face_id").alias("q_id"), (F.col("c.x") + 0.123).alias("qx"), F.col("c.y").alias("qy"), F.col("c.z").alias("qz"))
-    near = X.nearest_of(q.join(s, "mesh_id"), F.round(point_segment(V3.of("q"), V3.of("a"), V3.of("b")), 6))
+    q = G.face_facts(m).select("mesh_id", F.col("face_id").alias("q_id"), (F.col("c.x") + 0.123).alias("qx"), F.col("c.y").alias("qy"), F.col("c.z").alias("qz"))
+    near = nearest.nearest_segment(q, s, 6)
     return near.select("mesh_id", "q_id", "distance")
 
 

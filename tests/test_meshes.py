@@ -12,6 +12,7 @@ from quadrille.operators import dedup as D
 from quadrille.operators import geometry as G
 from quadrille.operators import loops as L
 from quadrille.operators import mesh as M
+from quadrille.operators import nearest
 from quadrille.operators import quality as Q
 from quadrille.operators import spatial as X
 from quadrille.operators import subdivision as S
@@ -325,7 +326,7 @@ def test_nearest_triangle(spark):
     point = "struct<x:double,y:double,z:double>"
     t = spark.createDataFrame(rows, f"mesh_id long, item_id long, p0 {point}, p1 {point}, p2 {point}")
     q = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(points)], "mesh_id long, q_id long, qx double, qy double, qz double")
-    got = {r["q_id"]: r["distance"] for r in X.nearest_triangle(q, t).collect()}
+    got = {r["q_id"]: r["distance"] for r in nearest.nearest_triangle(q, t).collect()}
     u = np.linspace(0, 1, 161)
     a, b = (x.ravel() for x in np.meshgrid(u, u))
     w = np.stack([1 - np.maximum(a, b), np.minimum(a, b), np.abs(a - b)], 1)  # barycentric weights all over a triangle
