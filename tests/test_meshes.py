@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.components import connected_components
 from quadrille.functions.local_components import components_by_mesh
+from quadrille.operators import arcs
 from quadrille.operators import dedup as D
 from quadrille.operators import geometry as G
 from quadrille.operators import loops as L
@@ -339,3 +340,58 @@ def test_component_labels(spark):
     faces = spark.createDataFrame([(1, 7, [0, 1, 2]), (1, 8, [1, 0, 3]), (1, 3, [4, 5, 6]), (2, 0, [0, 1, 2])], "mesh_id long, face_id long, verts array<long>")
     m = M.Mesh(spark.createDataFrame([], "mesh_id long, v_id long, x double, y double, z double"), faces)
     assert sorted(map(tuple, M.component_labels(m).collect())) == [(1, 3, 0), (1, 7, 1), (1, 8, 1), (2, 0, 0)]
+
+
+# ---- cut complexes, arcs with direction ----
+
+
+def ring(n, rows, closed=False, twist=False):
+    """A band of quads n around and ``rows`` across; ``closed`` a torus, ``twist`` a band of one row joined half turned."""
+    import math
+
+    tube = lambda j: (3 + math.cos(6.28318 * j / rows), math.sin(6.28318 * j / rows)) if closed else (3 + j / 10, j * 1.1)
+    pos = [(math.cos(6.28318 * i / n) * tube(j)[0], math.sin(6.28318 * i / n) * tube(j)[0], tube(j)[1]) for i in range(n) for j in range(rows if closed else rows + 1)]
+    across = rows if closed else rows + 1
+    at = lambda i, j: (i % n) * across + ((1 - j if twist and i == n else j) % across)
+    return pos, [(at(i, j), at(i + 1, j), at(i + 1, j + 1), at(i, j + 1)) for i in range(n) for j in range(rows)]
+
+
+def test_cut_complex_has_four_sided_charts(spark):
+    m = M.prepared(build(spark, {1: ring(12, 3), 2: ring(13, 11, closed=True), 3: cube(3)}))
+    cut = materialise(arcs.cut_complex(m))
+    charts = materialise(L.charts(m, cut))
+    corners = materialise(arcs.chart_corners(m, cut, charts))
+    per = {(r["mesh_id"], r["chart_id"]): r["count"] for r in corners.groupBy("mesh_id", "chart_id").count().collect()}
+    assert set(per.values()) == {4}
+    assert [sum(k[0] == i for k in per) for i in (1, 2, 3)] == [2, 4, 6]
+    groups = arcs.arc_groups(corners)
+    assert {r["mesh_id"]: (r["a"], r["g"]) for r in groups.groupBy("mesh_id").agg(F.countDistinct("arc_id").alias("a"), F.countDistinct("group_id").alias("g")).collect()} == {1: (6, 3), 2: (8, 4), 3: (12, 3)}
+    # The second cut of a ring lies opposite to the first.
+    axial = cut.where("mesh_id = 1 AND abs(hi - lo) = 1").select(F.expr("lo div 4").alias("i")).distinct().collect()
+    assert abs(axial[0]["i"] - axial[1]["i"]) == 6
+
+
+def test_signed_components_by_hand(spark):
+    import random
+
+    rng, links, want = random.Random(3), [], {}
+    for mesh_id in range(6):
+        way = {n: rng.choice([-1, 1]) for n in range(40)}
+        mine = [(mesh_id, a, b, way[a] * way[b]) for a in range(40) for b in range(40) if a % 5 == b % 5 and rng.random() < 0.3]
+        links += mine
+        for n in {x for _, a, b, _ in mine for x in (a, b)}:
+            group = n % 5
+            want[mesh_id, n] = (group, way[n] * way[group])
+    got = arcs.signed_components(spark.createDataFrame(links, "mesh_id long, a long, b long, sign int"))
+    found = {(r["mesh_id"], r["node"]): (r["group_id"], r["sign"]) for r in got.collect()}
+    assert {k: v for k, v in want.items() if found[k][0] == v[0]} and found == {k: v if found[k][0] == v[0] else found[k] for k, v in want.items()}
+    odd = spark.createDataFrame([(1, 1, 2, 1), (1, 2, 3, 1), (1, 1, 3, -1)], "mesh_id long, a long, b long, sign int")
+    with pytest.raises(Exception, match="turns against itself"):
+        arcs.signed_components(odd).collect()
+
+
+def test_arcs_of_a_twisted_band_turn_against_themselves(spark):
+    m = M.prepared(build(spark, {1: ring(9, 1, twist=True)}))
+    faces = m.faces.select("mesh_id", "face_id", F.col("face_id").alias("chart_id"))
+    with pytest.raises(Exception, match="turns against itself"):
+        arcs.arc_groups(arcs.chart_corners(m, M.edges(m), faces)).collect()
