@@ -1,4 +1,11 @@
-"""Poisson-disk samples: area draws thinned first-fit over a hash grid."""
+"""Poisson-disk samples: area draws thinned in five rounds over a grid of cells.
+
+Meshes are dealt into buckets and a bucket is thinned at once. Draws are sorted
+into cubes of the radius; in each round every cell offers its next draw, which
+stays unless a kept one of the 27 cells around is nearer than the radius. Cells are
+coloured by their place modulo three in each axis, so cells of one colour never see each other
+and a colour is one step over arrays.
+"""
 
 from __future__ import annotations
 
@@ -8,45 +15,109 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quadrille.operators.kernels.base import per_mesh
-from quadrille.operators.mesh import Mesh
-from quadrille.sources.formats import fan
+from quadrille.operators.mesh import Mesh, prepared
 
-RAW_FACTOR = 6
+RAW_FACTOR, RADIUS, ROUNDS = 6, 0.75, 5
+FACES_PER_BUCKET = 100_000
+_AROUND = np.array([(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
 
 
-def poisson(v: np.ndarray, faces: list[list[int]], n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(positions, triangle, barycentric, radius) of about ``n`` samples no two of which are closer than the radius."""
-    t = np.array(fan(faces), np.int64)
-    p = v[t]
+def fans(sizes: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(triangles, face of each) of polygons laid end to end in ``corners``, fanned out from their first corner."""
+    start = np.cumsum(sizes) - sizes
+    n = np.maximum(sizes - 2, 0)
+    face = np.repeat(np.arange(len(sizes)), n)
+    k = np.arange(len(face)) - np.repeat(np.cumsum(n) - n, n)
+    first = start[face]
+    return corners[np.stack([first, first + k + 1, first + k + 2], axis=1)], face
+
+
+def thin(x: np.ndarray, mesh: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which draws stay; those of a mesh stand together, ``radius`` is by draw."""
+    low = np.full((int(mesh.max(initial=-1)) + 1, 3), np.inf)
+    np.minimum.at(low, mesh, x)
+    cell = np.floor((x - low[mesh]) / radius[:, None]).astype(np.int64) + 1
+    span = cell.max(initial=0) + 2
+    key = ((mesh * span + cell[:, 0]) * span + cell[:, 1]) * span + cell[:, 2]
+    cells, of = np.unique(key, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    turn = np.empty(len(x), np.int64)
+    turn[order] = np.arange(len(x)) - np.searchsorted(of[order], np.arange(len(cells)))[of[order]]
+    steps = (_AROUND[:, 0] * span + _AROUND[:, 1]) * span + _AROUND[:, 2]
+    near = np.searchsorted(cells, cells[:, None] + steps)
+    near = np.where(cells[np.minimum(near, len(cells) - 1)] == cells[:, None] + steps, near, len(cells))
+    kept = np.full((len(cells) + 1, ROUNDS, 3), np.inf)  # the row behind the last stands for cells without draws
+    stays, colour = np.zeros(len(x), bool), (cell % 3) @ (9, 3, 1)
+    for r in range(ROUNDS):
+        offered = np.flatnonzero(turn == r)
+        for c in range(27):
+            mine = offered[colour[offered] == c]
+            if len(mine):
+                apart = kept[near[of[mine]], : r + 1] - x[mine][:, None, None, :]
+                d = (apart**2).sum(-1).min((1, 2))
+                mine = mine[d >= radius[mine] ** 2]
+                kept[of[mine], r] = x[mine]
+                stays[mine] = True
+    return stays
+
+
+def draw(p: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(places, triangle, barycentric, radius) of raw draws by area from one mesh's triangles."""
     area = np.linalg.norm(np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]), axis=1) / 2
     total = area.sum()
     if not total > 0:
         return np.zeros((0, 3)), np.zeros(0, np.int64), np.zeros((0, 3)), 0.0
-    radius, rng = 0.75 * math.sqrt(total / n), np.random.default_rng(seed)
-    tri = np.searchsorted(np.cumsum(area), rng.random(RAW_FACTOR * n) * total, side="right").clip(0, len(t) - 1)
+    rng = np.random.default_rng(seed)
+    tri = np.searchsorted(np.cumsum(area), rng.random(RAW_FACTOR * n) * total, side="right").clip(0, len(p) - 1)
     u = rng.random((len(tri), 2))
     r = np.sqrt(u[:, 0])
     bary = np.stack([1 - r, r * (1 - u[:, 1]), r * u[:, 1]], 1)
-    x = (p[tri] * bary[:, :, None]).sum(1)
-    cell = np.floor(x / radius).astype(np.int64)
-    grid: dict[tuple, list[int]] = {}
-    kept = []
-    for i, c in enumerate(map(tuple, cell)):
-        near = (j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) for j in grid.get((c[0] + dx, c[1] + dy, c[2] + dz), ()))
-        if all(((x[i] - x[j]) ** 2).sum() >= radius * radius for j in near):
-            grid.setdefault(c, []).append(i)
-            kept.append(i)
-    return x[kept], tri[kept], bary[kept], radius
+    return (p[tri] * bary[:, :, None]).sum(1), tri, bary, RADIUS * math.sqrt(total / n)
 
 
-def poisson_samples(m: Mesh, n: int, seed: int = 7) -> DataFrame:
-    """(mesh_id, s_id, tri_id, x, y, z, b0, b1, b2, radius); a mesh's draws depend on seed and mesh only."""
+def poisson(v: np.ndarray, faces: list[list[int]], n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(positions, triangle, barycentric, radius) of about ``n`` samples of one mesh no two of which are closer than the radius."""
+    t, _ = fans(np.array([len(f) for f in faces]), np.concatenate([np.asarray(f) for f in faces]))
+    x, tri, bary, radius = draw(v[t], n, seed)
+    stays = thin(x, np.zeros(len(x), np.int64), np.full(len(x), radius))
+    return x[stays], tri[stays], bary[stays], radius
+
+
+def _bucket(n: int, seed: int):
+    def run(vertices: pd.DataFrame, faces: pd.DataFrame) -> pd.DataFrame:
+        vertices, faces = vertices.sort_values(["mesh_id", "v_id"]), faces.sort_values(["mesh_id", "face_id"])
+        names, of_face = np.unique(faces["mesh_id"].to_numpy(np.int64), return_inverse=True)
+        sizes = faces["verts"].str.len().to_numpy(np.int64)
+        corners = np.concatenate([np.zeros(0, np.int64), *faces["verts"]]).astype(np.int64)
+        ids, at = np.unique(np.concatenate([corners, vertices["v_id"].to_numpy(np.int64)]), return_inverse=True)
+        own = vertices["mesh_id"].to_numpy(np.int64)
+        known = np.isin(own, names)
+        place = np.searchsorted(names, own[known]) * len(ids) + at[len(corners) :][known]  # ascending, as the vertices are
+        pos = vertices[["x", "y", "z"]].to_numpy(np.float64)[known]
+        tri, face = fans(sizes, np.searchsorted(place, np.repeat(of_face, sizes) * len(ids) + at[: len(corners)]))
+        of = of_face[face]
+        starts = np.searchsorted(of, np.arange(len(names) + 1))
+        drawn = [draw(pos[tri[a:b]], n, int.from_bytes(hashlib.sha256(f"{seed}|{name}".encode()).digest()[:8], "big")) for name, a, b in zip(names, starts, starts[1:])]
+        mesh = np.repeat(np.arange(len(names)), [len(d[0]) for d in drawn])
+        x, t, bary = (np.concatenate([np.zeros((0, *shape)), *(d[k] for d in drawn)]) for k, shape in ((0, (3,)), (1, ()), (2, (3,))))
+        radius = np.array([d[3] for d in drawn])[mesh] if len(names) else np.zeros(0)
+        stays = thin(x, mesh, radius) if len(x) else np.zeros(0, bool)
+        mesh, x, bary = mesh[stays], x[stays], bary[stays]
+        first = np.searchsorted(mesh, np.arange(len(names)))
+        return pd.DataFrame({"mesh_id": names[mesh], "s_id": np.arange(len(mesh)) - first[mesh], "tri_id": t[stays].astype(np.int64), **dict(zip("xyz", x.T)), **{f"b{k}": bary[:, k] for k in range(3)}, "radius": radius[stays]})
 
-    def kernel(mesh_id, v, faces, _):
-        own = int.from_bytes(hashlib.sha256(f"{seed}|{mesh_id}".encode()).digest()[:8], "big")
-        x, tri, bary, radius = poisson(v, faces, n, own)
-        return pd.DataFrame({"mesh_id": mesh_id, "s_id": np.arange(len(x)), "tri_id": tri, "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "b0": bary[:, 0], "b1": bary[:, 1], "b2": bary[:, 2], "radius": radius})
+    return run
+
+
+def poisson_samples(m: Mesh, n: int, seed: int = 7) -> DataFrame:
+    """(mesh_id, s_id, tri_id, x, y, z, b0, b1, b2, radius); a mesh's draws depend on seed and mesh only.
 
-    return per_mesh(m, kernel, "mesh_id long, s_id long, tri_id long, x double, y double, z double, b0 double, b1 double, b2 double, radius double")
+    A mesh is one task's work; a bucket holds about FACES_PER_BUCKET faces.
+    """
+    m = prepared(m)
+    buckets = max(1, -(-m.faces.count() // FACES_PER_BUCKET), min(m.faces.sparkSession.sparkContext.defaultParallelism, 64))
+    dealt = lambda df, *c: df.select(F.pmod(F.xxhash64("mesh_id"), F.lit(buckets)).alias("_b"), *c).groupBy("_b")
+    schema = "mesh_id long, s_id long, tri_id long, x double, y double, z double, b0 double, b1 double, b2 double, radius double"
+    return dealt(m.vertices, "mesh_id", "v_id", "x", "y", "z").cogroup(dealt(m.faces, "mesh_id", "face_id", "verts")).applyInPandas(_bucket(n, seed), schema)

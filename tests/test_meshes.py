@@ -214,6 +214,38 @@ def test_poisson():
     assert d.min() >= r - 1e-12 and len(x) > 60 and np.allclose(bary.sum(1), 1) and len(tri) == len(x)
 
 
+def test_thinning_is_first_fit_by_rounds():
+    """Kept draws keep their distance, every other of the first five of a cell is too near to a kept one, and meshes do not mix."""
+    rng = np.random.default_rng(4)
+    mesh = np.repeat([0, 1, 2], [900, 50, 1])
+    x = rng.random((len(mesh), 3)) * np.array([3.0, 0.2, 1.0])[mesh][:, None]
+    radius = np.array([0.4, 0.07, 1.0])[mesh]
+    stays = sampling.thin(x, mesh, radius)
+    for k in range(3):
+        own = np.flatnonzero(mesh == k)
+        kept = own[stays[own]]
+        d = np.linalg.norm(x[own][:, None] - x[kept][None], axis=2)
+        assert (d + 9 * (own[:, None] == kept[None]))[stays[own]].min() >= radius[own[0]]
+        cell = np.floor((x[own] - x[own].min(0)) / radius[own[0]])
+        seen: dict = {}
+        for i, c in enumerate(map(tuple, cell)):
+            seen[c] = seen.get(c, 0) + 1
+            assert stays[own[i]] or seen[c] > sampling.ROUNDS or d[i].min() < radius[own[0]]
+
+
+def test_poisson_samples_of_many_meshes(spark, monkeypatch):
+    shapes = {i: cube(1 + i % 3) for i in range(20)} | {50: ([(0, 0, 0), (1, 0, 0), (2, 0, 0)], [(0, 1, 2)])}
+    m = build(spark, shapes)
+    one = {tuple(r) for r in sampling.poisson_samples(m, 40).collect()}
+    monkeypatch.setattr(sampling, "FACES_PER_BUCKET", 10)
+    assert {tuple(r) for r in sampling.poisson_samples(m, 40).collect()} == one and {r[0] for r in one} == set(range(20))
+    for i, (pos, faces) in list(shapes.items())[:3]:
+        mine = [r for r in one if r[0] == i]
+        t, _ = sampling.fans(np.array([len(f) for f in faces]), np.concatenate(faces))
+        for r in mine:
+            assert np.allclose(np.array(r[3:6]), (np.array(pos, float)[t[r[2]]] * np.array(r[6:9])[:, None]).sum(0))
+
+
 def test_matching_is_maximum():
     rng = random.Random(2)
     for _ in range(150):
