@@ -27,11 +27,20 @@ def _extents(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["mesh_id", "sx", "sy", "sz"])
 
 
+#: Rows that a bucket of meshes should hold.
+ROWS_PER_BUCKET = 200_000
+
+
+def principal_sides(m: Mesh) -> DataFrame:
+    """(mesh_id, sx, sy, sz): box sides in principal axes over the longest, falling; meshes in buckets of bounded size."""
+    buckets = max(1, -(-m.vertices.count() // ROWS_PER_BUCKET), min(m.vertices.sparkSession.sparkContext.defaultParallelism, 64))
+    return m.vertices.withColumn("_p", F.pmod(F.xxhash64("mesh_id"), F.lit(buckets))).groupBy("_p").applyInPandas(_extents, "mesh_id long, sx double, sy double, sz double")
+
+
 def fingerprints(m: Mesh) -> DataFrame:
     """(mesh_id, eleven counts, sx, sy, sz)."""
     v = M.vertex_facts(M.edges(m)).groupBy("mesh_id").agg(F.max("degree").alias("max_degree"), F.min("degree").alias("min_degree"), F.count_if(~F.col("boundary") & (F.col("degree") == 3)).alias("n_interior_low"), F.count_if(~F.col("boundary") & (F.col("degree") == 5)).alias("n_interior_high"))
-    boxes = m.vertices.withColumn("_p", F.pmod(F.xxhash64("mesh_id"), F.lit(256))).groupBy("_p").applyInPandas(_extents, "mesh_id long, sx double, sy double, sz double")
-    return M.topology(m).join(v, "mesh_id").join(boxes, "mesh_id").select("mesh_id", *KEY, "sx", "sy", "sz")
+    return M.topology(m).join(v, "mesh_id").join(principal_sides(m), "mesh_id").select("mesh_id", *KEY, "sx", "sy", "sz")
 
 
 def close(a: tuple, b: tuple, tolerance: float = TOLERANCE) -> bool:

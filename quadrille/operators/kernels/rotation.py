@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.functions.shared import materialise
 from quadrille.operators import loops as L
 from quadrille.operators.geometry import face_facts
 from quadrille.operators.mesh import Mesh
@@ -59,8 +60,13 @@ def _turning(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["mesh_id", "loop_id", "closed", "rotation"])
 
 
+LINKS_PER_BUCKET = 200_000
+
+
 def _by_loop(links: DataFrame) -> DataFrame:
-    return links.withColumn("_p", F.pmod(F.xxhash64("mesh_id", "loop_id"), F.lit(256))).groupBy("_p").applyInPandas(_turning, "mesh_id long, loop_id long, closed boolean, rotation double")
+    links = materialise(links)  # counted, then dealt
+    buckets = max(1, -(-links.count() // LINKS_PER_BUCKET), min(links.sparkSession.sparkContext.defaultParallelism, 64))
+    return links.withColumn("_p", F.pmod(F.xxhash64("mesh_id", "loop_id"), F.lit(buckets))).groupBy("_p").applyInPandas(_turning, "mesh_id long, loop_id long, closed boolean, rotation double")
 
 
 def edge_loop_rotation(m: Mesh, loops: DataFrame | None = None) -> DataFrame:

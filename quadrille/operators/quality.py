@@ -58,15 +58,15 @@ def valid(rows: DataFrame) -> DataFrame:
 
 
 def dataset_figures(m: Mesh) -> DataFrame:
-    """What ``dataset_filter`` reads, one row per mesh: shape, size ratio, simple face loops that hardly turn, charts."""
+    """What ``dataset_filter`` reads, one row per mesh: shape, size ratio in principal axes, the share of face loops that never cross themselves, charts."""
     m = M.prepared(m)
-    box = G.bounding_boxes(m)
-    sides = [F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"]
-    size = box.select("mesh_id", (F.least(*sides) / (F.greatest(*sides) + 1e-10)).alias("size_ratio"))
+    from quadrille.operators.dedup import principal_sides
+
+    size = principal_sides(m).select("mesh_id", (F.least("sx", "sy", "sz") / (F.greatest("sx", "sy", "sz") + 1e-10)).alias("size_ratio"))
     faces = m.faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_faces"))
-    turning = rotation.loop_ratios(L.face_loop_stats(m), rotation.face_loop_rotation(m), "f").select("mesh_id", F.col("fratio").alias("fratio_new"))
+    simple = L.simple_ratios(m).select("mesh_id", F.col("fratio").alias("fratio_new"))
     charts = L.chart_distribution(m).select("mesh_id", "min_area_ratio", "min_border")
-    return faces.join(shape_stats(m), "mesh_id").join(size, "mesh_id").join(turning, "mesh_id").join(charts, "mesh_id")
+    return faces.join(shape_stats(m), "mesh_id").join(size, "mesh_id").join(simple, "mesh_id").join(charts, "mesh_id")
 
 
 def dataset_filter(rows: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ from quadrille.operators import dedup as D
 from quadrille.operators import geometry as G
 from quadrille.operators import loops as L
 from quadrille.operators import mesh as M
+from quadrille.operators import overlay as O
 from quadrille.operators import spatial as X
 from quadrille.operators.kernels import blocks, clusters, rotation, sampling, trimerge
-from quadrille.plans.derived import mesh, sql_prefix
+from quadrille.plans.derived import SIDES, mesh, sql_prefix
 from quadrille.plans.queries_mesh import r6
 from quadrille.sources import formats
 from quadrille.sources.meshes import files
@@ -166,13 +167,21 @@ def n16(spark, d):
     return clusters.cluster_polygons(m, clusters.grow_clusters(m, _seeds(m))).select("mesh_id", "cluster", F.size("verts").alias("corners"))
 
 
-@query("n18_overlay_labels", PART + "SELECT mesh_id, face_id, dense_rank() OVER (PARTITION BY mesh_id ORDER BY face_id % 3, face_id % 2) - 1 AS label FROM grid")
+@query("n18_overlay_labels")
 def n18(spark, d):
-    """Two labellings overlaid: a label for each pair that occurs."""
-    from pyspark.sql import Window
+    """Two labellings overlaid; of the parts the largest stay, four for each first label, and absorb the rest."""
+    m = M.prepared(mesh(spark, d))
+    labels = m.faces.select("mesh_id", "face_id", (F.col("face_id") % 2).alias("a"), (F.col("face_id") % 3 % 2).alias("b"))
+    return O.overlay_labels(m, labels)
+
 
-    f = mesh(spark, d).faces
-    return f.select("mesh_id", "face_id", (F.dense_rank().over(Window.partitionBy("mesh_id").orderBy(F.col("face_id") % 3, F.col("face_id") % 2)) - 1).cast("long").alias("label"))
+@query("n18_overlay_clusters", PART + SIDES + """, lk AS (SELECT DISTINCT mesh_id, face_id AS a, pair_face AS b FROM sides WHERE pair_face IS NOT NULL AND face_id % 2 = pair_face % 2 AND face_id % 3 % 2 = pair_face % 3 % 2),
+reach AS (SELECT mesh_id, face_id, face_id AS seen FROM grid UNION SELECT r.mesh_id, r.face_id, lk.b FROM reach r JOIN lk ON lk.mesh_id = r.mesh_id AND lk.a = r.seen)
+SELECT mesh_id, face_id, min(seen) AS cluster FROM reach GROUP BY 1, 2""")
+def n18_clusters(spark, d):
+    """Two labellings overlaid: parts that hang together with both labels equal."""
+    m = M.prepared(mesh(spark, d))
+    return O.overlay(m, m.faces.select("mesh_id", "face_id", (F.col("face_id") % 2).alias("a"), (F.col("face_id") % 3 % 2).alias("b")))
 
 
 @query("m5_dual", PART + "SELECT mesh_id, count(*) FILTER (NOT boundary) AS n FROM deg GROUP BY 1 HAVING count(*) FILTER (NOT boundary) > 0")

@@ -83,7 +83,7 @@ def p9(spark, d):
 @query("p9_dataset_figures")
 def p9_figures(spark, d):
     """What the keep rule reads, from the meshes themselves."""
-    rows = Q.dataset_figures(mesh(spark, d, "nation"))
+    rows = Q.dataset_figures(mesh(spark, d))
     return rows.select(*(r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
 
 
@@ -513,6 +513,20 @@ def l4(spark, d):
     return out.faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_faces"))
 
 
+@query("l4_weld_and_retry", PART + "SELECT mesh_id, CAST(CASE kind WHEN 1 THEN 0 ELSE a * b END AS BIGINT) AS at_once, CAST(a * b AS BIGINT) AS after_weld FROM dims")
+def l4_retry(spark, d):
+    """Cylinders slit open but for one pinched vertex: a defect unless the slit is welded, so only the second try keeps them."""
+    m = mesh(spark, d)
+    slit = dims(spark, d, "part").where("kind = 1").select("mesh_id", "a", "b")
+    beyond = 1_000_000
+    f = m.faces.join(slit, "mesh_id", "left")
+    faces = f.withColumn("verts", F.when(F.expr("face_id div b = a - 1"), F.transform("verts", lambda v: F.when((v <= F.col("b")) & (v != 1), v + beyond).otherwise(v))).otherwise(F.col("verts"))).select("mesh_id", "face_id", "verts")
+    copies = m.vertices.join(slit, "mesh_id").where("v_id <= b AND v_id <> 1").select("mesh_id", (F.col("v_id") + beyond).alias("v_id"), "x", "y", "z")
+    cut = M.prepared(M.Mesh(m.vertices.unionByName(copies), faces))
+    n = lambda out, name: out.faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias(name))
+    return cut.faces.select("mesh_id").distinct().join(n(X.manifold_part(cut), "at_once"), "mesh_id", "left").join(n(X.manifold_part(cut, retry=True), "after_weld"), "mesh_id", "left").na.fill(0)
+
+
 @query("m5_split_growth", PART + "SELECT mesh_id, CAST(16 * a * b AS BIGINT) AS n_faces FROM dims")
 def m5(spark, d):
     """Two rounds of midpoint splits: sixteen quads of every one."""
