@@ -17,6 +17,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from quadrille.llm import ann, html_extract, pii, secrets, simhash, toxicity
+from quadrille.llm import packing
 from quadrille.llm.packing import ChunkIds, pack, round_robin
 from quadrille.llm.queries_python import tokenizer_path
 
@@ -123,11 +124,14 @@ def test_similar_links_of_dense_groups():
 
 
 # ---- packing ----
-def test_pack(spark, sf):
+@pytest.mark.parametrize("partition_tokens, row_tokens, broadcast", [(3_000_000, 65_536, 100_000), (9_000, 700, 0)])
+def test_pack(spark, sf, monkeypatch, partition_tokens, row_tokens, broadcast):
+    monkeypatch.setattr(packing, "ROW_TOKENS", row_tokens)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", broadcast)
     tok = Tokenizer.from_file(tokenizer_path())
     docs = [(r["doc_id"], r["text"], r["source"]) for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()] + [(90_000 + k, r[1], r[2]) for k, r in enumerate(ODD)] + [(None, "no id", None)]
     docs += [(95_000, "don't STOP it's\x1cok, x1y2. ́e", "s"), (95_001, " \n ,, .. a, b. \n", "s")]
-    got = pack(spark.createDataFrame(docs, "doc_id long, text string, source string"), tokenizer_path()).collect()
+    got = pack(spark.createDataFrame(docs, "doc_id long, text string, source string"), tokenizer_path(), partition_tokens=partition_tokens).collect()
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t, _ in docs}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
@@ -149,39 +153,45 @@ def test_pack(spark, sf):
             at += r["length"]
         sizes.append(at)
     assert all(s == 2048 or s & (s - 1) == 0 for s in sizes) and sorted(by_seq) == list(range(len(by_seq)))
-    # Every full window holds the proportions of the whole: one partition here.
+    # Every full window, over all partitions, holds the proportions of the whole.
     source, total, seen = {i: s for i, _, s in docs}, Counter(), defaultdict(Counter)
     for r in got:
         total[source[r["doc_id"]]] += r["length"]
         seen[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
-    for counts in list(seen.values())[: sum(total.values()) // 2048]:
-        if sum(counts.values()) == 2048:
-            for s, n in total.items():
-                assert abs(counts[s] / 2048 - n / sum(total.values())) <= 2.5 * 64 / 2048
+    whole = sum(total.values())
+    frequent = {s: n / whole for s, n in total.items() if n / whole >= 0.01}
+    full = [counts for counts in seen.values() if sum(counts.values()) == 2048]
+    assert len(full) == whole // 2048
+    off = [[abs(counts[s] / 2048 - share) for s, share in frequent.items()] for counts in full]
+    assert all(counts[s] for counts in full for s in frequent) and max(map(max, off)) < 0.02 and sum(map(sum, off)) / len(off) < 0.05
     assert pack(spark.createDataFrame([], "doc_id long, text string, source string"), tokenizer_path()).count() == 0
 
 
 @pytest.mark.parametrize("shares", [[0.6, 0.3, 0.1], [0.05] * 20, [0.9, 0.09, 0.008, 0.002]])
 def test_round_robin_windows(shares):
-    rng, total, window = np.random.default_rng(1), 2_000_000, 2048
-    queues = []
-    for s in shares:
-        q = np.minimum(rng.lognormal(5.5, 1.3, int(total * s / 300) + 1).astype(int) + 1, 40_000).tolist()
-        queues.append(q)
-    sizes = [sum(q) for q in queues]
-    order = round_robin(queues, window)
-    done = {}
-    for q, k, start, n in order:
-        assert n > 0 and done.get((q, k), 0) == start
-        done[q, k] = start + n
-    assert done == {(i, k): n for i, q in enumerate(queues) for k, n in enumerate(q)}
-    owner = np.repeat([q for q, _, _, _ in order], [n for _, _, _, n in order])
-    windows = owner[: len(owner) // window * window].reshape(-1, window)
-    want = np.array(sizes) / sum(sizes)
-    counts = np.stack([(windows == i).sum(1) for i in range(len(shares))], 1) / window
-    assert np.abs(counts - want).max() <= 3 * 64 / window and np.abs(counts - want).mean() <= 0.015
-    frequent = want * window >= 2 * 64
-    assert (counts[:, frequent] > 0).all()
+    """Queues end together, serve whole tokens, and are never a token from their target, whatever the lengths of the windows."""
+    rng = np.random.default_rng(1)
+    sizes = (np.array(shares) * 300_000).astype(np.int64)
+    steps = np.full(int(sizes.sum()) // 2048, 2048)
+    steps = np.concatenate([[700, 3], steps[1:], [int(sizes.sum()) - 703 - 2048 * (len(steps) - 1)]])
+    served = round_robin(sizes, steps, rng.random(len(sizes)) - 0.5)
+    given = np.diff(served, axis=0, prepend=0)
+    assert (given >= 0).all() and (given.sum(1) == steps).all() and (served[-1] == sizes).all()
+    assert np.abs(served - np.cumsum(steps)[:, None] * sizes / sizes.sum()).max() <= 2
+    assert round_robin(sizes[:0], np.zeros(0, int), np.zeros(0)).shape == (0, 0)
+
+
+def test_repeated_rows_without_id_spread(spark):
+    """Equal rows without an id, all of one source, do not meet in one partition."""
+    docs = spark.createDataFrame([(None, "one two three four", "s")] * 4000 + [(None, "x y", None)] * 10, "doc_id long, text string, source string")
+    got = pack(docs, tokenizer_path(), partition_tokens=2048).collect()
+    assert len({r["sequence_id"] for r in got}) == max(r["sequence_id"] for r in got) + 1
+    lengths = Counter()
+    for r in got:
+        lengths[r["sequence_id"]] += r["length"]
+        assert r["doc_id"] is None
+    n = Counter(r["doc_tokens"] for r in got if r["start"] == 0)
+    assert sum(lengths.values()) == sum(k * v for k, v in n.items()) and sum(n.values()) == 4010
 
 
 def test_ids_are_the_tokenizers():
