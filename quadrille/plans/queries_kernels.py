@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from quadrille.functions.local_components import components_by_mesh
-from quadrille.functions.shared import materialise
+from quadrille.functions.shared import materialise, shared_dir
 from quadrille.operators import arcs as A
 from quadrille.operators import dedup as D
 from quadrille.operators import geometry as G
@@ -18,7 +20,7 @@ from quadrille.operators import spatial as X
 from quadrille.operators.kernels import blocks, clusters, rotation, sampling, trimerge
 from quadrille.plans.derived import SIDES, mesh, sql_prefix
 from quadrille.plans.queries_mesh import r6
-from quadrille.sources import formats
+from quadrille.sources import bundles, formats
 from quadrille.sources.meshes import files
 
 PART = sql_prefix("part")
@@ -277,3 +279,15 @@ def k1(spark, d):
                 yield pd.DataFrame(out, columns=["mesh_id", "format", "n_triangles"])
 
     return files(m, "stl", "glb").mapInPandas(reread, "mesh_id long, format string, n_triangles long")
+
+
+@query("s16_k13_bundles", PART + """, w AS (SELECT mesh_id, mesh_id % 16 AS bundle, row_number() OVER (PARTITION BY mesh_id % 16 ORDER BY mesh_id) - 1 AS object FROM dims)
+SELECT CAST(bundle AS VARCHAR) AS bundle, CAST(object AS BIGINT) AS object, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY v_id) - 1 AS BIGINT) AS v_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM w JOIN vertices USING (mesh_id)""")
+def bundles_round_trip(spark, d):
+    """All meshes as objects of 16 tensor bundles, written and read again: every vertex that a face uses, with its place."""
+    m = mesh(spark, d)
+    folder = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    bundles.write(bundles.objects(m, F.col("mesh_id") % 16), folder)
+    v, f = bundles.meshes(bundles.read(spark, folder))
+    used = f.select("bundle", "object", F.explode("verts").alias("v_id")).distinct()
+    return v.join(used, ["bundle", "object", "v_id"], "left_semi").select("bundle", "object", "v_id", *(r6(F.col(c)).alias(c) for c in "xyz"))
