@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.functions.shared import materialise
 from quadrille.operators import geometry as G
 from quadrille.operators import mesh as M
 from quadrille.operators.mesh import Mesh
@@ -47,22 +51,71 @@ def close(a: tuple, b: tuple, tolerance: float = TOLERANCE) -> bool:
     return max(abs(x - y) / max(abs(y), 1e-12) for x, y in zip(a, b, strict=True)) < tolerance
 
 
+class Sizes:
+    """Sizes kept so far, by cells of their logarithms: what is close to a size lies in the cells around its own."""
+
+    def __init__(self, tolerance: float = TOLERANCE):
+        self.tolerance, self.width, self.cells, self.n = tolerance, -math.log(1 - tolerance), {}, 0
+
+    def _cell(self, size: tuple) -> tuple[int, ...]:
+        return tuple(math.floor(math.log(max(x, 1e-12)) / self.width) for x in size)
+
+    def keep(self, name, size: tuple) -> None:
+        self.cells.setdefault(self._cell(size), []).append((self.n, name, size))
+        self.n += 1
+
+    def first_close(self, size: tuple):
+        """Name of the earliest kept size that this one repeats, or None."""
+        around = itertools.product(*((c - 1, c, c + 1) for c in self._cell(size)))
+        return min(((n, name) for c in around for n, name, s in self.cells.get(c, ()) if close(size, s, self.tolerance)), default=(0, None))[1]
+
+
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """First seen stays: a mesh goes if it is close to one kept before it, in mesh order."""
-    kept: list[tuple[int, tuple]] = []
-    out = []
-    for r in rows.sort_values("mesh_id").itertuples(index=False):
+    """First come stays: a mesh goes if it is close to one kept before it, in the order of ``arrival``; stored ones stay."""
+    kept, out = Sizes(), []
+    for r in rows.sort_values(["stored", "arrival", "mesh_id"], ascending=[False, True, True]).itertuples(index=False):
         size = (r.sx, r.sy, r.sz)
-        twin = next((i for i, s in kept if close(size, s)), None)
+        if r.stored:
+            kept.keep(r.mesh_id, size)
+            continue
+        twin = kept.first_close(size)
         if twin is None:
-            kept.append((r.mesh_id, size))
+            kept.keep(r.mesh_id, size)
         out.append((r.mesh_id, r.mesh_id if twin is None else twin))
     return pd.DataFrame(out, columns=["mesh_id", "keep_id"])
 
 
-def dedup(prints: DataFrame) -> DataFrame:
-    """(mesh_id, keep_id): the earlier mesh that a mesh repeats, or itself."""
-    return prints.groupBy(*KEY).applyInPandas(_greedy, "mesh_id long, keep_id long")
+def dedup(prints: DataFrame, arrival: str = "mesh_id", known: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, keep_id): the earlier mesh that a mesh repeats, or itself.
+
+    Meshes come in the order of the column ``arrival``, ids breaking ties; those of ``known``,
+    with the same columns, came before and stay. Which of several stays depends on the
+    order, so the meshes of one key (eleven counts) are one task's work.
+    """
+    columns = lambda df, stored: df.select("mesh_id", *KEY, "sx", "sy", "sz", F.col(arrival).cast("long").alias("arrival"), F.lit(stored).alias("stored"))
+    rows = columns(prints, False)
+    if known is not None:
+        rows = rows.unionByName(columns(known, True))
+    return rows.groupBy(*KEY).applyInPandas(_greedy, "mesh_id long, keep_id long")
+
+
+def dedup_with_database(prints: DataFrame, folder: str, arrival: str = "mesh_id") -> DataFrame:
+    """``dedup`` against the fingerprints that earlier runs left in ``folder``, to which the newly kept ones are added.
+
+    ``folder`` is a Parquet table that driver and executors share; meshes that are in it
+    already are neither tested nor added again. Two runs over two halves, in
+    order, give what one gives over both.
+    """
+    spark = prints.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    known = spark.read.parquet(folder) if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else None
+    prints = prints.select("mesh_id", *KEY, "sx", "sy", "sz", *([arrival] if arrival != "mesh_id" else []))
+    if known is not None:
+        prints = prints.join(known.select("mesh_id"), "mesh_id", "left_anti")
+    prints = materialise(prints)
+    out = materialise(dedup(prints, arrival, known))
+    prints.join(out.where("mesh_id = keep_id").select("mesh_id"), "mesh_id", "left_semi").write.mode("append").parquet(folder)
+    return out
 
 
 def principal_frame(m: Mesh) -> DataFrame:

@@ -324,6 +324,41 @@ def test_blocks(spark):
     assert M.edges(m).where("n_faces <> 2").count() == 0
 
 
+def prints(spark, sizes):
+    """Fingerprints of one key with the given sizes, arriving in order; ids fall."""
+    rows = [(1000 - i, *([1] * len(D.KEY)), *map(float, s), i) for i, s in enumerate(sizes)]
+    return spark.createDataFrame(rows, f"mesh_id long, {', '.join(f'{k} long' for k in D.KEY)}, sx double, sy double, sz double, came long")
+
+
+def test_dedup_by_arrival_and_in_two_runs(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    sizes = [(1.0, *sorted(rng.uniform(0.4, 1.0, 2), reverse=True)) for _ in range(300)] + [(1.0, 0.0, 0.0)] * 2
+    kept, want = [], {}
+    for i, s in enumerate(sizes):
+        twin = next((k for k, o in kept if D.close(s, o)), None)
+        kept += [] if twin is not None else [(1000 - i, s)]
+        want[1000 - i] = 1000 - i if twin is None else twin
+    p = prints(spark, sizes)
+    assert {r["mesh_id"]: r["keep_id"] for r in D.dedup(p, "came").collect()} == want
+    first, second = (D.dedup_with_database(p.where(half), f"{tmp_path}/db", "came").collect() for half in ("came < 120", "came >= 120"))
+    assert {r["mesh_id"]: r["keep_id"] for r in first + second} == want
+    assert D.dedup_with_database(p, f"{tmp_path}/db", "came").where("mesh_id <> keep_id").count() == len(want) - len(kept)
+    assert spark.read.parquet(f"{tmp_path}/db").count() == len(kept)
+
+
+def test_a_hot_key_is_not_scanned_in_full():
+    import time
+
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    n = 100_000
+    rows = pd.DataFrame({"mesh_id": np.arange(n), "sx": 1.0, "sy": rng.uniform(1e-6, 1.0, n) ** 4, "sz": rng.uniform(1e-6, 1.0, n) ** 8, "arrival": np.arange(n), "stored": False})
+    began = time.time()
+    out = D._greedy(rows)
+    assert time.time() - began < 60 and len(out) == n and 1000 < (out["mesh_id"] == out["keep_id"]).sum()
+
+
 def test_dedup_batch_and_stream(spark, sf, tmp_path):
     from quadrille.streaming.fingerprints import dedup_stream
 
