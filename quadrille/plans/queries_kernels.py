@@ -18,7 +18,7 @@ from quadrille.operators import mesh as M
 from quadrille.operators import overlay as O
 from quadrille.operators import spatial as X
 from quadrille.operators.kernels import blocks, clusters, rotation, sampling, trimerge
-from quadrille.plans.derived import SIDES, mesh, sql_prefix
+from quadrille.plans.derived import BENDS, SIDES, mesh, sql_prefix
 from quadrille.plans.queries_mesh import r6
 from quadrille.sources import bundles, formats
 from quadrille.sources.meshes import files
@@ -291,3 +291,20 @@ def bundles_round_trip(spark, d):
     v, f = bundles.meshes(bundles.read(spark, folder))
     used = f.select("bundle", "object", F.explode("verts").alias("v_id")).distinct()
     return v.join(used, ["bundle", "object", "v_id"], "left_semi").select("bundle", "object", "v_id", *(r6(F.col(c)).alias(c) for c in "xyz"))
+
+
+@query("n15_feature_polylines", PART + SIDES + BENDS + """, fe AS MATERIALIZED (SELECT DISTINCT mesh_id, least(v0, v1) AS lo, greatest(v0, v1) AS hi, least(v0, v1) * 2147483648 + greatest(v0, v1) AS e FROM bends WHERE dihedral < 130),
+fw AS MATERIALIZED (SELECT mesh_id, e, lo AS v, hi AS o FROM fe UNION ALL SELECT mesh_id, e, hi, lo FROM fe),
+fn AS MATERIALIZED (SELECT mesh_id, v, count(*) AS n FROM fw GROUP BY 1, 2),
+fl AS MATERIALIZED (SELECT DISTINCT x.mesh_id, x.e AS a, y.e AS b FROM fw x JOIN fw y ON y.mesh_id = x.mesh_id AND y.v = x.v JOIN fn ON fn.mesh_id = x.mesh_id AND fn.v = x.v AND n = 2),
+fr AS (SELECT mesh_id, e, e AS seen FROM fe UNION SELECT r.mesh_id, r.e, fl.b FROM fr r JOIN fl ON fl.mesh_id = r.mesh_id AND fl.a = r.seen),
+ln AS MATERIALIZED (SELECT mesh_id, e, min(seen) AS line FROM fr GROUP BY 1, 2),
+st AS (SELECT ln.mesh_id, line, coalesce(min(v) FILTER (n <> 2), min(v)) AS v, count(DISTINCT ln.e) AS size FROM ln JOIN fw USING (mesh_id, e) JOIN fn USING (mesh_id, v) GROUP BY 1, 2),
+wk AS (SELECT mesh_id, line, size, 0 AS pos, v AS v_id, CAST(NULL AS BIGINT) AS came FROM st
+  UNION ALL SELECT w.mesh_id, w.line, w.size, w.pos + 1, x.o, x.e FROM wk w JOIN LATERAL (SELECT o, fw.e FROM fw JOIN ln USING (mesh_id, e) WHERE fw.mesh_id = w.mesh_id AND ln.line = w.line AND fw.v = w.v_id AND fw.e IS DISTINCT FROM w.came ORDER BY o LIMIT 1) x ON TRUE WHERE w.pos < w.size)
+SELECT mesh_id, line, CAST(pos AS BIGINT) AS pos, v_id FROM wk""")
+def n15_lines(spark, d):
+    """Sharp and border edges as polylines between the vertices where other than two of them meet."""
+    m = M.prepared(mesh(spark, d))
+    sharp = G.dihedral_angles(m).where("dihedral < 130").select("mesh_id", F.least("v0", "v1").alias("lo"), F.greatest("v0", "v1").alias("hi"))
+    return A.feature_lines(sharp)

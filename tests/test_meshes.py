@@ -462,3 +462,13 @@ def test_arcs_of_a_twisted_band_turn_against_themselves(spark):
     faces = m.faces.select("mesh_id", "face_id", F.col("face_id").alias("chart_id"))
     with pytest.raises(Exception, match="turns against itself"):
         arcs.arc_groups(arcs.chart_corners(m, M.edges(m), faces)).collect()
+
+
+def test_feature_lines_are_walked_in_order(spark):
+    """A lens of two arcs and a chord between two junctions, a closed square, an open chain, and a ring that hangs on one junction."""
+    edges = {1: [(0, 5), (5, 1), (0, 6), (6, 1), (0, 1)], 2: [(3, 7), (7, 4), (4, 9), (9, 3)], 3: [(8, 2), (2, 5)], 4: [(0, 1), (1, 2), (2, 3), (3, 1), (1, 9)]}
+    rows = [(k, min(e), max(e)) for k, x in edges.items() for e in x]
+    got = {}
+    for r in arcs.feature_lines(spark.createDataFrame(rows + rows[:2], "mesh_id long, lo long, hi long")).orderBy("pos").collect():
+        got.setdefault((r["mesh_id"], r["line"]), []).append(r["v_id"])
+    assert sorted((k[0], tuple(v)) for k, v in got.items()) == [(1, (0, 1)), (1, (0, 5, 1)), (1, (0, 6, 1)), (2, (3, 7, 4, 9, 3)), (3, (5, 2, 8)), (4, (0, 1)), (4, (1, 2, 3, 1)), (4, (1, 9))]
