@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.shared import materialise
-from quadrille.llm.blocks import BLOCK_BYTES, by_bucket, byte_table, cut, pack, pack_words, unpack, unpack_words, words_of
+from quadrille.llm.blocks import by_bucket, byte_table, cut, pack, pack_words, unpack, unpack_words, words_of
 from quadrille.llm.text import filled
 
 #: Texts whose checksum leaves HELD_OUT teach nothing; those that leave DELETED are predicted while the weights are learned.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
+#: Bytes of text in a block: smaller ones hold less memory, but ask more often for the same pairs.
+BLOCK_BYTES = 5 << 20
 #: Words that blocks ask a bucket for, and tokens whose pairs meet in one.
 BUCKET_WORDS, BUCKET_TOKENS = 500_000, 1_500_000
 EM_ROUNDS, EM_GAIN = 40, 1e-6
@@ -92,6 +94,7 @@ def _encode(deleted_fold: int, held_out: int, size: int):
                     one = part.slice(start, stop - start)
                     yield pa.RecordBatch.from_pylist([row(made, one.column("doc_id"), one.column("fold").to_numpy(zero_copy_only=False), one.column("text"))], schema=_ENCODED)
                     made += 1
+                    pa.default_memory_pool().release_unused()
 
     return run
 
