@@ -26,7 +26,7 @@ import lzma
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
@@ -100,8 +100,11 @@ def _unpacker(raw: bytes | memoryview):
     return None
 
 
-def _inflate(chunks: Iterable[bytes], make) -> Iterator[bytes]:
-    """The bytes of all members that stand one after another, a bounded piece at a time; what cannot be read ends it."""
+def _inflate(chunks: Iterable[bytes], make, left: list[int] | None = None) -> Iterator[bytes]:
+    """The bytes of all members that stand one after another, a bounded piece at a time; what cannot be read ends it.
+
+    The number of bytes behind the last member goes into ``left``, if it came to its end.
+    """
     chunks, tool, data = iter(chunks), make(), b""
     while True:
         if tool.eof:
@@ -110,6 +113,8 @@ def _inflate(chunks: Iterable[bytes], make) -> Iterator[bytes]:
                 data += more
             make = _unpacker(data)
             if not make:
+                if left is not None:
+                    left.append(len(data))
                 return
             tool = make()
         elif not data and getattr(tool, "needs_input", True):
@@ -125,14 +130,14 @@ def _inflate(chunks: Iterable[bytes], make) -> Iterator[bytes]:
             yield out
 
 
-def expand(raw: bytes | memoryview) -> Iterator[bytes]:
-    """The bytes inside all compressed wrappings, in overlapping pieces; nothing if there is no wrapping."""
+def expand(raw: bytes | memoryview, left: list[int] | None = None) -> Iterator[bytes]:
+    """The bytes inside all compressed wrappings, in overlapping pieces; nothing if there is no wrapping. ``left`` as of the outermost."""
     make, chunks, wraps = _unpacker(raw), iter([raw]), 0
     if not make:
         return
     while make and wraps < MAX_WRAPS:
         wraps += 1
-        chunks = _inflate(chunks, make)
+        chunks = _inflate(chunks, make, left if wraps == 1 else None)
         first = next(chunks, b"")
         while first and len(first) < 6 and (more := next(chunks, b"")):
             first += more
@@ -147,16 +152,32 @@ def expand(raw: bytes | memoryview) -> Iterator[bytes]:
         yield held
 
 
-def _from_packed(layer: Layer, start: int, end: int, raw: bytes | memoryview) -> tuple[list[Layer], bool]:
+def _from_packed(layer: Layer, start: int, end: int, raw: bytes | memoryview, left: list[int] | None = None) -> tuple[list[Layer], bool]:
     """Layers of compressed bytes that stand behind a stretch of a layer, and whether they came in several pieces."""
     out, pieces = [], 0
     a, b = layer.origin(start, end)
-    for piece in expand(raw):
+    for piece in expand(raw, left):
         pieces += 1
         out += [Layer(t, array("q", [a]) * len(t), array("q", [b]) * len(t)) for t, _, _ in readable(piece)]
     return out, pieces > 1
 
 
+def _streams(layer: Layer, at: Callable[[int], int], end: int, raw: bytes) -> tuple[list[Layer], int]:
+    """Layers of all compressed streams in the bytes, wherever they begin; ``at`` gives the place of a byte in the layer.
+
+    The search goes on behind a stream that came to its end, and behind the first byte of what did not.
+    """
+    out, large, behind = [], 0, 0
+    while m := PACKED.search(raw, behind):
+        behind, left = m.start() + 1, []
+        if _unpacker(raw[m.start() : m.start() + 6]):
+            inside, big = _from_packed(layer, at(m.start()), end, memoryview(raw)[m.start() :], left)
+            out, large = out + inside, large + big
+            if left:
+                behind = max(behind, len(raw) - left[0])
+    return out, large
+
+
 def _unescaped(layer: Layer, start: int, end: int) -> Layer:
     """The stretch with every escape in it decoded once."""
     text, starts, ends, at = [], array("q"), array("q"), start
@@ -208,12 +229,8 @@ def _from_base64(layer: Layer, start: int, end: int) -> tuple[list[Layer], int]:
         except (binascii.Error, ValueError):
             continue
         # The bytes of a shifted run begin with some that belong to what stands before.
-        packed = next((m.start() for m in PACKED.finditer(raw, 0, 4096) if _unpacker(raw[m.start() : m.start() + 6])), None)
-        if packed is not None:
-            inside, big = _from_packed(layer, at(phase + packed * 4 // 3), end, raw[packed:])
-            out, large = out + inside, large + big
-            if inside:
-                continue
+        inside, big = _streams(layer, lambda i, phase=phase: at(phase + i * 4 // 3), end, raw)
+        out, large = out + inside, large + big
         for text, first, width in readable(raw):
             starts, ends, place = array("q"), array("q"), first
             for c in text:
@@ -239,11 +256,8 @@ def unwrap(layer: Layer) -> tuple[list[Layer], int]:
     if "%" in text:
         stretches += [(m.start(), m.end(), unquote_to_bytes(m[0])) for m in NO_SPACE.finditer(text) if "%" in m[0]]
     for start, end, raw in stretches:
-        for m in PACKED.finditer(raw):
-            inside, big = _from_packed(layer, start, end, memoryview(raw)[m.start() :])
-            out, large = out + inside, large + big
-            if inside:
-                break
+        inside, big = _streams(layer, lambda _, start=start: start, end, raw)
+        out, large = out + inside, large + big
     for m in BASE64.finditer(text):
         inside, big = _from_base64(layer, m.start(), m.end())
         out, large = out + inside, large + big

@@ -485,3 +485,15 @@ def test_pii_corpus(spark, sf):
     assert len(set(new)) == len(entities)
     assert not set(new) & {(x.split("|")[0], x.split("|", 2)[2].lower()) for x in entities}
     assert pii.replace_pii(both.limit(0)).count() == 0
+
+
+def test_secrets_streams_anywhere_in_a_base64_layer():
+    """Compressed streams behind the first 4,096 bytes, second ones, and plain text before them."""
+    plain = b"note: password = first-hidden-one\n" + bytes(range(128, 256)) * 40
+    raw = plain + zlib.compress(b"api_key: second-hidden-one ") + b"\x80" * 50 + gzip.compress(b"secret=third-hidden-one and more")
+    text = "see " + base64.b64encode(raw).decode() + " end"
+    base, every, _, _ = secrets.find_secrets(text)
+    found = [s for s in every if s not in base]
+    assert len(found) == 3 and all(k == 0 for _, k, _ in found)
+    starts = [a for a, _, _ in found]
+    assert starts[0] < 60 and starts[1] > 4 + len(plain) * 4 // 3 - 4 and starts[2] > starts[1]
