@@ -118,6 +118,7 @@ def poisson_samples(m: Mesh, n: int, seed: int = 7) -> DataFrame:
     """
     m = prepared(m)
     buckets = max(1, -(-m.faces.count() // FACES_PER_BUCKET), min(m.faces.sparkSession.sparkContext.defaultParallelism, 64))
-    dealt = lambda df, *c: df.select(F.pmod(F.xxhash64("mesh_id"), F.lit(buckets)).alias("_b"), *c).groupBy("_b")
+    # All columns are aliased, as both sides may stem from one table.
+    dealt = lambda df, *c: df.select(F.pmod(F.xxhash64("mesh_id"), F.lit(buckets)).alias("_b"), *(F.col(x).alias(x) for x in c)).groupBy("_b")
     schema = "mesh_id long, s_id long, tri_id long, x double, y double, z double, b0 double, b1 double, b2 double, radius double"
     return dealt(m.vertices, "mesh_id", "v_id", "x", "y", "z").cogroup(dealt(m.faces, "mesh_id", "face_id", "verts")).applyInPandas(_bucket(n, seed), schema)

@@ -472,3 +472,16 @@ def test_feature_lines_are_walked_in_order(spark):
     for r in arcs.feature_lines(spark.createDataFrame(rows + rows[:2], "mesh_id long, lo long, hi long")).orderBy("pos").collect():
         got.setdefault((r["mesh_id"], r["line"]), []).append(r["v_id"])
     assert sorted((k[0], tuple(v)) for k, v in got.items()) == [(1, (0, 1)), (1, (0, 5, 1)), (1, (0, 6, 1)), (2, (3, 7, 4, 9, 3)), (3, (5, 2, 8)), (4, (0, 1)), (4, (1, 2, 3, 1)), (4, (1, 9))]
+
+
+def test_derived_meshes_are_dealt_by_id_and_never_broadcast(spark, sf):
+    """Joins of derived tables, whose size Spark underrates, do not go through the driver; a partition holds whole meshes, few of them."""
+    m = mesh(spark, sf)
+    plan = M.edges(m).join(m.vertices.withColumnRenamed("v_id", "lo"), ["mesh_id", "lo"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert "BroadcastHashJoin" not in M.face_components(m).join(m.faces, ["mesh_id", "face_id"])._jdf.queryExecution().executedPlan().toString()
+    places = m.faces.select("mesh_id", F.spark_partition_id().alias("p")).distinct()
+    assert places.groupBy("mesh_id").count().where("count > 1").isEmpty()
+    assert places.select("p").distinct().count() > 1
+    used = M.corners(m).select("mesh_id", "v_id").distinct()
+    assert m.vertices.select("mesh_id", "v_id").exceptAll(used).isEmpty() and used.exceptAll(m.vertices.select("mesh_id", "v_id")).isEmpty()
