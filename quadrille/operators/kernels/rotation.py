@@ -13,20 +13,24 @@ from quadrille.operators.geometry import face_facts
 from quadrille.operators.mesh import Mesh
 
 
+def rotation_indices(points: np.ndarray, closed: bool) -> np.ndarray:
+    """Absolute turning numbers of polylines of one length (loops, n, 3), each projected on its principal plane."""
+    if points.shape[1] < 3:
+        return np.zeros(len(points))
+    centred = points - points.mean(1, keepdims=True)
+    axes = np.linalg.eigh(centred.transpose(0, 2, 1) @ centred)[1]  # the first is the plane's normal
+    xy = centred @ axes[:, :, 1:]
+    step = np.diff(np.concatenate([xy, xy[:, :2]], axis=1) if closed else xy, axis=1)
+    size = np.linalg.norm(step, axis=2)
+    step = step / np.where(size > 0, size, 1)[:, :, None]
+    a, b = step[:, :-1], step[:, 1:]
+    turn = np.arccos(np.clip((a * b).sum(2), -1, 1)) * np.where(a[:, :, 0] * b[:, :, 1] - a[:, :, 1] * b[:, :, 0] < 0, -1, 1)
+    return np.abs(turn.sum(1)) / (2 * np.pi)
+
+
 def rotation_index(points: np.ndarray, closed: bool) -> float:
     """Absolute turning number of a polyline projected on its principal plane."""
-    n = len(points)
-    if n < 3:
-        return 0.0
-    centred = points - points.mean(0)
-    axes = np.linalg.eigh(centred.T @ centred)[1]  # the first is the plane's normal
-    xy = centred @ axes[:, 1:]
-    step = np.diff(np.concatenate([xy, xy[:2]]) if closed else xy, axis=0)
-    size = np.linalg.norm(step, axis=1)
-    step = step / np.where(size > 0, size, 1)[:, None]
-    a, b = step[:-1], step[1:]
-    turn = np.arccos(np.clip((a * b).sum(1), -1, 1)) * np.where(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0] < 0, -1, 1)
-    return float(abs(turn.sum()) / (2 * np.pi))
+    return float(rotation_indices(np.asarray(points, float)[None], closed)[0])
 
 
 def in_order(links: list[tuple[int, int]]) -> tuple[list[int], bool]:
@@ -52,12 +56,23 @@ def in_order(links: list[tuple[int, int]]) -> tuple[list[int], bool]:
 
 
 def _turning(rows: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for (mesh, loop), g in rows.groupby(["mesh_id", "loop_id"], sort=True):
-        pos = {int(n): (x, y, z) for side in "ab" for n, x, y, z in zip(g[side], g[f"{side}x"], g[f"{side}y"], g[f"{side}z"], strict=True)}
-        order, closed = in_order(sorted(zip(g["a"].astype(int), g["b"].astype(int), strict=True)))
-        out.append((mesh, loop, closed, rotation_index(np.array([pos[n] for n in order]), closed)))
-    return pd.DataFrame(out, columns=["mesh_id", "loop_id", "closed", "rotation"])
+    """Loops are ordered one by one and turned all at once, those of one length together."""
+    rows = rows.sort_values(["mesh_id", "loop_id", "a", "b"])
+    a, b = rows["a"].tolist(), rows["b"].tolist()
+    places = np.concatenate([rows[["ax", "ay", "az"]].to_numpy(np.float64), rows[["bx", "by", "bz"]].to_numpy(np.float64)])
+    names = rows[["mesh_id", "loop_id"]].to_numpy(np.int64)
+    first = np.nonzero(np.r_[True, (names[1:] != names[:-1]).any(1)])[0] if len(rows) else np.zeros(0, np.int64)
+    alike: dict[tuple[int, bool], tuple[list[int], list[list[int]]]] = {}
+    for i, (start, end) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=False)):
+        place = {n: k for k, n in enumerate(a[start:end], start)} | {n: k for k, n in enumerate(b[start:end], len(rows) + start)}
+        order, closed = in_order(list(zip(a[start:end], b[start:end], strict=True)))
+        which, spots = alike.setdefault((len(order), closed), ([], []))
+        which.append(i)
+        spots.append([place[n] for n in order])
+    shut, turned = np.zeros(len(first), bool), np.zeros(len(first))
+    for (_, closed), (which, spots) in alike.items():
+        shut[which], turned[which] = closed, rotation_indices(places[np.array(spots)], closed)
+    return pd.DataFrame({"mesh_id": names[first, 0], "loop_id": names[first, 1], "closed": shut, "rotation": turned})
 
 
 LINKS_PER_BUCKET = 200_000
@@ -71,7 +86,7 @@ def _by_loop(links: DataFrame) -> DataFrame:
 
 def edge_loop_rotation(m: Mesh, loops: DataFrame | None = None) -> DataFrame:
     """(mesh_id, loop_id, closed, rotation) over the vertices of every edge loop."""
-    loops = L.edge_loops(m) if loops is None else loops
+    loops = m.once("edge_loops", lambda: L.edge_loops(m), in_place=False) if loops is None else loops
     pos = lambda k, n: m.vertices.select("mesh_id", F.col("v_id").alias(k), *(F.col(c).alias(n + c) for c in "xyz"))
     return _by_loop(loops.select("mesh_id", "loop_id", F.col("lo").alias("a"), F.col("hi").alias("b")).join(pos("a", "a"), ["mesh_id", "a"]).join(pos("b", "b"), ["mesh_id", "b"]))
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -485,3 +486,57 @@ def test_derived_meshes_are_dealt_by_id_and_never_broadcast(spark, sf):
     assert places.select("p").distinct().count() > 1
     used = M.corners(m).select("mesh_id", "v_id").distinct()
     assert m.vertices.select("mesh_id", "v_id").exceptAll(used).isEmpty() and used.exceptAll(m.vertices.select("mesh_id", "v_id")).isEmpty()
+
+
+def test_generated_code_of_derived_meshes_is_short_enough_to_be_compiled(spark, sf):
+    """A generated method of over 8,000 bytes is interpreted by the JVM for good; half-edges took 11,728."""
+    m = mesh(spark, sf)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    for table in (M.halfedges(m), M.edges(m), G.face_points(m)):
+        code = debug.codegenStringSeq(table.sortWithinPartitions("mesh_id")._jdf.queryExecution().sparkPlan()).iterator()
+        while code.hasNext():
+            assert code.next()._3().maxMethodCodeSize() < 8_000
+
+
+def test_links_of_edge_loops_take_one_row_of_fixed_width_a_vertex(spark, sf, monkeypatch):
+    """No list of the edges at a vertex is gathered; the links through regular vertices are those of the grid."""
+    seen = {}
+    monkeypatch.setattr(L, "components_by_mesh", lambda links, **_: seen.setdefault("links", links).select("mesh_id", F.col("a").alias("node"), F.col("b").alias("component")))
+    rows = [(1, j * 4 + i, [j * 5 + i, j * 5 + i + 1, j * 5 + i + 6, j * 5 + i + 5]) for j in range(2) for i in range(4)]
+    faces = spark.createDataFrame(rows, "mesh_id long, face_id long, verts array<long>")
+    L.edge_loops(M.Mesh(faces.selectExpr("mesh_id", "explode(verts) AS v_id").distinct(), faces))
+    plan = seen["links"]._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "lambdafunction" not in plan
+    found = {(r["a"], r["b"]) for r in seen["links"].where("a <> b").collect()}
+    key = lambda a, b: min(a, b) * L.SPAN + max(a, b)
+    want = {(key(v - 1, v), key(v, v + 1)) for r in (0, 5, 10) for v in range(r + 1, r + 4)} | {(key(v - 5, v), key(v, v + 5)) for v in range(5, 10)}
+    assert found == want
+
+
+def test_loops_of_one_length_turn_at_once(spark):
+    """The same figures as one by one, closed or open, flat or short."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7):
+        p = rng.normal(size=(5, n, 3))
+        for closed in (False, True):
+            one = [rotation.rotation_index(x, closed) for x in p]
+            assert np.allclose(rotation.rotation_indices(p, closed), one, atol=1e-9)
+    ring = np.array([[np.cos(t), np.sin(t), 0.0] for t in np.linspace(0, 2 * np.pi, 12, endpoint=False)])
+    assert np.allclose(rotation.rotation_indices(np.stack([ring, ring * 3]), True), 1.0)
+
+
+def test_kernels_take_many_meshes_at_a_time(spark):
+    """Meshes reach Python many to a batch; one that a table lacks gives an empty frame, and nulls keep their rows."""
+    from quadrille.operators.kernels.base import by_mesh
+
+    left = spark.createDataFrame([(i, j, None if j else float(i)) for i in range(50) for j in range(i % 3 + 1)], "mesh_id long, n long, x double")
+    right = spark.createDataFrame([(i, [i, i]) for i in range(25, 75)], "mesh_id long, verts array<long>")
+
+    def run(a, b):
+        known = a if len(a) else b
+        return pd.DataFrame({"mesh_id": [known["mesh_id"].iloc[0]], "rows": [len(a)], "missing": [int(a["x"].isna().sum()) if len(a) else -1], "verts": [list(b["verts"].iloc[0]) if len(b) else None]})
+
+    out = by_mesh(run, "mesh_id long, rows long, missing long, verts array<long>", left, right)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString() and "FlatMapCoGroups" not in out._jdf.queryExecution().toString()
+    got = {r["mesh_id"]: (r["rows"], r["missing"], r["verts"]) for r in out.collect()}
+    assert got == {i: (i % 3 + 1 if i < 50 else 0, i % 3 if i < 50 else -1, [i, i] if i >= 25 else None) for i in range(75)}
