@@ -540,3 +540,45 @@ def test_kernels_take_many_meshes_at_a_time(spark):
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString() and "FlatMapCoGroups" not in out._jdf.queryExecution().toString()
     got = {r["mesh_id"]: (r["rows"], r["missing"], r["verts"]) for r in out.collect()}
     assert got == {i: (i % 3 + 1 if i < 50 else 0, i % 3 if i < 50 else -1, [i, i] if i >= 25 else None) for i in range(75)}
+
+
+def test_principal_axes_of_many_meshes_at_once(spark):
+    """Frames and sides of a batch equal those of each mesh alone, a single point and a line among them."""
+    rng = np.random.default_rng(11)
+    points = {i: rng.normal(size=(n, 3)) * (3, 2, 1) for i, n in enumerate([40, 1, 25, 3, 60] * 8)} | {90: np.array([[0.0, 0, 0], [1, 2, 3], [2, 4, 6]])}
+    m = M.Mesh(spark.createDataFrame([(i, k, *map(float, p)) for i, x in points.items() for k, p in enumerate(x)], VERTS), spark.createDataFrame([], FACES))
+    frame, sides = D.principal_frame(m), D.principal_sides(m)
+    for df in (frame, sides):
+        assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+    sides = {r["mesh_id"]: (r["sx"], r["sy"], r["sz"]) for r in sides.collect()}
+    got = {(r["mesh_id"], r["v_id"]): (r["x"], r["y"], r["z"]) for r in frame.collect()}
+    assert sides.keys() == points.keys() and len(got) == sum(map(len, points.values()))
+    for i, p in points.items():
+        x = p - p.mean(0)
+        axes = np.linalg.eigh(x.T @ x)[1]
+        side = np.sort(np.ptp(x @ axes, axis=0))[::-1]
+        assert np.allclose(sides[i], side / side[0] if side[0] > 0 else side, atol=1e-7)
+        axes = axes[:, ::-1] * np.where(axes[:, ::-1][np.abs(axes[:, ::-1]).argmax(0), range(3)] < 0, -1, 1)
+        want = x @ axes / max(np.linalg.norm(x, axis=1).max(), 1e-300)
+        found = np.array([got[i, k] for k in range(len(p))])
+        assert np.allclose(np.abs(found) if i == 90 else found, np.abs(want) if i == 90 else want, atol=1e-7)
+
+
+def test_topology_and_fingerprints_make_the_edges_once(spark, sf):
+    m = mesh(spark, sf)
+    for df in (M.topology(m), D.fingerprints(m)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("posexplode(") == 1
+
+
+def test_components_of_dealt_meshes_stay_in_place(spark, sf, monkeypatch):
+    """Links that lie by mesh are labelled without a shuffle, as they are in buckets."""
+    from quadrille.functions import local_components
+
+    m = mesh(spark, sf)
+    links = M.face_adjacency(m).where("face_id % 3 > 0").select("mesh_id", F.col("face_id").alias("a"), F.col("across").alias("b"))
+    want = {tuple(r) for r in components_by_mesh(links).collect()}
+    seen = []
+    monkeypatch.setattr(local_components, "materialise", lambda df: seen.append(df) or materialise(df))
+    assert {tuple(r) for r in components_by_mesh(links, parts=m.parts).collect()} == want
+    assert [df.columns for df in seen] == [["mesh_id", "node", "component"]]  # labels are written, not links
+    assert [df._jdf.queryExecution().toString().count("Exchange hashpartitioning") for df in seen] == [links._jdf.queryExecution().toString().count("Exchange hashpartitioning")]
