@@ -1,6 +1,6 @@
 """Poisson-disk samples: area draws thinned in five rounds over a grid of cells.
 
-Meshes are dealt into buckets and a bucket is thinned at once. Draws are sorted
+Meshes are thinned many at a time. Draws are sorted
 into cubes of the radius; in each round every cell offers its next draw, which
 stays unless a kept one of the 27 cells around is nearer than the radius. Cells are
 coloured by their place modulo three in each axis, so cells of one colour never see each other
@@ -15,9 +15,9 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quadrille.operators.mesh import Mesh, prepared
+from quadrille.functions.batches import by_batch
+from quadrille.operators.mesh import Mesh
 
 RAW_FACTOR, RADIUS, ROUNDS = 6, 0.75, 5
 FACES_PER_BUCKET = 100_000
@@ -48,17 +48,21 @@ def thin(x: np.ndarray, mesh: np.ndarray, radius: np.ndarray) -> np.ndarray:
     steps = (_AROUND[:, 0] * span + _AROUND[:, 1]) * span + _AROUND[:, 2]
     near = np.searchsorted(cells, cells[:, None] + steps)
     near = np.where(cells[np.minimum(near, len(cells) - 1)] == cells[:, None] + steps, near, len(cells))
-    kept = np.full((len(cells) + 1, ROUNDS, 3), np.inf)  # the row behind the last stands for cells without draws
+    kept = np.full((3, len(cells) + 1, ROUNDS), np.inf)  # the row behind the last stands for cells without draws
     stays, colour = np.zeros(len(x), bool), (cell % 3) @ (9, 3, 1)
     for r in range(ROUNDS):
         offered = np.flatnonzero(turn == r)
         for c in range(27):
             mine = offered[colour[offered] == c]
             if len(mine):
-                apart = kept[near[of[mine]], : r + 1] - x[mine][:, None, None, :]
-                d = (apart**2).sum(-1).min((1, 2))
-                mine = mine[d >= radius[mine] ** 2]
-                kept[of[mine], r] = x[mine]
+                around, d = near[of[mine]], 0.0
+                for axis in range(3):
+                    apart = kept[axis, around, : r + 1]
+                    apart -= x[mine, axis][:, None, None]
+                    apart *= apart
+                    d = d + apart
+                mine = mine[d.min((1, 2)) >= radius[mine] ** 2]
+                kept[:, of[mine], r] = x[mine].T
                 stays[mine] = True
     return stays
 
@@ -85,8 +89,8 @@ def poisson(v: np.ndarray, faces: list[list[int]], n: int, seed: int) -> tuple[n
     return x[stays], tri[stays], bary[stays], radius
 
 
-def _bucket(n: int, seed: int):
-    def run(vertices: pd.DataFrame, faces: pd.DataFrame) -> pd.DataFrame:
+def _batch(n: int, seed: int, per_bucket: int):
+    def bucket(vertices: pd.DataFrame, faces: pd.DataFrame) -> pd.DataFrame:
         vertices, faces = vertices.sort_values(["mesh_id", "v_id"]), faces.sort_values(["mesh_id", "face_id"])
         names, of_face = np.unique(faces["mesh_id"].to_numpy(np.int64), return_inverse=True)
         sizes = faces["verts"].str.len().to_numpy(np.int64)
@@ -108,17 +112,18 @@ def _bucket(n: int, seed: int):
         first = np.searchsorted(mesh, np.arange(len(names)))
         return pd.DataFrame({"mesh_id": names[mesh], "s_id": np.arange(len(mesh)) - first[mesh], "tri_id": t[stays].astype(np.int64), **dict(zip("xyz", x.T)), **{f"b{k}": bary[:, k] for k in range(3)}, "radius": radius[stays]})
 
+    def run(vertices: tuple[pd.DataFrame, np.ndarray], faces: tuple[pd.DataFrame, np.ndarray]) -> pd.DataFrame:
+        (v, v_at), (f, f_at) = vertices, faces
+        cuts = [0, *(np.flatnonzero(np.diff(f_at[:-1] // per_bucket)) + 1).tolist(), len(f_at) - 1]
+        return pd.concat([bucket(v.iloc[v_at[a] : v_at[b]], f.iloc[f_at[a] : f_at[b]]) for a, b in zip(cuts, cuts[1:])], ignore_index=True)
+
     return run
 
 
 def poisson_samples(m: Mesh, n: int, seed: int = 7) -> DataFrame:
     """(mesh_id, s_id, tri_id, x, y, z, b0, b1, b2, radius); a mesh's draws depend on seed and mesh only.
 
-    A mesh is one task's work; a bucket holds about FACES_PER_BUCKET faces.
+    A mesh is one task's work; meshes with about FACES_PER_BUCKET faces are thinned at a time, where they lie.
     """
-    m = prepared(m)
-    buckets = max(1, -(-m.faces.count() // FACES_PER_BUCKET), min(m.faces.sparkSession.sparkContext.defaultParallelism, 64))
-    # All columns are aliased, as both sides may stem from one table.
-    dealt = lambda df, *c: df.select(F.pmod(F.xxhash64("mesh_id"), F.lit(buckets)).alias("_b"), *(F.col(x).alias(x) for x in c)).groupBy("_b")
     schema = "mesh_id long, s_id long, tri_id long, x double, y double, z double, b0 double, b1 double, b2 double, radius double"
-    return dealt(m.vertices, "mesh_id", "v_id", "x", "y", "z").cogroup(dealt(m.faces, "mesh_id", "face_id", "verts")).applyInPandas(_bucket(n, seed), schema)
+    return by_batch(_batch(n, seed, FACES_PER_BUCKET), schema, m.vertices.select("mesh_id", "v_id", "x", "y", "z"), m.faces.select("mesh_id", "face_id", "verts"))

@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.functions.batches import by_batch
 from quadrille.functions.shared import materialise
 from quadrille.operators.mesh import Mesh
 from quadrille.sources.formats import MeshError, decode, encode
 
-ROWS_PER_BUCKET = 100_000
 ROW = "path string, kind string, item long, x double, y double, z double, verts array<long>, error string"
 
 
@@ -45,13 +45,9 @@ def read(spark: SparkSession, folder: str, glob: str = "*") -> tuple[Mesh, DataF
 def files(m: Mesh, *extensions: str) -> DataFrame:
     """(mesh_id, name, content): one file per mesh and extension, written in its task; vertex ids are made dense.
 
-    Meshes are dealt into buckets of bounded size, in one shuffle for all extensions.
+    A batch of meshes is written at a time, where the meshes lie.
     """
-    v = m.vertices.select("mesh_id", F.lit(0).alias("kind"), F.col("v_id").alias("item"), "x", "y", "z", F.lit(None).cast("array<bigint>").alias("verts"))
-    f = m.faces.select("mesh_id", F.lit(1).alias("kind"), F.col("face_id").alias("item"), *(F.lit(0.0).alias(c) for c in "xyz"), "verts")
-    rows = materialise(v.unionByName(f))
-    buckets = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_PER_BUCKET)
-    return rows.groupBy(F.pmod(F.xxhash64("mesh_id"), F.lit(buckets)).alias("_b")).applyInPandas(_writer(extensions), "mesh_id long, name string, content binary")
+    return by_batch(_writer(extensions), "mesh_id long, name string, content binary", m.vertices.select("mesh_id", "v_id", "x", "y", "z"), m.faces.select("mesh_id", "face_id", "verts"))
 
 
 def write(m: Mesh, folder: str, *extensions: str) -> DataFrame:
@@ -80,18 +76,23 @@ def _store(folder: str):
 
 
 def _writer(extensions: tuple[str, ...]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["mesh_id", "kind", "item"])
-        ids, kind, item = (rows[c].to_numpy() for c in ("mesh_id", "kind", "item"))
-        xyz, verts = rows[["x", "y", "z"]].to_numpy(), rows["verts"].tolist()
-        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+    def sorted_by(side: tuple[pd.DataFrame, np.ndarray], key: str) -> tuple[pd.DataFrame, list[int]]:
+        rows, at = side
+        return rows.iloc[np.lexsort([rows[key], np.repeat(np.arange(len(at) - 1), np.diff(at))])], at.tolist()
+
+    def run(*sides: tuple[pd.DataFrame, np.ndarray]) -> pd.DataFrame:
+        (v, v_at), (f, f_at) = sorted_by(sides[0], "v_id"), sorted_by(sides[1], "face_id")
+        xyz, item, verts = v[["x", "y", "z"]].to_numpy(), v["v_id"].to_numpy(), f["verts"].tolist()
+        of_v, of_f = v["mesh_id"].to_numpy(), f["mesh_id"].to_numpy()
         out = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            mid = a + int(np.searchsorted(kind[a:b], 1))
-            faces = [np.searchsorted(item[a:mid], x).tolist() for x in verts[mid:b]]
+        for a, b, c, d in zip(v_at, v_at[1:], f_at, f_at[1:], strict=False):
+            mesh_id = int(of_v[a] if a < b else of_f[c])
+            ends = np.cumsum([0, *map(len, verts[c:d])]).tolist()
+            places = np.searchsorted(item[a:b], np.concatenate([np.zeros(0, np.int64), *verts[c:d]])).tolist()
+            faces = [places[x:y] for x, y in zip(ends, ends[1:], strict=False)]
             for extension in extensions:
-                name = f"{ids[a]}.{extension}"
-                out.append((int(ids[a]), name, encode(name, xyz[a:mid], faces)))
+                name = f"{mesh_id}.{extension}"
+                out.append((mesh_id, name, encode(name, xyz[a:b], faces)))
         return pd.DataFrame(out, columns=["mesh_id", "name", "content"])
 
     return run

@@ -582,3 +582,22 @@ def test_components_of_dealt_meshes_stay_in_place(spark, sf, monkeypatch):
     assert {tuple(r) for r in components_by_mesh(links, parts=m.parts).collect()} == want
     assert [df.columns for df in seen] == [["mesh_id", "node", "component"]]  # labels are written, not links
     assert [df._jdf.queryExecution().toString().count("Exchange hashpartitioning") for df in seen] == [links._jdf.queryExecution().toString().count("Exchange hashpartitioning")]
+
+
+def test_samples_and_files_are_made_where_the_meshes_lie(spark, sf):
+    """No shuffle but the dealing of the meshes, and nothing written in between."""
+    from quadrille.sources import formats
+    from quadrille.sources.meshes import files
+
+    m = mesh(spark, sf)
+    for df in (sampling.poisson_samples(m, 16), files(m, "off", "stl")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMap" not in plan and "quadrille-" not in plan
+        assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
+    # Ids with gaps are made dense, in any number of meshes; a mesh may lack faces.
+    v = spark.createDataFrame([(i, 10 * k + i, float(k), 0.1, -2.5e-7 * i) for i in range(9) for k in (3, 0, 1, 2)], VERTS)
+    f = spark.createDataFrame([(i, j, [10 * k + i for k in (0, 1, 2 + j)]) for i in range(1, 9) for j in (1, 0)], FACES)
+    got = {r["mesh_id"]: formats.decode(r["name"], bytes(r["content"])) for r in files(M.Mesh(v, f), "obj").collect()}
+    assert got.keys() == set(range(9))
+    for i, (x, faces) in got.items():
+        assert np.allclose(x, [[float(k), 0.1, -2.5e-7 * i] for k in range(4)], rtol=1e-15, atol=0) and faces == ([[0, 1, 2], [0, 1, 3]] if i else [])
