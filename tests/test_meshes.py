@@ -601,3 +601,20 @@ def test_samples_and_files_are_made_where_the_meshes_lie(spark, sf):
     assert got.keys() == set(range(9))
     for i, (x, faces) in got.items():
         assert np.allclose(x, [[float(k), 0.1, -2.5e-7 * i] for k in range(4)], rtol=1e-15, atol=0) and faces == ([[0, 1, 2], [0, 1, 3]] if i else [])
+
+
+def test_cluster_sets_of_edges_gather_no_lists(spark, sf):
+    """Sets of vertices are taken as bits in rows of fixed width, without a gathered set that is sorted or a broadcast; every edge stays."""
+    from quadrille.plans.queries_mesh import QUERIES
+
+    found = QUERIES["m3_u2_cluster_sets"](spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "Broadcast" not in plan and plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
+    ends, at = {}, {}
+    for r in mesh(spark, sf).faces.collect():
+        for v, w in zip(r["verts"], r["verts"][1:] + r["verts"][:1], strict=True):
+            ends[r["mesh_id"], min(v, w), max(v, w)] = True
+            at.setdefault((r["mesh_id"], v), set()).add(r["face_id"] % 5)
+    want = {(m, a, b, ",".join(map(str, sorted(at[m, a] & at[m, b] or at[m, a] | at[m, b])))) for m, a, b in ends}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
