@@ -618,3 +618,17 @@ def test_cluster_sets_of_edges_gather_no_lists(spark, sf):
     want = {(m, a, b, ",".join(map(str, sorted(at[m, a] & at[m, b] or at[m, a] | at[m, b])))) for m, a, b in ends}
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_vertex_star_gathers_corners_once(spark, sf):
+    """Faces and ring come of one list of corners, without edges and a join; repeated corners count as they do along the edges."""
+    plan = M.vertex_star(mesh(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1 and "Join" not in plan
+    faces = {1: [[0, 1, 4, 3], [1, 2, 5, 4]], 2: [[3, 3, 7], [7, 3, 9, 3]], 3: [[5]], 4: [[2, 8], [8, 2, 1]], 5: [*cube(2)[1]]}
+    got = {(r["mesh_id"], r["v_id"]): (r["faces"], r["ring"]) for r in M.vertex_star(build(spark, {m: ([], f) for m, f in faces.items()})).collect()}
+    want = {}
+    for m, found in faces.items():
+        sides = {(min(e), max(e)) for f in found for e in zip(f, [*f[1:], f[0]], strict=True)}
+        for v in {v for f in found for v in f}:
+            want[m, v] = sorted(i for i, f in enumerate(found) for x in f if x == v), sorted([b for a, b in sides if a == v] + [a for a, b in sides if b == v])
+    assert got == want
