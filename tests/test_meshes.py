@@ -632,3 +632,15 @@ def test_vertex_star_gathers_corners_once(spark, sf):
         for v in {v for f in found for v in f}:
             want[m, v] = sorted(i for i, f in enumerate(found) for x in f if x == v), sorted([b for a, b in sides if a == v] + [a for a, b in sides if b == v])
     assert got == want
+
+
+def test_whole_topology_counts_components_boundaries_and_genus(spark, sf):
+    """Kinds of derived meshes by their shape, and two cubes of one mesh as two components."""
+    from quadrille.plans.queries_mesh import QUERIES
+
+    t = {r["mesh_id"]: (r["n_components"], r["n_boundaries"], r["genus"]) for r in QUERIES["mesh_topology_large"](spark, sf).collect()}
+    for r in dims(spark, sf, "part").collect():
+        assert t[r["mesh_id"]] == {0: (1, 1, 0), 1: (1, 2, 0), 2: (1, 0, 1), 3: (1, 2, 0)}[r["kind"]]
+    two = M.concatenated(build(spark, {1: cube(1), 2: cube(2)}), F.lit(0).cast("long"))
+    r = M.whole_topology(two).first()
+    assert (r["n_components"], r["n_boundaries"], r["genus"], r["euler"]) == (2, 0, 0, 4)
