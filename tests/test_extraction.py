@@ -192,3 +192,28 @@ def test_framed_edges_of_a_square_tube(spark):
     assert framed.count() == 12 + 8
     assert L.charts(m, framed).select("chart_id").distinct().count() == 4
     assert L.framed_edges(m, sharp=10.0).where("n_faces = 2").count() == 0
+
+
+def test_chart_fields_fall_from_the_middle_in_both_directions(spark):
+    """A chart of 3 by 5 unit quads beside one of 1 by 5; a ring of quads in one chart is at its middle all the way round."""
+    pos = [(x, y, 0) for x in range(5) for y in range(6)]
+    faces = [[6 * i + j, 6 * i + j + 6, 6 * i + j + 7, 6 * i + j + 1] for i in range(4) for j in range(5)]
+    ring = [(*xy, z) for z in range(4) for xy in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    tube = [[4 * z + k, 4 * z + (k + 1) % 4, 4 * z + 4 + (k + 1) % 4, 4 * z + 4 + k] for z in range(3) for k in range(4)]
+    m = build(spark, {0: (pos, faces), 1: (ring, tube)})
+    label = m.faces.selectExpr("mesh_id", "face_id", "IF(mesh_id = 0 AND face_id >= 15, 1L, 0L) AS chart_id")
+    got = {(r["mesh_id"], r["face_id"]): (r["cdf"], r["dcdf"]) for r in clusters.chart_fields(m, label).collect()}
+    for i in range(4):
+        for j in range(5):
+            c0, c1 = abs(2 * (i + 0.5) / 3 - 1) if i < 3 else 0.0, abs(2 * (j + 0.5) / 5 - 1)
+            assert np.allclose(got[0, 5 * i + j], (min(1 - c0, 1 - c1), min(c0, c1)))
+    for z in range(3):
+        for k in range(4):
+            assert np.allclose(got[1, 4 * z + k], (1 - abs(2 * (z + 0.5) / 3 - 1), 0))
+
+
+def test_chart_fields_query_depends_on_charts(spark, sf):
+    from quadrille.plans.queries_kernels import QUERIES
+
+    rows = QUERIES["n7_n10_chart_fields"](spark, sf).collect()
+    assert len({r["cdf"] for r in rows}) > 5 and any(0 < r["dcdf"] < r["cdf"] for r in rows)
