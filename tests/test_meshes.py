@@ -644,3 +644,27 @@ def test_whole_topology_counts_components_boundaries_and_genus(spark, sf):
     two = M.concatenated(build(spark, {1: cube(1), 2: cube(2)}), F.lit(0).cast("long"))
     r = M.whole_topology(two).first()
     assert (r["n_components"], r["n_boundaries"], r["genus"], r["euler"]) == (2, 0, 0, 4)
+
+
+def test_exploded_meshes_are_never_broadcast_and_other_queries_keep_the_threshold(spark, sf):
+    """Joins behind joins and unions carry no hint; the session's own threshold comes back for the queries of other tables."""
+    from quadrille.functions.shared import guessed_broadcasts
+    from quadrille.plans.queries_mesh import QUERIES
+
+    guessed_broadcasts(spark)
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for name in ("m1_catmull_clark", "m2_split_topology", "m2_split_quads"):
+        assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString(), name
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    guessed_broadcasts(spark)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == own != "-1"
+
+
+def test_faces_split_in_place_as_by_joins(spark, sf):
+    """Dealt meshes are cut many at a time, with the ids that joins give; also polygons of other sizes and gaps in the ids."""
+    rows = lambda m: {(r["mesh_id"], r["face_id"]): list(r["verts"]) for r in S.split_quads(m).faces.collect()}
+    m = mesh(spark, sf)
+    assert "BatchEvalPython" not in (plan := S.split_quads(m).faces._jdf.queryExecution().sparkPlan().toString()) and "MapInArrow" in plan
+    odd = M.Mesh(m.vertices, m.faces.where("face_id % 5 <> 2").selectExpr("mesh_id", "face_id", "IF(face_id % 4 = 1, slice(verts, 1, 3), verts) AS verts"), parts=m.parts)
+    for x in (m, odd):
+        assert rows(x) == rows(M.Mesh(x.vertices, x.faces))
